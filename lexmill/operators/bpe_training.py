@@ -17,10 +17,12 @@ from lexmill.operators.pairs import (
     triple_counts,
 )
 from lexmill.operators.tokenizer import Tokenizer, tokenizer_from_merges
-from lexmill.session import new_folder, stored
+from lexmill.session import new_folder, spread, stored
 
-# Pairs looked at per round; the driver receives these and the triples made of them.
+# Most pairs looked at per round; the driver receives these and the triples made of them.
 CANDIDATES = 512
+# A round looks at this many pairs for each merge the round before it found.
+CANDIDATES_PER_MERGE = 8
 # Rounds between two writes of the state, the most a lost executor can make Spark repeat.
 ROUNDS_PER_WRITE = 8
 
@@ -64,14 +66,16 @@ def learn_merges(
     if limit <= 0:
         return []
     folder = new_folder(counts.sparkSession, "bpe")
-    words = stored(symbol_words(counts), f"{folder}/words-0").persist()
+    words = spread(stored(symbol_words(counts), f"{folder}/words-0"), "sym").persist()
     pairs = pair_counts(words).persist()
     merges: list[Pair] = []
     tokens = {f"{byte:02X}" for byte in range(256)}
     retired: list[DataFrame] = []
+    batch: list[Pair] = []
     rounds = 0
     while True:
-        batch = next_merges(words, pairs, tokens, candidates, limit - len(merges))
+        wanted = min(candidates, max(64, CANDIDATES_PER_MERGE * len(batch)))
+        batch = next_merges(words, pairs, tokens, wanted, limit - len(merges))
         for frame in retired:
             frame.unpersist()
         merges += batch
@@ -95,8 +99,8 @@ def learn_merges(
             slot = rounds // rounds_per_write % 2
             retired.append(words)
             pairs = stored(pairs, f"{folder}/pairs-{slot}")
-            words = stored(words.select("sym", "cnt").where(has_pair()), f"{folder}/words-{slot}")
-            words = words.persist()
+            left = words.select("sym", "cnt").where(has_pair())
+            words = spread(stored(left, f"{folder}/words-{slot}"), "sym").persist()
         pairs = pairs.persist()
     words.unpersist()
     pairs.unpersist()

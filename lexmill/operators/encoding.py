@@ -112,10 +112,8 @@ def word_ids_by_join(words: DataFrame, tok: Tokenizer) -> DataFrame:
     finished = open_words.limit(0)
     turn = 0
     while not open_words.isEmpty():
-        pairs = (
-            neighbours(open_words.where(has_pair()), 2, "word")
-            .select("word", joined("s0", "s1").alias("pair"))
-            .distinct()
+        pairs = neighbours(open_words.where(has_pair()), 2, "word").select(
+            "word", joined("s0", "s1").alias("pair")
         )
         best = (
             pairs.join(ranks, "pair")

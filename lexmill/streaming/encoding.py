@@ -16,11 +16,8 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
     ``files_per_trigger`` bounds what one micro-batch reads.
     """
-    files = (
-        spark.readStream.option("wholetext", True)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path)
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    files = reader.text(path, wholetext=True)
     text = T.normalize_newlines(F.validate_utf8("value"))
     lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
     return files.select(
