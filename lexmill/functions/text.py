@@ -59,22 +59,21 @@ def plain_parts(text: Column, specials: Sequence[str], longest_first: bool) -> C
 def segments(text: Column, specials: Sequence[str]) -> Column:
     """Array of ``(seg, is_special, text)``, specials kept, empty parts dropped."""
 
-    def part(is_special: Column, value: Column) -> Column:
-        return F.struct(is_special.alias("is_special"), value.alias("text"))
+    def part(is_special: bool, value: Column) -> Column:
+        return F.struct(F.lit(is_special).alias("is_special"), value.alias("text"))
 
     if specials:
         pattern = special_pattern(specials, longest_first=True)
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        # Every plain part is followed by a special token, but for the last.
+        rounds = F.arrays_zip(
+            F.split(text, pattern, -1).alias("plain"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("special"),
+        )
         parts = F.flatten(
-            F.transform(
-                F.split(text, pattern, -1),
-                lambda plain, i: F.array(
-                    part(F.lit(False), plain), part(F.lit(True), F.get(hits, i))
-                ),
-            )
+            F.transform(rounds, lambda r: F.array(part(False, r["plain"]), part(True, r["special"])))
         )
     else:
-        parts = F.array(part(F.lit(False), text))
+        parts = F.array(part(False, text))
     kept = F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != "")
     return F.transform(
         kept,

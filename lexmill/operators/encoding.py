@@ -24,15 +24,8 @@ LITERAL_BYTES = 16 * 1024 * 1024
 
 
 def word_encoder(tok: Tokenizer):
-    """A column function from an array of words to an array of token ids.
-
-    The tables go to the executors once; their size must have been checked.
-    """
-    ids = {bytes(row.bytes): row.id for row in reverse_vocab(tok.vocab).collect()}
-    ranks = {
-        (bytes(row.left), bytes(row.right)): row.rank for row in merge_ranks(tok.merges).collect()
-    }
-    tables = tok.vocab.sparkSession.sparkContext.broadcast((ids, ranks, frozenset(tok.specials)))
+    """A column function from an array of words to an array of token ids."""
+    tables = tok.tables
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -43,7 +36,7 @@ def word_encoder(tok: Tokenizer):
 
 def word_ids(words: DataFrame, tok: Tokenizer) -> DataFrame:
     """``(word, ids)`` for a table of distinct words."""
-    if fits_broadcast(tok.vocab, tok.merges):
+    if tok.broadcastable:
         return words.select("word", word_encoder(tok)(F.array("word")).alias("ids"))
     return word_ids_by_join(words, tok)
 
@@ -58,7 +51,7 @@ def encode(
     encoded by joins and the ids brought back by ``key``, which must be unique.
     """
     words = T.words(F.col(text), tok.specials)
-    if fits_broadcast(tok.vocab, tok.merges):
+    if tok.broadcastable:
         return df.withColumn(output, word_encoder(tok)(words))
     return encode_by_join(df, tok, key, text, output)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 VOCAB_SCHEMA = "pos long, id int, bytes binary"
@@ -15,7 +17,7 @@ BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Tokenizer:
     """``vocab (pos, id, bytes)``, ``merges (rank, left, right)`` and the special tokens.
 
@@ -26,6 +28,23 @@ class Tokenizer:
     merges: DataFrame
     specials: tuple[str, ...] = ()
 
+    @cached_property
+    def broadcastable(self) -> bool:
+        return fits_broadcast(self.vocab, self.merges)
+
+    @cached_property
+    def tables(self) -> Broadcast:
+        """Ids by bytes, ranks by pair, and special tokens, on every executor."""
+        if not self.broadcastable:
+            raise ValueError("the tokenizer tables are too large to broadcast")
+        ids = {bytes(row.bytes): row.id for row in reverse_vocab(self.vocab).collect()}
+        ranks = {
+            (bytes(row.left), bytes(row.right)): row.rank
+            for row in merge_ranks(self.merges).collect()
+        }
+        context = self.vocab.sparkSession.sparkContext
+        return context.broadcast((ids, ranks, frozenset(self.specials)))
+
 
 def base_vocab(spark: SparkSession, specials: Sequence[str] = ()) -> DataFrame:
     """The 256 bytes, then the special tokens in list order, repeated ones included."""
@@ -95,11 +114,12 @@ def fits_broadcast(
     *frames: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 ) -> bool:
     """Whether the tables together are small enough to be held by every executor."""
-    total_rows = total_bytes = 0
-    for frame in frames:
+
+    def measured(frame: DataFrame) -> DataFrame:
         binaries = [name for name, kind in frame.dtypes if kind == "binary"]
         length = sum((F.octet_length(name) for name in binaries), F.lit(0))
-        found = frame.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("size")).head()
-        total_rows += found.n
-        total_bytes += found.size or 0
-    return total_rows <= rows and total_bytes <= size
+        return frame.select(length.alias("size"))
+
+    entries = reduce(DataFrame.unionByName, map(measured, frames))
+    found = entries.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).head()
+    return found.n <= rows and (found.size or 0) <= size

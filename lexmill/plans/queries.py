@@ -36,8 +36,8 @@ SEED = 42
 TEMPERATURE = 0.7
 TOP_P = 0.9
 
-# Tokenizer files by application and data folder.
-_trained: dict[tuple[str, str], tuple[str, str]] = {}
+# Tokenizers by application and data folder.
+_trained: dict[tuple[str, str], tokenizer.Tokenizer] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -68,8 +68,9 @@ def trained(spark: SparkSession, sf_dir: str) -> tokenizer.Tokenizer:
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _trained:
         prefix = f"{new_folder(spark, 'tokenizer')}/documents"
-        _trained[place] = tokenizer_files.save_tokenizer(train(spark, sf_dir), prefix)
-    return tokenizer_files.load_tokenizer(spark, *_trained[place], SPECIALS)
+        files = tokenizer_files.save_tokenizer(train(spark, sf_dir), prefix)
+        _trained[place] = tokenizer_files.load_tokenizer(spark, *files, SPECIALS)
+    return _trained[place]
 
 
 def ids_text(ids: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.functions import text as T
 from lexmill.operators.encoding import encode, word_encoder
-from lexmill.operators.tokenizer import Tokenizer, fits_broadcast
+from lexmill.operators.tokenizer import Tokenizer
 from lexmill.sources.token_store import checked_ids
 
 
@@ -27,8 +27,6 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
 def encode_stream(lines: DataFrame, tok: Tokenizer) -> DataFrame:
     """Token ids of each line; stateless, so it runs in append mode with bounded memory."""
-    if not fits_broadcast(tok.vocab, tok.merges):
-        raise ValueError("the tokenizer is too large to broadcast; use write_encoded_stream")
     ids = word_encoder(tok)(T.words(F.col("text"), tok.specials))
     return lines.select("file", "line", ids.alias("ids"))
 
@@ -41,7 +39,7 @@ def write_encoded_stream(
     With tables too large to broadcast every micro-batch is encoded by joins and replaces its own
     folder, so a repeated batch leaves the same result.
     """
-    if fits_broadcast(tok.vocab, tok.merges):
+    if tok.broadcastable:
         encoded = checked_ids(encode_stream(lines, tok), uint16).withColumn("n", F.size("ids"))
         writer = encoded.writeStream.format("parquet").option("path", output)
     else:

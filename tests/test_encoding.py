@@ -122,12 +122,16 @@ def test_long_word_is_merged_whole():
 
 
 def test_large_tables_are_joined(spark, trained, monkeypatch):
+    ids, ranks = tables(trained)
+    large = tokenizer.Tokenizer(trained.vocab, trained.merges, trained.specials)
+    monkeypatch.setattr(tokenizer, "fits_broadcast", lambda *a, **k: False)
     monkeypatch.setattr(encoding, "fits_broadcast", lambda *a, **k: False)
-    monkeypatch.setattr(encoding, "word_encoder", None)
+    with pytest.raises(ValueError):
+        encoding.word_encoder(large)
     df = spark.createDataFrame([(1, TEXTS[5])], "doc_id long, text string")
-    row = encoding.encode(df, trained, ["doc_id"]).head()
-    assert row.ids == brute_encode(row.text, *tables(trained), SPECIALS)
-    assert encoding.decode(encoding.encode(df, trained, ["doc_id"]).drop("text"), trained, ["doc_id"]).head().text == TEXTS[5]
+    encoded = encoding.encode(df, large, ["doc_id"])
+    assert encoded.head().ids == brute_encode(TEXTS[5], ids, ranks, SPECIALS)
+    assert encoding.decode(encoded.drop("text"), large, ["doc_id"]).head().text == TEXTS[5]
 
 
 def test_fits_broadcast(spark):

@@ -79,7 +79,8 @@ def test_compression_of_nothing_is_infinite(spark, dataset):
 def test_stream_equals_batch(spark, dataset, tmp_path, monkeypatch, broadcast):
     _, text, _, tok, encode = dataset
     if not broadcast:
-        monkeypatch.setattr(streaming, "fits_broadcast", lambda *a: False)
+        monkeypatch.setattr(tokenizer, "fits_broadcast", lambda *a: False)
+        tok = tokenizer.Tokenizer(tok.vocab, tok.merges, tok.specials)
     source = tmp_path / "in"
     source.mkdir()
     files = {f"{i}.txt": part for i, part in enumerate([text[:3000], "no end", text[3000:4000]])}
