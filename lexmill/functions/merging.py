@@ -54,6 +54,15 @@ def merge_symbols(word: bytes, ranks: Ranks) -> list[bytes]:
     return [symbol for symbol in symbols if symbol]
 
 
+def merge_each(words: pa.Array, rules: pa.Array) -> pa.Array:
+    """Symbols of each word, merged by the word's own list of ``(left, right, rank)``."""
+    found = []
+    for word, own in zip(words.to_pylist(), rules.to_pylist()):
+        ranks = {(rule["left"], rule["right"]): rule["rank"] for rule in own or ()}
+        found.append(merge_symbols(word.encode(), ranks))
+    return pa.array(found, pa.list_(pa.binary()))
+
+
 class WordEncoder:
     """Token ids of words, remembered per distinct word of a task."""
 

@@ -7,13 +7,10 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from lexmill.functions import merging, text as T
-from lexmill.functions.merging import WordEncoder
-from lexmill.operators.pairs import has_pair, joined, neighbours
 from lexmill.operators.tokenizer import Tokenizer, fits_broadcast, merge_ranks, reverse_vocab
-from lexmill.session import new_folder, stored
 
 # The code of the word encoder travels with the query, so executors need not have this package.
 cloudpickle.register_pickle_by_value(merging)
@@ -21,6 +18,8 @@ cloudpickle.register_pickle_by_value(merging)
 # Longest id table that is put into the plan of a decoding query.
 LITERAL_IDS = 1_000_000
 LITERAL_BYTES = 16 * 1024 * 1024
+# Groups the rows of one key are spread over in a skewed join.
+COPIES = 16
 
 
 def word_encoder(tok: Tokenizer):
@@ -29,7 +28,7 @@ def word_encoder(tok: Tokenizer):
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return WordEncoder(*tables.value).batches(batches)
+        return merging.WordEncoder(*tables.value).batches(batches)
 
     return encode_words
 
@@ -56,24 +55,29 @@ def encode(
     return encode_by_join(df, tok, key, text, output)
 
 
-def encode_by_join(
-    df: DataFrame, tok: Tokenizer, key: Sequence[str], text: str = "text", output: str = "ids"
+def join_spread(
+    rows: DataFrame, table: DataFrame, key: str, by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """``encode`` for tables too large to broadcast.
+    """Join many ``rows`` to a ``table`` of few rows per ``key``, also when keys are skewed.
 
-    The join on words is skewed towards frequent ones; each copy of the dictionary serves one
-    part of the occurrences of a word.
+    Rows of a frequent key are spread over ``COPIES`` groups by the columns ``by``, and each group
+    has its copy of the table.
     """
-    copies = 16
+    spread = rows.withColumn("copy", F.pmod(F.hash(*by), F.lit(COPIES)))
+    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return spread.join(copies, [key, "copy"], how).drop("copy")
+
+
+def encode_by_join(
+    df: DataFrame, tok: Tokenizer, key: Sequence[str], text: str = "text", output: str = "ids"
+) -> DataFrame:
+    """``encode`` for tables too large to broadcast."""
     occurrences = df.select(
         *key, F.posexplode(T.words(F.col(text), tok.specials)).alias("pos", "word")
-    ).withColumn("copy", F.pmod(F.hash(*key, "pos"), F.lit(copies)))
-    distinct = occurrences.select("word").distinct()
-    dictionary = word_ids_by_join(distinct, tok).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     )
+    dictionary = word_ids_by_join(occurrences.select("word").distinct(), tok)
     ids = (
-        occurrences.join(dictionary, ["word", "copy"])
+        join_spread(occurrences, dictionary, "word", [*key, "pos"])
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
         .select(*key, F.flatten("found.ids").alias(output))
@@ -83,55 +87,50 @@ def encode_by_join(
 
 
 def word_ids_by_join(words: DataFrame, tok: Tokenizer) -> DataFrame:
-    """``word_ids`` without broadcast: each round joins the pairs of all words to the ranks.
+    """``word_ids`` without broadcast.
 
-    A round merges, in every word, the pair of lowest rank.  Words without a ranked pair leave.
+    The merges that can play a part in a word are those whose token occurs in it.  All stretches
+    of each distinct word up to the longest token are joined to the merges, which gives every word
+    its own short list.
     """
-    folder = new_folder(words.sparkSession, "word-ids")
-    specials = list(tok.specials)
-    whole = F.concat(F.lit("("), F.hex(F.encode("word", "UTF-8")), F.lit(")"))
-    open_words = stored(
-        words.select(
-            "word",
-            F.when(F.col("word").isin(specials), whole).otherwise(T.symbols(F.col("word"))).alias("sym"),
-        ),
-        f"{folder}/round-0",
+    merges = merge_ranks(tok.merges).withColumn("token", F.concat("left", "right"))
+    longest = merges.agg(F.max(F.octet_length("token"))).head()[0] or 0
+    merges = merges.select(F.hex("token").alias("token"), "left", "right", "rank")
+    plain = words.select("word", F.hex(F.encode("word", "UTF-8")).alias("data")).where(
+        ~F.col("word").isin(list(tok.specials))
     )
-    ranks = merge_ranks(tok.merges).select(
-        F.concat(F.lit("("), F.hex("left"), F.lit(")("), F.hex("right"), F.lit(")")).alias("pair"),
-        F.concat(F.lit("("), F.hex("left"), F.hex("right"), F.lit(")")).alias("token"),
-        "rank",
+    size = F.expr("length(data) div 2")
+    starts = F.explode(F.sequence(F.lit(0), size - 2)).alias("first")
+    lengths = F.sequence(F.lit(2), F.least(F.lit(max(longest, 2)), size - F.col("first")))
+    stretches = (
+        plain.where(size > 1)
+        .select("word", "data", starts)
+        .select("word", "data", "first", F.explode(lengths).alias("n"))
+        .select("word", F.expr("substring(data, first * 2 + 1, n * 2)").alias("token"))
     )
-    finished = open_words.limit(0)
-    turn = 0
-    while not open_words.isEmpty():
-        pairs = neighbours(open_words.where(has_pair()), 2, "word").select(
-            "word", joined("s0", "s1").alias("pair")
-        )
-        best = (
-            pairs.join(ranks, "pair")
-            .groupBy("word")
-            .agg(F.min(F.struct("rank", "pair", "token")).alias("best"))
-        )
-        turn += 1
-        state = stored(
-            open_words.join(best, "word", "left").select(
-                "word",
-                F.coalesce(F.replace("sym", "best.pair", "best.token"), "sym").alias("sym"),
-                F.col("best").isNull().alias("done"),
-            ),
-            f"{folder}/round-{turn}",
-        )
-        finished = finished.unionByName(state.where("done").drop("done"))
-        open_words = state.where("not done").drop("done")
-    ids = reverse_vocab(tok.vocab).select(
-        F.concat(F.lit("("), F.hex("bytes")).alias("symbol"), F.col("id")
+    rules = (
+        join_spread(stretches, merges, "token", ["word"])
+        .groupBy("word")
+        .agg(F.collect_set(F.struct("left", "right", "rank")).alias("rules"))
+    )
+    merged_symbols = F.arrow_udf(merging.merge_each, ArrayType(BinaryType()))
+    whole = F.array(F.encode("word", "UTF-8"))
+    symbols = words.join(rules, "word", "left").select(
+        "word",
+        F.when(F.col("word").isin(list(tok.specials)), whole)
+        .otherwise(merged_symbols("word", "rules"))
+        .alias("symbols"),
+    )
+    ids = reverse_vocab(tok.vocab).withColumnRenamed("bytes", "symbol")
+    found = join_spread(
+        symbols.select("word", F.posexplode("symbols").alias("pos", "symbol")),
+        ids,
+        "symbol",
+        ["word", "pos"],
+        "left",
     )
     return (
-        finished.select("word", F.posexplode(F.split("sym", r"\)")).alias("pos", "symbol"))
-        .where("symbol <> ''")
-        .join(ids, "symbol", "left")
-        .groupBy("word")
+        found.groupBy("word")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("found"))
         .select("word", F.col("found.id").alias("ids"))
     )
@@ -161,8 +160,9 @@ def decode_by_join(
     """``decode`` for large or sparse vocabularies; ``key`` must be unique."""
     vocab = tok.vocab.select("id", F.hex("bytes").alias("hex"))
     texts = (
-        df.select(*key, F.posexplode(ids).alias("pos", "id"))
-        .join(vocab, "id", "left")
+        join_spread(
+            df.select(*key, F.posexplode(ids).alias("pos", "id")), vocab, "id", [*key, "pos"], "left"
+        )
         .groupBy(*key)
         .agg(
             F.array_sort(

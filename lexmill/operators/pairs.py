@@ -19,16 +19,16 @@ def has_pair() -> Column:
     return F.instr(F.col("sym"), ")(") > 0
 
 
-def neighbours(words: DataFrame, width: int, keep: str = "cnt") -> DataFrame:
-    """One row per run of ``width`` adjacent symbols: ``s0, s1, …, keep``, overlaps included.
+def neighbours(words: DataFrame, width: int) -> DataFrame:
+    """One row per run of ``width`` adjacent symbols: ``s0, s1, …, cnt``, overlaps included.
 
     The symbols come out with their opening delimiter only, as in ``(74``.
     """
-    cut = words.select(F.split("sym", r"\)").alias("s"), keep).where(F.size("s") > width)
+    cut = words.select(F.split("sym", r"\)").alias("s"), "cnt").where(F.size("s") > width)
     runs = F.arrays_zip(
         *(F.slice("s", i + 1, F.size("s") - width).alias(f"s{i}") for i in range(width))
     )
-    return cut.select(keep, F.inline(runs))
+    return cut.select("cnt", F.inline(runs))
 
 
 def joined(*names: str) -> Column:
