@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexmill.operators.pairs import pair_counts, symbol_words
+
 
 def ratio(size: Column, tokens: Column) -> Column:
     """Bytes per token; infinite without tokens."""
@@ -34,3 +36,12 @@ def token_totals(counts: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_words"),
         F.coalesce(F.sum(F.col("cnt") * F.size("ids")), F.lit(0)).alias("n_tokens"),
     )
+
+
+def training_totals(counts: DataFrame) -> DataFrame:
+    """What training starts from: unique words, occurrences, unique adjacent pairs."""
+    n_pairs = pair_counts(symbol_words(counts)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(
+        F.count(F.lit(1)).alias("n_unique_words"),
+        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_words"),
+    ).withColumn("n_unique_pairs", n_pairs.scalar())

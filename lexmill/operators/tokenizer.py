@@ -110,6 +110,13 @@ def merge_ranks(merges: DataFrame) -> DataFrame:
     return merges.groupBy("left", "right").agg(F.max("rank").alias("rank"))
 
 
+def token_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(bytes, side)``: tokens that only one of two vocabularies has, as often as it has more."""
+    mine, other = left.select("bytes"), right.select("bytes")
+    only_left = mine.exceptAll(other).withColumn("side", F.lit("left"))
+    return only_left.unionByName(other.exceptAll(mine).withColumn("side", F.lit("right")))
+
+
 def fits_broadcast(
     *frames: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 ) -> bool:

@@ -267,6 +267,8 @@ WHERE trim(text, E' \\n') <> '' GROUP BY ALL""",
     "bpe_vocab": f"{TRAINING} SELECT id, token_hex FROM ({VOCAB})",
     "tokenizer_roundtrip": f"""{TRAINING} SELECT id, token_hex FROM ({VOCAB})
 UNION ALL SELECT {FIRST_ID + Q.MERGES}::BIGINT, hex(encode('{Q.DOUBLE_SPECIALS[1]}'))""",
+    "token_difference": f"""{TRAINING} SELECT a || b AS token_hex, 'left' AS side FROM merges
+UNION ALL SELECT hex(encode('{Q.DOUBLE_SPECIALS[1]}')) AS token_hex, 'right' AS side""",
     "reverse_vocab": """
 SELECT hex(encode(source)) AS token_hex, max(doc_id) AS id FROM documents GROUP BY source""",
     "merge_ranks": """
@@ -285,6 +287,10 @@ SELECT ids, sum(cnt)::BIGINT AS cnt FROM encoded JOIN line_counts USING (text) G
     "token_totals": f"""{WORD_IDS}
 SELECT count(*) AS n_unique_words, sum(cnt)::BIGINT AS n_words, sum(cnt * n)::BIGINT AS n_tokens
 FROM words JOIN word_ids USING (word)""",
+    "training_totals": f"""
+SELECT (SELECT count(*) FROM ({counts('documents')})) AS n_unique_words,
+    (SELECT sum(cnt)::BIGINT FROM ({counts('documents')})) AS n_words,
+    (SELECT count(*) FROM ({PAIRS})) AS n_unique_pairs""",
     "bytes_per_token": f"""{WORD_IDS},
 {encoded('documents', 'doc_id')}
 SELECT lang, source, sum(strlen(text))::BIGINT AS n_bytes, sum(n)::BIGINT AS n_tokens,

@@ -194,6 +194,13 @@ def tokenizer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.vocab.select(*long("id"), F.hex("bytes").alias("token_hex"))
 
 
+def token_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trained vocabulary against the base vocabulary."""
+    tok = train(spark, sf_dir)
+    found = tokenizer.token_difference(tok.vocab, tokenizer.base_vocab(spark, DOUBLE_SPECIALS))
+    return found.select(F.hex("bytes").alias("token_hex"), "side")
+
+
 def reverse_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary in which many ids share their bytes."""
     vocab = documents(spark, sf_dir).select(
@@ -304,6 +311,11 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.token_totals(counts, ids)
 
 
+def training_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stored(pretoken_counts(spark, sf_dir), new_folder(spark, "counts"))
+    return statistics.training_totals(counts)
+
+
 def bytes_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = statistics.bytes_per_token(encoded(spark, sf_dir), by=["lang", "source"])
     return found.withColumn("bytes_per_token", F.round("bytes_per_token", 3))
@@ -416,6 +428,7 @@ QUERIES: dict[str, Query] = {
         bpe_merges,
         bpe_vocab,
         tokenizer_roundtrip,
+        token_difference,
         reverse_vocab,
         merge_ranks,
         word_ids,
@@ -428,6 +441,7 @@ QUERIES: dict[str, Query] = {
         decode_documents,
         decode_by_join,
         token_totals,
+        training_totals,
         bytes_per_token,
         compression_report,
         sample_documents,

@@ -3,6 +3,7 @@ import random
 import pytest
 from brute import encode as brute_encode
 
+from lexmill.__main__ import main
 from lexmill.functions.text import END_OF_TEXT
 from lexmill.operators import tokenizer
 from lexmill.plans import jobs
@@ -105,3 +106,16 @@ def test_stream_equals_batch(spark, dataset, tmp_path, monkeypatch, broadcast):
         name: [encode(line) for line in content.splitlines(keepends=True)]
         for name, content in files.items()
     }
+
+
+def test_command_line(spark, dataset, tmp_path, capsys):
+    folder, text, (vocab, merges), _, encode = dataset
+    corpus = str(folder / "corpus.txt")
+    assert main(["train", corpus, "-o", str(tmp_path), "-v", "280", "-p", "x"]) == 0
+    assert "280 tokens, 23 merges" in capsys.readouterr().out
+    out = str(tmp_path / "ids")
+    assert main(["tokenize", "--input", corpus, "--vocab", vocab, "--merges", merges, "--output", out]) == 0
+    assert len(sequence_of(spark, out)) == sum(len(encode(x)) for x in text.splitlines(True))
+    assert main(["report", "--corpus", "a", corpus, vocab, merges, "--n", "3"]) == 0
+    assert "a bytes/token: " in capsys.readouterr().out
+    assert main(["train", str(tmp_path / "missing.txt")]) == 1
