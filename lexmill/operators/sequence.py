@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BLOCK_TOKENS = 8192
@@ -18,11 +19,12 @@ def order_buckets(df: DataFrame, key: str, output: str = "bucket") -> DataFrame:
     The cuts are approximate quantiles, so crowded key ranges get more of them.  The number is a
     function of the key alone: it is the same whenever a task is repeated.
     """
-    from pyspark.ml.feature import Bucketizer
-
     number = f"{output}_key"
     keyed = df.withColumn(number, F.col(key).cast("double"))
-    rows = df.count()
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).head()
+    rows = found.rows
+    if rows != found.keys:
+        raise ValueError(f"{rows - found.keys} rows have no {key} to order them by")
     cores = df.sparkSession.sparkContext.defaultParallelism
     buckets = min(MAX_BUCKETS, max(cores, -(-rows // BUCKET_ROWS)))
     shares = [i / buckets for i in range(1, buckets)]
@@ -43,7 +45,7 @@ def running_offsets(
 
     Two levels: a running sum inside each bucket, and one over the bucket totals.  Only the
     totals, one row per bucket, meet in a single task.  ``df`` is read twice, so it should be a
-    stored table.
+    stored table.  ``(bucket, order)`` must be unique.
     """
     inside = F.sum(size).over(
         W.partitionBy(*bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

@@ -31,6 +31,12 @@ def test_offsets(spark):
     assert offsets.select("bucket").distinct().count() > 1
 
 
+def test_missing_key_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 3), (None, 4)], "doc_id long, n int")
+    with pytest.raises(ValueError):
+        sequence.token_offsets(rows)
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 10**6])
 def test_blocks(spark, size):
     tokens, flat = tokens_frame(spark, 2, 60)
