@@ -96,14 +96,12 @@ def word_ids_by_join(words: DataFrame, tok: Tokenizer) -> DataFrame:
     merges = merge_ranks(tok.merges).withColumn("token", F.concat("left", "right"))
     longest = merges.agg(F.max(F.octet_length("token"))).head()[0] or 0
     merges = merges.select(F.hex("token").alias("token"), "left", "right", "rank")
-    plain = words.select("word", F.hex(F.encode("word", "UTF-8")).alias("data")).where(
-        ~F.col("word").isin(list(tok.specials))
-    )
+    plain = words.where((F.octet_length("word") > 1) & ~F.col("word").isin(list(tok.specials)))
     size = F.expr("length(data) div 2")
     starts = F.explode(F.sequence(F.lit(0), size - 2)).alias("first")
     lengths = F.sequence(F.lit(2), F.least(F.lit(max(longest, 2)), size - F.col("first")))
     stretches = (
-        plain.where(size > 1)
+        plain.select("word", F.hex(F.encode("word", "UTF-8")).alias("data"))
         .select("word", "data", starts)
         .select("word", "data", "first", F.explode(lengths).alias("n"))
         .select("word", F.expr("substring(data, first * 2 + 1, n * 2)").alias("token"))
@@ -122,8 +120,9 @@ def word_ids_by_join(words: DataFrame, tok: Tokenizer) -> DataFrame:
         .alias("symbols"),
     )
     ids = reverse_vocab(tok.vocab).withColumnRenamed("bytes", "symbol")
+    # The outer form keeps the optimizer from filtering on the array, which would compute it twice.
     found = join_spread(
-        symbols.select("word", F.posexplode("symbols").alias("pos", "symbol")),
+        symbols.select("word", F.posexplode_outer("symbols").alias("pos", "symbol")),
         ids,
         "symbol",
         ["word", "pos"],
@@ -161,7 +160,11 @@ def decode_by_join(
     vocab = tok.vocab.select("id", F.hex("bytes").alias("hex"))
     texts = (
         join_spread(
-            df.select(*key, F.posexplode(ids).alias("pos", "id")), vocab, "id", [*key, "pos"], "left"
+            df.select(*key, F.posexplode_outer(ids).alias("pos", "id")),
+            vocab,
+            "id",
+            [*key, "pos"],
+            "left",
         )
         .groupBy(*key)
         .agg(
@@ -171,8 +174,9 @@ def decode_by_join(
         )
         .select(*key, _text(F.array_join("found.hex", "")).alias(output))
     )
-    empty = F.when(F.col(ids).isNotNull(), F.lit(""))
-    return df.join(texts, list(key), "left").withColumn(output, F.coalesce(output, empty))
+    return df.join(texts, list(key), "left").withColumn(
+        output, F.when(F.col(ids).isNotNull(), F.col(output))
+    )
 
 
 def _text(hexes: Column) -> Column:

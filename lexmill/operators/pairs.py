@@ -10,9 +10,13 @@ from lexmill.functions import text as T
 
 
 def symbol_words(counts: DataFrame) -> DataFrame:
-    """``(word, cnt)`` to ``(sym, cnt)``, leaving out words of one symbol: they hold no pair."""
-    words = counts.select(T.symbols(F.col("word")).alias("sym"), "cnt")
-    return words.where(has_pair())
+    """``(word, cnt)`` to ``(sym, cnt)``, leaving out words of one byte: they hold no pair.
+
+    The filter looks at the word itself: it may be pushed below the count, where it is evaluated
+    for each occurrence.
+    """
+    words = counts.where(F.octet_length("word") > 1)
+    return words.select(T.symbols(F.col("word")).alias("sym"), "cnt")
 
 
 def has_pair() -> Column:
@@ -24,10 +28,9 @@ def neighbours(words: DataFrame, width: int) -> DataFrame:
 
     The symbols come out with their opening delimiter only, as in ``(74``.
     """
-    cut = words.select(F.split("sym", r"\)").alias("s"), "cnt").where(F.size("s") > width)
-    runs = F.arrays_zip(
-        *(F.slice("s", i + 1, F.size("s") - width).alias(f"s{i}") for i in range(width))
-    )
+    cut = words.select(F.split("sym", r"\)").alias("s"), "cnt")
+    n = F.greatest(F.size("s") - width, F.lit(0))
+    runs = F.arrays_zip(*(F.slice("s", i + 1, n).alias(f"s{i}") for i in range(width)))
     return cut.select("cnt", F.inline(runs))
 
 
