@@ -31,7 +31,7 @@ STRIPPED = (
 
 def normalize_newlines(text: Column) -> Column:
     """``\\r\\n`` and lone ``\\r`` become ``\\n`` (universal newlines)."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def strip(text: Column) -> Column:

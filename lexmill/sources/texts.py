@@ -81,7 +81,7 @@ def read_marked(
     if keep_marker:
         records = _with_ends(records, marker)
     text = T.normalize_newlines(F.col("value")).alias("text")
-    return records.select("file", "split", "row", text).where("text <> ''")
+    return records.where("value <> ''").select("file", "split", "row", text)
 
 
 def read_documents(spark: SparkSession, path: Paths, marker: str = T.END_OF_TEXT) -> DataFrame:
