@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.operators.merge_choice import Pair, choose_merges
 from lexmill.operators.pairs import (
+    among,
+    changed_words,
     has_pair,
     merge_pairs,
-    pair_changes,
     pair_counts,
     symbol_words,
     top_pairs,
@@ -19,35 +21,89 @@ from lexmill.operators.pairs import (
 from lexmill.operators.tokenizer import Tokenizer, tokenizer_from_merges
 from lexmill.session import new_folder, spread, stored
 
-# Most pairs looked at per round; the driver receives these and the triples made of them.
+# Pairs a full count hands to the driver.  Updates may let the list grow to a multiple of it.
 CANDIDATES = 512
-# A round looks at this many pairs for each merge the round before it found.
-CANDIDATES_PER_MERGE = 8
+GROWTH = 4
 # Rounds between two writes of the state, the most a lost executor can make Spark repeat.
 ROUNDS_PER_WRITE = 8
 
+Triple = tuple[str, str, str]
 
-def symbols_of(run: str) -> list[str]:
-    """``(61)(62)`` to ``["61", "62"]``."""
-    return run[1:-1].split(")(")
 
+@dataclass(frozen=True)
+class Candidates:
+    """Exact counts of the most frequent pairs and of the triples made of two of them.
 
-def next_merges(
-    words: DataFrame, pairs: DataFrame, tokens: set[str], candidates: int, limit: int
-) -> list[Pair]:
-    """Merges the loop would make next, found by one pass over the pairs and one over the words."""
-    top = top_pairs(pairs, candidates).collect()
-    if not top:
-        return []
-    unlisted = top[-1].cnt if len(top) == candidates else 0
-    triples = {}
-    if limit > 1:
-        rows = triple_counts(words, [row.pair for row in top]).collect()
-        for row in rows:
-            x, y = symbols_of(row.front)
-            triples[x, y, symbols_of(row.back)[1]] = row.cnt
-    listed = [(*symbols_of(row.pair), row.cnt) for row in top]
-    return choose_merges(listed, unlisted, triples, tokens, limit)
+    Every pair that is not listed occurs at most ``unlisted`` times.
+    """
+
+    pairs: dict[Pair, int]
+    triples: dict[Triple, int]
+    unlisted: int
+
+
+def symbols_of(run: str) -> tuple[str, ...]:
+    """``(61)(62)`` to ``("61", "62")``."""
+    return tuple(run[1:-1].split(")("))
+
+
+def run_of(pair: Pair) -> str:
+    return f"({pair[0]})({pair[1]})"
+
+
+def count_triples(words: DataFrame, pairs: Sequence[Pair]) -> dict[Triple, int]:
+    rows = triple_counts(words, [run_of(pair) for pair in pairs]).collect() if pairs else []
+    return {(*symbols_of(row.front), symbols_of(row.back)[1]): row.cnt for row in rows}
+
+
+def count_candidates(words: DataFrame, size: int) -> Candidates:
+    """Candidates from a count over all words."""
+    top = {symbols_of(row.pair): row.cnt for row in top_pairs(pair_counts(words), size).collect()}
+    unlisted = min(top.values()) if len(top) == size else 0
+    return Candidates(top, count_triples(words, list(top)), unlisted)
+
+
+def update_candidates(known: Candidates, words: DataFrame, size: int) -> Candidates | None:
+    """Candidates after a round, from the altered words only.
+
+    Merging takes from the pairs there are, so a pair that gains is new and occurs in altered
+    words only: its change is its count.  Unlisted pairs never gain.  Gives nothing when the list
+    has become too short or too long, which calls for a new count.
+    """
+    changed = changed_words(words)
+    listed = among([run_of(pair) for pair in known.pairs])
+    most = GROWTH * size + len(known.pairs)
+    rows = (
+        pair_counts(changed)
+        .where(f"pair in ({listed}) or cnt > {known.unlisted}")
+        .limit(most + 1)
+        .collect()
+    )
+    if len(rows) > most:
+        return None
+    pairs = dict(known.pairs)
+    for row in rows:
+        pair = symbols_of(row.pair)
+        pairs[pair] = pairs.get(pair, 0) + row.cnt
+    pairs = {pair: cnt for pair, cnt in pairs.items() if cnt > known.unlisted}
+    short = known.unlisted > 0 and len(pairs) < max(1, size // 8)
+    if short or len(pairs) > GROWTH * size:
+        return None
+    triples = {
+        triple: cnt
+        for triple, cnt in known.triples.items()
+        if triple[:2] in pairs and triple[1:] in pairs
+    }
+    for triple, cnt in count_triples(changed, list(pairs)).items():
+        triples[triple] = triples.get(triple, 0) + cnt
+    return Candidates(pairs, triples, known.unlisted)
+
+
+def next_merges(known: Candidates, tokens: set[str], limit: int) -> list[Pair]:
+    """The merges that certainly come next, in order."""
+    ranked = sorted(known.pairs.items(), key=lambda item: (item[1], item[0]), reverse=True)
+    top = [(a, b, cnt) for (a, b), cnt in ranked]
+    return choose_merges(top, known.unlisted, known.triples, tokens, limit) if top else []
 
 
 def learn_merges(
@@ -58,52 +114,43 @@ def learn_merges(
 ) -> list[Pair]:
     """The first ``limit`` merges of a ``(word, cnt)`` table, fewer if no pair is left.
 
-    State are the words as symbol strings and the pair counts.  A round applies its merges to
-    the words and adds the change of the altered words to the pair counts, so only the sums of
-    changed pairs are shuffled.  Between writes the state is persisted; every few rounds both
-    tables go to the shared work folder, alternating between two places, which cuts the lineage.
+    The state is the table of words as symbol strings.  A round applies its merges to the words
+    and sums the changes of the altered ones; only now and then are all words counted again.
+    Between writes the words are persisted; every few rounds they go to the shared work folder,
+    alternating between two places, which cuts the lineage.
     """
     if limit <= 0:
         return []
     folder = new_folder(counts.sparkSession, "bpe")
     words = spread(stored(symbol_words(counts), f"{folder}/words-0"), "sym").persist()
-    pairs = pair_counts(words).persist()
-    merges: list[Pair] = []
     tokens = {f"{byte:02X}" for byte in range(256)}
-    retired: list[DataFrame] = []
-    batch: list[Pair] = []
+    merges: list[Pair] = []
     rounds = 0
+    known = count_candidates(words, candidates)
     while True:
-        wanted = min(candidates, max(64, CANDIDATES_PER_MERGE * len(batch)))
-        batch = next_merges(words, pairs, tokens, wanted, limit - len(merges))
-        for frame in retired:
-            frame.unpersist()
+        batch = next_merges(known, tokens, limit - len(merges))
+        made = ["".join(pair) for pair in batch]
+        fresh = len(set(made) - tokens) == len(made)
         merges += batch
-        tokens.update("".join(pair) for pair in batch)
+        tokens.update(made)
         if not batch or len(merges) >= limit:
             break
-        retired = [words, pairs]
-        rounds += 1
+        previous = words
         words = (
-            words.where(has_pair())
+            previous.where(has_pair())
             .select(F.col("sym").alias("before"), merge_pairs(F.col("sym"), batch).alias("sym"), "cnt")
             .persist()
         )
-        pairs = (
-            pairs.unionByName(pair_changes(words))
-            .groupBy("pair")
-            .agg(F.sum("cnt").alias("cnt"))
-            .where("cnt > 0")
-        )
+        updated = update_candidates(known, words, candidates) if fresh else None
+        known = updated or count_candidates(words, candidates)
+        previous.unpersist()
+        rounds += 1
         if rounds % rounds_per_write == 0:
-            slot = rounds // rounds_per_write % 2
-            retired.append(words)
-            pairs = stored(pairs, f"{folder}/pairs-{slot}")
-            left = words.select("sym", "cnt").where(has_pair())
+            previous, slot = words, rounds // rounds_per_write % 2
+            left = previous.select("sym", "cnt").where(has_pair())
             words = spread(stored(left, f"{folder}/words-{slot}"), "sym").persist()
-        pairs = pairs.persist()
+            previous.unpersist()
     words.unpersist()
-    pairs.unpersist()
     return merges
 
 

@@ -59,9 +59,14 @@ def pair_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.get(sides, F.lit(1)).alias("a"), F.get(sides, F.lit(2)).alias("b"), "cnt")
 
 
+def among(pairs: Sequence[str]) -> str:
+    """SQL list of symbol strings, which hold only hex digits and parentheses."""
+    return ",".join(f"'{pair}'" for pair in pairs)
+
+
 def triple_counts(words: DataFrame, pairs: Sequence[str]) -> DataFrame:
     """Counts of three adjacent symbols whose two pairs are both among ``pairs``."""
-    listed = ",".join(f"'{pair}'" for pair in pairs)
+    listed = among(pairs)
     runs = neighbours(words, 3).select(
         joined("s0", "s1").alias("front"), joined("s1", "s2").alias("back"), "cnt"
     )
@@ -83,10 +88,11 @@ def merge_pairs(sym: Column, merges: Sequence[tuple[str, str]]) -> Column:
     return F.aggregate(rules, sym, lambda s, r: F.replace(s, r["f"], r["p"]))
 
 
-def pair_changes(words: DataFrame) -> DataFrame:
-    """Change of the pair counts from the words ``before`` to ``sym``, for altered words only."""
+def changed_words(words: DataFrame) -> DataFrame:
+    """``(sym, cnt)`` whose counts are changes: altered words once as ``before``, negative, and
+    once as they are now."""
     altered = words.where("before <> sym")
-    signed = altered.select(
+    return altered.select(
         F.inline(
             F.array(
                 F.struct(F.col("before").alias("sym"), (-F.col("cnt")).alias("cnt")),
@@ -94,4 +100,3 @@ def pair_changes(words: DataFrame) -> DataFrame:
             )
         )
     )
-    return pair_counts(signed)
