@@ -6,7 +6,8 @@ where it is, and what is new is appended.  Only built-in functions are used.
 
 Defined results: a null text counts as empty; equal texts are those identical after lower-casing
 A-Z; an empty table gives no rows; further columns of the input are ignored here (the caller joins
-by key); rows repeated with the same key count as copies, and one of them is kept.
+by key); a null key never stays beside another one; rows that repeat key and text count as copies,
+share one verdict in ``deduplicate`` and leave one row in ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -124,10 +125,18 @@ def deduplicate(
 
 
 def kept_rows(index: DigestIndex, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are.
+    """One row of ``docs`` for every text that is new to the index, all columns as they are.
 
-    Copies inside a batch are settled before the texts move: only keys are joined back.
+    Keys and digests settle which row stays; texts move once, to meet the keys that stay.  Rows that
+    share key and text are copies too: one of them stays.
     """
+    spark = docs.sparkSession
     found = deduplicate(index, docs, key, text)
-    stay = found.where(F.col(key) == F.col("keep_id")).select(key).distinct()
-    return docs.join(stay, key, "left_semi")
+    stay = found.where(F.col(key) == F.col("keep_id")).groupBy(key, "digest").count()
+    stay = stored(stay, new_folder(spark, "kept-keys"))
+    marked = docs.withColumn("_digest", text_digest(F.col(text)))
+    same = F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("_digest") == F.col("s.digest"))
+    kept = marked.alias("d").join(stay.alias("s"), same, "left_semi")
+    if stay.where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([key, "_digest"])
+    return kept.drop("_digest")
