@@ -101,7 +101,7 @@ def deduplicate(
     """Adds ``docs`` to the index and returns ``(key, digest, keep_id, group_size)`` per row.
 
     ``keep_id`` is the key of the row that stays: the indexed one, or for a text new to the index
-    the largest key among its copies.  ``group_size`` counts the copies in ``docs``.  With several
+    the largest key among its copies; adding a batch again so gives the same answer.  ``group_size`` counts the copies in ``docs``.  With several
     ``batches`` the key range is added in as many parts, largest keys first; the result is the same.
     """
     spark = docs.sparkSession
@@ -132,7 +132,7 @@ def kept_rows(index: DigestIndex, docs: DataFrame, key: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     found = deduplicate(index, docs, key, text)
-    stay = found.where(F.col(key) == F.col("keep_id")).groupBy(key, "digest").count()
+    stay = found.where(F.col(key).eqNullSafe(F.col("keep_id"))).groupBy(key, "digest").count()
     stay = stored(stay, new_folder(spark, "kept-keys"))
     marked = docs.withColumn("_digest", text_digest(F.col(text)))
     same = F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("_digest") == F.col("s.digest"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import exact_dedup, quality_rules
+from lexmill.llm import exact_dedup, packing, personal_data, quality_rules, secret_scan, warc
 from lexmill.session import new_folder
 
+# A vocabulary file among the installed public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,7 +28,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -33,15 +37,48 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
+    "op10_personal_data": op10_personal_data,
 }
 
 # Lower-cases A-Z only.
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM g
+    """,
     "op3_quality_rules": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,

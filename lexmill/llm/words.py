@@ -1,4 +1,4 @@
-"""Words and word shingles of whole texts as 64-bit numbers, for use inside tasks.
+"""Words and word shingles of whole texts, in Arrow and numpy, for use inside tasks.
 
 A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``.  A word's number is a 64-bit hash; a
 shingle's number mixes those of its words.  Two given shingles share a number with a chance of
@@ -7,23 +7,68 @@ about one in 10**19.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-
-def split_words(text: str | None, lower: bool = True) -> list[bytes]:
-    """Words of a text (null: none); ``lower`` folds A-Z only."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    # bytes.split cuts at exactly these six characters and bytes.lower changes A-Z only.
-    return (data.lower() if lower else data).split()
-
-
-def word_numbers(text: str | None, lower: bool = True) -> np.ndarray:
-    found = split_words(text, lower)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+# Bytes of text that are cut into words at once.
+SLICE_BYTES = 8 << 20
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text, or one row where it is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of several texts: those of text ``i`` are ``codes[ends[i] : ends[i + 1]]``."""
+
+    ends: np.ndarray
+    codes: np.ndarray
+    distinct: pa.Array
+
+    def numbers(self) -> np.ndarray:
+        """The 64-bit number of every word."""
+        found = self.distinct.cast(pa.binary()).to_pylist()
+        table = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        return table[self.codes]
+
+
+def words_of(texts: pa.Array, lower: bool = True) -> Words:
+    """Words of an array of texts (null: none); ``lower`` folds A-Z only."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts) if lower else texts)
+    parts = pc.ascii_split_whitespace(trimmed)
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = parts.flatten()
+    blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # a text without words is one empty word to Arrow
+        counts[blank] = 0
+        found = found.filter(pc.not_equal(found, ""))
+    coded = found.dictionary_encode()
+    return Words(
+        np.r_[0, np.cumsum(counts)],
+        coded.indices.to_numpy(zero_copy_only=False),
+        coded.dictionary,
+    )
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,6 +95,18 @@ def distinct(numbers: np.ndarray) -> np.ndarray:
     return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
 
 
-def shingles(numbers: np.ndarray, width: int) -> np.ndarray:
-    """Distinct shingles in ascending order; a shorter text is one shingle, an empty one has none."""
-    return distinct(windows(numbers, min(width, len(numbers))) if len(numbers) else numbers)
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Per text its distinct shingles in ascending order.
+
+    A text of fewer words is one shingle, a text without words has none.
+    """
+    words = words_of(texts)
+    numbers = words.numbers()
+    every = windows(numbers, width)
+    out = []
+    for start, stop in zip(words.ends[:-1], words.ends[1:]):
+        if stop - start >= width:
+            out.append(distinct(every[start : stop - width + 1]))
+        else:
+            out.append(windows(numbers[start:stop], max(1, int(stop - start))))
+    return out
