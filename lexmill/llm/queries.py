@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import exact_dedup, packing, personal_data, quality_rules, secret_scan, warc
+from lexmill.llm import (
+    exact_dedup,
+    ngram_join,
+    packing,
+    personal_data,
+    quality_rules,
+    secret_scan,
+    warc,
+)
 from lexmill.session import new_folder
 
 # A vocabulary file among the installed public tokenizers.
@@ -53,7 +61,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(documents(spark, sf_dir), width=3, percent=90)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
