@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_dedup, quality_rules
+from lexmill.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
+from lexmill.llm.queries import TOKENIZER
 from lexmill.session import new_folder, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,9 +29,28 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.kept_rows(index, docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five-word shingles at 0.8: one document of each group stays."""
+    return ngram_join.kept_rows(docs, width=5, percent=80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: a document comes as often as its fitted rate says."""
+    mix, _ = mixing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mixed_rows(docs, mix)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing into sequences: the pieces, with the checksum of their ids."""
+    return packing.report(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", clean),
     ("exact dedup", distinct_texts),
+    ("n-gram join", one_of_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
 ]
 
 # Mixing weights and near-duplicate groups come from iterations that SQL does not express.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm import (
     exact_dedup,
+    mixing,
     ngram_join,
     packing,
     personal_data,
@@ -65,10 +66,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(documents(spark, sf_dir), width=3, percent=90)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
