@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm import (
     exact_dedup,
+    lm_scoring,
     mixing,
     ngram_join,
     packing,
@@ -70,9 +71,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
