@@ -34,10 +34,12 @@ from lexmill.llm.components import connected
 from lexmill.llm.words import shingle_sets, slices
 from lexmill.session import new_folder, stored
 
-CELL_BITS = 20
+CELL_BITS = 22
 SHIFT = np.uint64(64 - CELL_BITS)
 PIECE = 1 << 14
 FRAGMENTS = 4
+# Keys that are sent to every task to pick texts by; more are met by a shuffle of the texts.
+MOST_SENT = 300_000
 # Classes that a task remembers, to send the n-grams of copies once.
 REMEMBERED = 1_000_000
 
@@ -220,11 +222,7 @@ def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     Overlaps are counted per fragment and summed per pair.  The largest count per fragment is taken,
     as a class may have been cut more than once where keys repeat.
     """
-    spark = pairs.sparkSession
-    one = stored(
-        pairs.join(segments.withColumnRenamed("class", "a"), "a").withColumnRenamed("grams", "x"),
-        new_folder(spark, "first-segments"),
-    )
+    one = pairs.join(segments.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("x")), "a")
     other = segments.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("y"))
     counted = one.join(other, ["b", "fragment"]).mapInArrow(
         _overlaps, "b binary, fragment int, a binary, na int, nb int, both long"
@@ -265,16 +263,16 @@ def grouped(
     rank, pivots = global_order(table.where("piece IS NOT NULL").select("piece", "counts"))
     rank, pivots = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(pivots)
 
-    # N-grams at which classes meet: the smallest and largest class that have one differ.
+    # N-grams at which classes meet.  A class that is too far in size from its neighbours among those
+    # that have the n-gram is too far from all of them.
     own = W.partitionBy("gram")
+    by_size = own.orderBy("n", "class")
+    near = lambda small, large: 100 * small >= percent * large
+    meets = near(F.lag("n").over(by_size), F.col("n")) | near(F.col("n"), F.lead("n").over(by_size))
+    shared = _prefixes(rows, width, percent, rank).repartition("gram").distinct()
+    shared = shared.withColumn("meets", meets).where("meets").drop("meets")
     first = F.min(F.struct("class", "n", "pos")).over(own)
-    shared = _prefixes(rows, width, percent, rank).select(
-        "*", first.alias("first"), F.max("class").over(own).alias("last")
-    )
-    shared = stored(
-        shared.where(F.col("first.class") < F.col("last")).drop("last").distinct(),
-        new_folder(spark, "shared-grams"),
-    )
+    shared = stored(shared.withColumn("first", first), new_folder(spark, "shared-grams"))
     least_key = stored(
         members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least")),
         new_folder(spark, "classes"),
@@ -284,6 +282,8 @@ def grouped(
         F.col("least").alias("key")
     )
     wanted = stored(wanted.distinct(), new_folder(spark, "wanted"))
+    if wanted.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
     segments = stored(
         _segments(rows.join(wanted, "key", "left_semi"), width, rank, pivots),
         new_folder(spark, "segments"),
