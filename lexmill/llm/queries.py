@@ -14,6 +14,7 @@ from lexmill.llm import (
     ngram_join,
     packing,
     personal_data,
+    quality_lm,
     quality_rules,
     secret_scan,
     warc,
@@ -75,7 +76,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(documents(spark, sf_dir))
 
 
+def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_lm": op1_quality_lm,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
