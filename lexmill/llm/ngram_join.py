@@ -216,14 +216,36 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows that have one of ``keys``, a table of one column; few keys are sent to every task."""
+    keys = stored(keys.distinct(), new_folder(rows.sparkSession, "wanted"))
+    if keys.count() <= MOST_SENT:
+        keys = F.broadcast(keys)
+    return rows.join(keys, keys.columns, "left_semi")
+
+
+def segments_of(
+    pairs: DataFrame, rows: DataFrame, least_key: DataFrame, width: int, rank, pivots
+) -> DataFrame:
+    """Segments of the classes in ``pairs``, cut from the text of one row of each, stored."""
+    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    keys = classes.join(least_key, "class").select(F.col("least").alias("key"))
+    return stored(
+        _segments(only(rows, keys), width, rank, pivots), new_folder(rows.sparkSession, "segments")
+    )
+
+
 def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b, na, nb)`` whose sets are as alike as asked, as ``(a, b)``.
 
     Overlaps are counted per fragment and summed per pair.  The largest count per fragment is taken,
     as a class may have been cut more than once where keys repeat.
     """
-    one = pairs.join(segments.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("x")), "a")
-    other = segments.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("y"))
+    side = lambda name, grams: only(
+        segments.select(F.col("class").alias(name), "fragment", F.col("grams").alias(grams)),
+        pairs.select(name),
+    )
+    one, other = pairs.join(side("a", "x"), "a"), side("b", "y")
     counted = one.join(other, ["b", "fragment"]).mapInArrow(
         _overlaps, "b binary, fragment int, a binary, na int, nb int, both long"
     )
@@ -277,22 +299,11 @@ def grouped(
         members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least")),
         new_folder(spark, "classes"),
     )
-    # The texts of one row per class that meets another.
-    wanted = shared.select("class").distinct().join(least_key, "class").select(
-        F.col("least").alias("key")
-    )
-    wanted = stored(wanted.distinct(), new_folder(spark, "wanted"))
-    if wanted.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)
-    segments = stored(
-        _segments(rows.join(wanted, "key", "left_semi"), width, rank, pivots),
-        new_folder(spark, "segments"),
-    )
-
     pairs = shared.select(F.struct("class", "n", "pos").alias("x"), F.col("first").alias("y"))
     pairs = pairs.where((F.col("x.class") != F.col("y.class")) & _may_link(percent))
     pairs = stored(pairs.select(*_pair(percent)).distinct(), new_folder(spark, "first-pairs"))
-    edges = stored(links(pairs, segments, percent), new_folder(spark, "first-links"))
+    cut = lambda pairs: segments_of(pairs, rows, least_key, width, rank, pivots)
+    edges = stored(links(pairs, cut(pairs), percent), new_folder(spark, "first-links"))
     parts = stored(connected(edges), new_folder(spark, "first-components"))
 
     # What is left: classes of different components that meet at an n-gram.
@@ -313,7 +324,7 @@ def grouped(
     )
     rest = rest.select(*_pair(percent)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(rest.select("a", "b", "na", "nb"), new_folder(spark, "other-pairs"))
-    further = stored(links(rest, segments, percent), new_folder(spark, "other-links"))
+    further = stored(links(rest, cut(rest), percent), new_folder(spark, "other-links"))
     if further.limit(1).count():
         parts = connected(edges.unionByName(further))
 
