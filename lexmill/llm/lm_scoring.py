@@ -37,7 +37,7 @@ from lexmill.session import new_folder, stored
 
 FOLDS, HELD = 5, 1
 # Bytes of text in a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 # A word cannot hold a blank, so this names the end of a text.
 END = xxhash.xxh3_64_intdigest(b" ")
 
@@ -49,7 +49,7 @@ BATCH = 4096
 RATE = 0.05
 SEED = 11
 # Tokens scored at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 PIECE = 1 << 12
 
 
