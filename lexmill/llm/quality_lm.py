@@ -222,20 +222,25 @@ def perplexities(
     answers = answers.select("chunk", "pos", F.log10("p").cast("float").alias("score"))
     texts = chunks.where("pos IS NULL").drop("pos", "gram", "n")
     rows = answers.unionByName(texts, allowMissingColumns=True)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("pos").isNull(), "pos")
+    # One number to sort by: a chunk's answers in any order, then its texts.
+    turn = F.shiftleft("chunk", 1) + F.when(F.col("pos").isNull(), 1).otherwise(0)
+    rows = rows.repartition("chunk").sortWithinPartitions(turn)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The answers of a chunk arrive in order before its texts."""
-        waiting: list[np.ndarray] = []
+        """The answers of a chunk arrive before its texts."""
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
             while batch.num_rows:
                 at = np.flatnonzero(batch["pos"].is_null().to_numpy(zero_copy_only=False))
                 stop = int(at[0]) if len(at) else batch.num_rows
-                waiting.append(batch["score"].slice(0, stop).to_numpy(zero_copy_only=False))
+                waiting.append(batch.slice(0, stop).select(["pos", "score"]))
                 if not len(at):
                     break
-                yield finished(np.concatenate(waiting).astype(float), batch.slice(stop, 1))
+                answers = pa.Table.from_batches(waiting)
+                scores = np.empty(answers.num_rows)
+                scores[answers["pos"].to_numpy()] = answers["score"].to_numpy()
+                yield finished(scores, batch.slice(stop, 1))
                 waiting, batch = [], batch.slice(stop + 1)
 
     def finished(scores: np.ndarray, row: pa.RecordBatch) -> pa.RecordBatch:
