@@ -178,7 +178,7 @@ def unigrams(counts: DataFrame, shortlist: int = SHORTLIST) -> Unigrams:
 def coded_texts(chunks: DataFrame, counts: DataFrame, known: Unigrams) -> DataFrame:
     """Per chunk its keys, class sequences and what the counts say of each text, stored.
 
-    The counts of a chunk's words arrive before the chunk, in order, so a task holds one chunk.
+    The counts of a chunk's words arrive before its texts, so a task holds one chunk.
     """
     spark = chunks.sparkSession
     classes = spark.createDataFrame(  # SHORTLIST rows at most
@@ -193,7 +193,9 @@ def coded_texts(chunks: DataFrame, counts: DataFrame, known: Unigrams) -> DataFr
         short.select("chunk", "pos", F.lit(None).cast("long").alias("count"), "class")
     )
     rows = words.unionByName(texts, allowMissingColumns=True)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("pos").isNull(), "pos")
+    # One number to sort by: a chunk's words in any order, then its texts.
+    turn = F.shiftleft("chunk", 1) + F.when(F.col("pos").isNull(), 1).otherwise(0)
+    rows = rows.repartition("chunk").sortWithinPartitions(turn)
     shares = known.shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
