@@ -19,7 +19,7 @@ from lexmill.operators.pairs import (
     triple_counts,
 )
 from lexmill.operators.tokenizer import Tokenizer, tokenizer_from_merges
-from lexmill.session import new_folder, spread, stored
+from lexmill.session import new_folder, stored
 
 # Pairs a full count hands to the driver.  Updates may let the list grow to a multiple of it.
 CANDIDATES = 512
@@ -122,7 +122,7 @@ def learn_merges(
     if limit <= 0:
         return []
     folder = new_folder(counts.sparkSession, "bpe")
-    words = spread(stored(symbol_words(counts), f"{folder}/words-0"), "sym").persist()
+    words = stored(symbol_words(counts), f"{folder}/words-0").persist()
     tokens = {f"{byte:02X}" for byte in range(256)}
     merges: list[Pair] = []
     rounds = 0
@@ -148,7 +148,7 @@ def learn_merges(
         if rounds % rounds_per_write == 0:
             previous, slot = words, rounds // rounds_per_write % 2
             left = previous.select("sym", "cnt").where(has_pair())
-            words = spread(stored(left, f"{folder}/words-{slot}"), "sym").persist()
+            words = stored(left, f"{folder}/words-{slot}").persist()
             previous.unpersist()
     words.unpersist()
     return merges

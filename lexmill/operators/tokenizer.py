@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 VOCAB_SCHEMA = "pos long, id int, bytes binary"
 MERGES_SCHEMA = "rank int, left binary, right binary"
 
-# Largest tables that are sent to every executor.  Larger ones are joined instead.
-BROADCAST_ROWS = 4_000_000
-BROADCAST_BYTES = 128 * 1024 * 1024
+# Largest tables that are sent to every executor.  Larger ones are joined instead.  In a Python worker
+# an entry takes about 250 bytes beside its own, so the tables stay below about 150 MB there.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 @dataclass(frozen=True, eq=False)

@@ -22,7 +22,7 @@ from lexmill.operators.sequence import (
 )
 from lexmill.operators.statistics import bytes_per_token
 from lexmill.operators.tokenizer import Tokenizer
-from lexmill.sources.texts import Paths, read_documents, read_lines, read_marked, read_texts
+from lexmill.sources.texts import Paths, read_documents, read_lines, read_pieces, read_texts
 from lexmill.sources.token_store import (
     SHARD_BLOCKS,
     ids_path,
@@ -51,10 +51,11 @@ def train_tokenizer(
 
 
 def training_texts(spark: SparkSession, input_path: Paths, specials: Sequence[str]) -> DataFrame:
-    """Texts to count.  A single special token separates them in the reader, in parallel."""
-    if len(set(specials)) == 1:
-        return read_marked(spark, input_path, specials[0])
-    return read_texts(spark, input_path)
+    """Texts to count, read in parallel; pre-tokens and special tokens stay whole."""
+    if any("\n" in token or "\r" in token for token in specials):
+        # Such a token may lie across the places where files are cut.
+        return read_texts(spark, input_path)
+    return read_pieces(spark, input_path)
 
 
 def tokenize_dataset(
@@ -71,16 +72,15 @@ def tokenize_dataset(
     """Encode text files into one stored token sequence and return its folder.
 
     ``unit="line"`` encodes line by line, so white space never joins across a line end;
-    ``unit="document"`` encodes the text between the first special token as a whole, which gives
-    the ids of the undivided text.
+    ``unit="document"`` gives the ids of the undivided text.
     """
     tok = load_tokenizer(spark, vocab_path, merges_path, specials)
     if unit == "line":
         rows, inside = read_lines(spark, input_path), ["row", "part"]
     elif unit == "document":
-        if len(set(specials)) != 1:
-            raise ValueError("documents need exactly one special token to end them")
-        rows, inside = read_marked(spark, input_path, specials[0], keep_marker=True), ["row"]
+        if any("\n" in token or "\r" in token for token in specials):
+            raise ValueError("special tokens with line ends cannot be encoded in pieces")
+        rows, inside = read_pieces(spark, input_path), ["row"]
     else:
         raise ValueError(f"unknown unit {unit!r}")
     bucket = ["file", "split"]

@@ -18,7 +18,7 @@ from lexmill.operators import (
     statistics,
     tokenizer,
 )
-from lexmill.session import new_folder, spread, stored
+from lexmill.session import new_folder, stored
 from lexmill.sources import texts, token_store, tokenizer_files
 from lexmill.streaming import encoding as streaming
 
@@ -40,12 +40,12 @@ TOP_P = 0.9
 _trained: dict[tuple[str, str], tokenizer.Tokenizer] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", "source", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
 
 
 def marked_text(text: str = "text") -> Column:
@@ -121,12 +121,12 @@ def pretoken_counts_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pretoken_counts_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations", "conv_id")
+    turns = table(spark, sf_dir, "conversations")
     return corpus.word_counts(turns, by=["role"])
 
 
 def pretoken_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.word_counts(table(spark, sf_dir, "pages", "page_id"), text="html")
+    return corpus.word_counts(table(spark, sf_dir, "pages"), text="html")
 
 
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,9 +283,9 @@ def encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of the documents encoded as a stream; occurrences of each line's ids."""
     folder = new_folder(spark, "stream")
     documents(spark, sf_dir).select("text").write.text(f"{folder}/in")
-    lines = streaming.stream_lines(spark, f"{folder}/in", files_per_trigger=4)
+    records = streaming.stream_records(spark, f"{folder}/in", batch_bytes=8 << 20)
     query = streaming.write_encoded_stream(
-        lines, trained(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint"
+        records, trained(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint"
     )
     query.awaitTermination()
     lines_out = spark.read.parquet(f"{folder}/out")
@@ -324,7 +324,7 @@ def bytes_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled documents of two corpora measured with the same tokenizer."""
     tok = trained(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("item_id", "doc_id")
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
     rows = []
     for name, corpus_rows in (("documents", documents(spark, sf_dir)), ("benchmark", items)):
         sample = sampling.hashed_sample(corpus_rows, SAMPLE_SIZE, SEED)
@@ -374,7 +374,7 @@ def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings", "vec_id")
+    vectors = table(spark, sf_dir, "embeddings")
     return vectors.select("vec_id", F.col("embedding").alias("logits"), F.col("label").alias("target"))
 
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Folder used in place of spark.checkpoint.dir by local sessions that name none.
-_local_folders: dict[str, str] = {}
-
 
 def build_session(app: str = "lexmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; ``conf`` overrides them."""
@@ -28,19 +24,11 @@ def build_session(app: str = "lexmill", master: str | None = None, **conf: str)
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may go without the setting; it gets a temporary folder.
-    """
+    """Folder every executor can read: ``spark.checkpoint.dir``, or one in the warehouse if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lexmill-")
-    return _local_folders[context.applicationId]
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexmill_work"
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -55,14 +43,3 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when a small input comes in fewer scan tasks than there are cores.
-
-    Large inputs already have more tasks than cores and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

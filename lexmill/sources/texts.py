@@ -1,4 +1,9 @@
-"""Text files as documents and lines."""
+"""Text files as documents, lines and pieces.
+
+Records are read once, in parallel splits, and written with their place in the file; whatever needs a
+second look at them (does the file end in a mark, which lines belong together) reads that table, so
+a record keeps its place whatever the splits of another scan would be.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.sequence import running_offsets
+from lexmill.session import new_folder, stored
 
 Paths = str | Sequence[str]
 
+# Files whose ends are sent to every task; those of more files are joined.
+MOST_FILES = 100_000
+BYTE_ORDER_MARK = "\ufeff"
+# The endings by which Spark's text reader chooses a decompressor.
+COMPRESSED = r"\.(gz|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
+
 
 def read_texts(spark: SparkSession, path: Paths) -> DataFrame:
     """``(file, text)``, one row per file, line ends as ``\\n``; malformed UTF-8 is an error.
 
-    For files that fit a task; ``read_marked`` and ``read_lines`` cut large ones.
+    For files that fit a task; ``read_pieces`` and ``read_lines`` cut large ones.
     """
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"),
@@ -22,40 +35,70 @@ def read_texts(spark: SparkSession, path: Paths) -> DataFrame:
     )
 
 
-def _records(spark: SparkSession, path: Paths, end: str) -> DataFrame:
-    """``(file, split, row, file_size, value)``: the text between ``end`` marks.
+def placed_records(records: DataFrame) -> DataFrame:
+    """``(file, split, row, file_size, value)`` of a text scan, stored.
 
     Spark cuts large files into splits and moves each cut to the next mark.  Rows are ordered by
     ``(file, split, row)``.
     """
-    return spark.read.text(path, lineSep=end).select(
-        F.col("_metadata.file_path").alias("file"),
+    file = F.col("_metadata.file_path")
+    # The size of a compressed file says nothing about its text, and with it nothing about its end.
+    plain = F.assert_true(~F.rlike(file, F.lit(COMPRESSED)), F.lit("compressed text files are not read"))
+    placed = records.select(
+        F.when(plain.isNull(), file).alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"),
         F.col("_metadata.file_size").alias("file_size"),
         F.validate_utf8("value").alias("value"),
     )
+    return stored(placed, new_folder(records.sparkSession, "records"))
+
+
+def _records(spark: SparkSession, path: Paths, end: str) -> DataFrame:
+    return placed_records(spark.read.text(path, lineSep=end))
 
 
-def _with_ends(records: DataFrame, end: str) -> DataFrame:
-    """Records with the mark that ended them.
+def with_ends(records: DataFrame, end: str) -> DataFrame:
+    """Records with the mark that ended them and the byte order mark their file began with.
 
-    Only the last record of a file can lack it: it does when the records with a mark each are
-    longer than the file.
+    The reader drops both.  With a mark for each, the records of a file are as long as the file, or
+    longer by one mark where the last has none; a dropped byte order mark makes them three bytes
+    shorter.  Any other length means that the file was changed while it was read.  A file of nothing
+    but a byte order mark has no records.
     """
+    spark = records.sparkSession
     width = len(end.encode())
-    unended = (
-        records.groupBy("file")
-        .agg(
-            F.sum(F.octet_length("value") + width).alias("total"),
-            F.first("file_size").alias("file_size"),
-            F.max(F.struct("split", "row")).alias("last"),
-        )
-        .where("total > file_size")
-        .select("file", "last.split", "last.row", F.lit(True).alias("unended"))
+    off = F.sum(F.octet_length("value") + width) - F.first("file_size")
+    place = F.struct("split", "row")
+    files = records.groupBy("file").agg(
+        off.alias("off"), F.min(place).alias("first"), F.max(place).alias("last")
+    )
+    known = F.assert_true(
+        F.col("off").isin(0, width, -3, width - 3), F.lit("a file does not have the length of its records")
+    )
+    files = files.select(
+        F.when(known.isNull(), F.col("file")).alias("file"),
+        "first",
+        "last",
+        F.col("off").isin(width, width - 3).alias("unended"),
+        F.col("off").isin(-3, width - 3).alias("marked"),
+    )
+    files = stored(files, new_folder(spark, "file-ends"))
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    here = F.struct("split", "row")
+    start = F.when(F.col("marked") & (here == F.col("first")), F.lit(BYTE_ORDER_MARK)).otherwise("")
+    stop = F.when(F.col("unended") & (here == F.col("last")), F.lit("")).otherwise(F.lit(end))
+    joined = records.join(files, "file")
+    return joined.withColumn("value", F.concat(start, "value", stop)).select(*records.columns)
+
+
+def line_parts(records: DataFrame) -> DataFrame:
+    """``(file, split, row, part, text)`` of ended records: universal line ends, each line with its own."""
+    lines = F.regexp_extract_all(
+        T.normalize_newlines(F.col("value")), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)
     )
-    value = F.when(F.col("unended"), F.col("value")).otherwise(F.concat("value", F.lit(end)))
-    return records.join(unended, ["file", "split", "row"], "left").withColumn("value", value)
+    return records.select("file", "split", "row", F.posexplode(lines).alias("part", "text"))
 
 
 def read_lines(spark: SparkSession, path: Paths) -> DataFrame:
@@ -63,45 +106,110 @@ def read_lines(spark: SparkSession, path: Paths) -> DataFrame:
 
     ``part`` counts the lines that lone ``\\r`` make out of one record.
     """
-    ended = _with_ends(_records(spark, path, "\n"), "\n")
-    lines = F.regexp_extract_all(
-        T.normalize_newlines(F.col("value")), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)
+    return line_parts(with_ends(_records(spark, path, "\n"), "\n"))
+
+
+def read_pieces(spark: SparkSession, path: Paths) -> DataFrame:
+    """``(file, split, row, text)``: the text of files of any size in pieces, in this order.
+
+    A piece ends before a line end that follows a character other than white space.  No pre-token
+    and no special token without a line end crosses such a place, so the pre-tokens, and the ids, of
+    the pieces in turn are those of the undivided text.
+    """
+    lines = with_ends(_records(spark, path, "\n"), "\n")
+    # The line end is moved to the front of what follows: each record begins with the one before it.
+    text = T.normalize_newlines(F.col("value"))
+    rows = lines.select("file", "split", "row", text.alias("text"))
+    rows = rows.withColumn("ended", F.endswith("text", F.lit("\n")))
+    body = F.expr("CASE WHEN ended THEN left(text, char_length(text) - 1) ELSE text END")
+    rows = rows.withColumn("body", body)
+    closes = F.rlike("body", F.lit(r"(?U)\S\z")) & F.col("ended")
+    rows = rows.select(
+        "file", "split", "row", "body", "ended", F.when(closes, 1).otherwise(0).alias("closes")
+    )
+    rows = stored(rows, new_folder(spark, "line-bodies"))
+    # A record belongs to the piece numbered by the closing records before it; an open one leaves its
+    # own line end, a closing one leaves it to the next piece.
+    numbered = running_offsets(rows, ["file", "split"], ["row"], "closes", "piece")
+    at = F.struct("split", "row")
+    text = F.struct("split", "row", "body", "ended", "closes")
+    joined = numbered.groupBy("file", "piece").agg(
+        F.min(at).alias("at"), F.array_sort(F.collect_list(text)).alias("rows")
     )
-    return ended.select("file", "split", "row", F.posexplode(lines).alias("part", "text"))
+    parts = F.transform(
+        "rows",
+        lambda r: F.concat(
+            r.body, F.when(r.ended & (r.closes == 0), F.lit("\n")).otherwise(F.lit(""))
+        ),
+    )
+    before = F.when(F.col("piece") > F.col("first_piece"), F.lit("\n")).otherwise(F.lit(""))
+    files = numbered.groupBy("file").agg(
+        F.min("piece").alias("first_piece"),
+        F.max("piece").alias("last_piece"),
+        F.max_by("closes", at).alias("closed"),
+    )
+    files = stored(files, new_folder(spark, "file-pieces"))
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    # A line end that the last record has left has no next piece to go to.
+    left = (F.col("piece") == F.col("last_piece")) & (F.col("closed") == 1)
+    after = F.when(left, F.lit("\n")).otherwise(F.lit(""))
+    text = F.concat(before, F.array_join(parts, ""), after).alias("text")
+    pieces = joined.join(files, "file").select("file", "at.split", "at.row", text)
+    return pieces.where("text <> ''")
 
 
 def read_marked(
     spark: SparkSession, path: Paths, marker: str = T.END_OF_TEXT, keep_marker: bool = False
 ) -> DataFrame:
-    """``(file, split, row, text)``: the text between markers of files of any size, in this order.
+    """``(file, split, row, text)``: the text between markers, in this order.
 
-    ``keep_marker`` leaves at the end of each text the marker that ended it.
+    ``keep_marker`` leaves at the end of each text the marker that ended it.  A text between two
+    markers must fit a task.
     """
-    records = _records(spark, path, marker)
-    if keep_marker:
-        records = _with_ends(records, marker)
+    records = with_ends(_records(spark, path, marker), marker)
+    if not keep_marker:
+        ended = F.endswith("value", F.lit(marker))
+        width = len(marker)
+        records = records.withColumn(
+            "value", F.when(ended, F.expr(f"left(value, char_length(value) - {width})")).otherwise(F.col("value"))
+        )
     text = T.normalize_newlines(F.col("value")).alias("text")
     return records.where("value <> ''").select("file", "split", "row", text)
 
 
 def read_documents(spark: SparkSession, path: Paths, marker: str = T.END_OF_TEXT) -> DataFrame:
-    """``(file, split, row, text)``: documents between markers, or between blank lines in files
+    """``(file, split, row, text)``: documents between markers, or between empty lines in files
     without a marker; stripped, empty ones dropped.
 
-    A first pass over the lines finds out which files hold the marker.
+    Both are put together from lines with universal line ends: a marker inside a line, or an empty
+    line, begins the next document.
     """
-    lines = spark.read.text(path, lineSep="\n")
-    files = (
-        lines.groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.bool_or(F.contains("value", F.lit(marker))).alias("marked"))
-        .collect()
+    if "\n" in marker or "\r" in marker:
+        raise ValueError("a marker cannot hold a line end")
+    lines = stored(read_lines(spark, path), new_folder(spark, "lines"))
+    files = stored(
+        lines.groupBy("file").agg(F.bool_or(F.contains("text", F.lit(marker))).alias("marked")),
+        new_folder(spark, "marked-files"),
+    )
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    parts = F.when(F.col("marked"), F.split("text", F.lit("\\Q" + marker + "\\E"), -1)).otherwise(
+        F.when(F.col("text") == "\n", F.array(F.lit(""), F.lit(""))).otherwise(F.array("text"))
+    )
+    # The last part of a line is open to the next line; all before it end a document.
+    rows = lines.join(files, "file").select(
+        "file", "split", F.struct("row", "part").alias("line"), parts.alias("parts")
+    )
+    rows = rows.withColumn("breaks", F.size("parts") - 1)
+    rows = stored(rows, new_folder(spark, "line-parts"))
+    numbered = running_offsets(rows, ["file", "split"], ["line"], "breaks", "number")
+    pieces = numbered.select(
+        "file", "split", "line", "number", F.posexplode("parts").alias("i", "text")
+    ).where("text <> ''")
+    found = pieces.groupBy("file", (F.col("number") + F.col("i")).alias("row")).agg(
+        F.min("split").alias("split"),
+        F.array_sort(F.collect_list(F.struct("split", "line", "i", "text"))).alias("texts"),
     )
-    found = [
-        read_marked(spark, [row.file for row in files if row.marked == marked], end)
-        for marked, end in ((True, marker), (False, "\n\n"))
-        if any(row.marked == marked for row in files)
-    ]
-    if not found:
-        return read_marked(spark, path, marker)
-    documents = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return documents.withColumn("text", T.strip(F.col("text"))).where("text <> ''")
+    text = T.strip(F.array_join("texts.text", "")).alias("text")
+    return found.select("file", "split", "row", text).where("text <> ''")

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexmill.operators.tokenizer import Tokenizer, fits_broadcast, make_tokenizer
 
 
+# Largest tables that are also written as one text file.
+FILE_ROWS = 4_000_000
+FILE_BYTES = 128 * 1024 * 1024
+
+
 def _bytes(numbers: Column) -> Column:
     return F.unhex(F.array_join(F.transform(numbers, lambda n: F.lpad(F.hex(n), 2, "0")), ""))
 
@@ -18,6 +23,26 @@ def _numbers(data: Column) -> Column:
     return F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("int"))
 
 
+def _checked(value: Column, good: Column, message: str) -> Column:
+    """``value`` where ``good`` holds; anything else ends the query."""
+    refused = F.assert_true(F.coalesce(good, F.lit(False)), F.lit(message))
+    return F.when(refused.isNull(), value)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """The text of a small file; one without any is refused."""
+    found = spark.read.text(path, wholetext=True)
+    if found.where(F.trim("value") != "").isEmpty():
+        raise ValueError(f"{path} is empty")
+    return found
+
+
+def _parsed(value: Column, kind: str) -> Column:
+    """A JSON object; malformed text and entries of another kind end the query."""
+    found = F.from_json(value, kind, {"mode": "FAILFAST"})
+    return _checked(found, found.isNotNull(), "the vocabulary is not a JSON object")
+
+
 def _latest(vocab: DataFrame) -> DataFrame:
     """An id given twice keeps its first place and its last bytes."""
     return vocab.groupBy("id").agg(
@@ -26,27 +51,46 @@ def _latest(vocab: DataFrame) -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, id, bytes)`` from ``{"id": [byte, …], …}``; ``pos`` is the place in the file."""
-    entries = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.map_entries(F.from_json("value", "map<string,array<int>>")))
-        .alias("pos", "entry")
+    """``(pos, id, bytes)`` from ``{"id": [byte, …], …}``; ``pos`` is the place in the file.
+
+    A path that ends in ``.parquet`` is read as the table itself.
+    """
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    kind = "map<string,array<int>>"
+    entries = _whole(spark, path).select(
+        F.posexplode(F.map_entries(_parsed(F.col("value"), kind))).alias("pos", "entry")
+    )
+    numbers = F.col("entry.value")
+    numbers = _checked(
+        numbers,
+        numbers.isNotNull() & F.forall(numbers, lambda n: F.coalesce(n.between(0, 255), F.lit(False))),
+        "a token holds something other than bytes",
     )
     return _latest(
         entries.select(
             F.col("pos").cast("long").alias("pos"),
             F.col("entry.key").cast("int").alias("id"),
-            _bytes(F.col("entry.value")).alias("bytes"),
+            _bytes(numbers).alias("bytes"),
         )
     )
 
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
-    """``(rank, left, right)`` from lines of two hex strings; blank lines are skipped."""
+    """``(rank, left, right)`` from lines of two hex strings; blank lines are skipped.
+
+    A path that ends in ``.parquet`` is read as the table itself.
+    """
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
     whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r\n?|\n"), lambda line: F.trim(line) != "")
-    sides = F.split(F.trim(F.col("line")), r"\s+")
-    return whole.select(F.posexplode(lines).alias("rank", "line")).select(
-        "rank", F.unhex(F.get(sides, F.lit(0))).alias("left"), F.unhex(F.get(sides, F.lit(1))).alias("right")
+    sides = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")
+    good = (F.size("sides") == 2) & F.forall("sides", lambda side: F.rlike(side, F.lit("^([0-9A-Fa-f]{2})+$")))
+    rows = whole.select(F.posexplode(lines).alias("rank", "line")).withColumn("sides", sides)
+    rows = rows.withColumn("sides", _checked(F.col("sides"), good, "a merge is not two hex strings"))
+    return rows.select(
+        "rank", F.unhex(F.col("sides")[0]).alias("left"), F.unhex(F.col("sides")[1]).alias("right")
     )
 
 
@@ -66,26 +110,36 @@ def _write_lines(df: DataFrame, order: str, line: Column, start: str, sep: str,
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
     """One JSON object ``{"id": [byte, …], …}`` in file order, in a single part file."""
-    if not fits_broadcast(vocab):
-        raise ValueError("the vocabulary is too large for one JSON object; store it as Parquet")
     entry = F.concat(F.lit('  "'), F.col("id"), F.lit('": '), F.to_json(_numbers(F.col("bytes"))))
     _write_lines(vocab, "pos", entry, "{\n", ",\n", "\n}", path)
 
 
 def write_merges(merges: DataFrame, path: str) -> None:
     """Lines of two hex strings in rank order, in a single part file."""
-    if not fits_broadcast(merges):
-        raise ValueError("the merge list is too large for one text file; store it as Parquet")
     line = F.concat_ws(" ", F.lower(F.hex("left")), F.lower(F.hex("right")))
     _write_lines(merges, "rank", line, "", "\n", "", path)
 
 
 def save_tokenizer(tok: Tokenizer, prefix: str) -> tuple[str, str]:
-    """Write ``<prefix>_vocab.json`` and ``<prefix>_merges.txt``."""
-    vocab_path, merges_path = f"{prefix}_vocab.json", f"{prefix}_merges.txt"
-    write_vocab(tok.vocab, vocab_path)
-    write_merges(tok.merges, merges_path)
-    return vocab_path, merges_path
+    """Write ``<prefix>_vocab.parquet`` and ``<prefix>_merges.parquet``, and beside them
+    ``<prefix>_vocab.json`` and ``<prefix>_merges.txt`` where each fits a single file.
+
+    Returns the paths to load from.
+    """
+    paths = []
+    for df, name, write, ending in (
+        (tok.vocab, "vocab", write_vocab, "json"),
+        (tok.merges, "merges", write_merges, "txt"),
+    ):
+        table, text = f"{prefix}_{name}.parquet", f"{prefix}_{name}.{ending}"
+        df.write.mode("overwrite").parquet(table)
+        stored = df.sparkSession.read.parquet(table)
+        if fits_broadcast(stored, rows=FILE_ROWS, size=FILE_BYTES):
+            write(stored, text)
+            paths.append(text)
+        else:
+            paths.append(table)
+    return paths[0], paths[1]
 
 
 def byte_alphabet(spark: SparkSession) -> DataFrame:
@@ -127,8 +181,8 @@ def read_printable_merges(spark: SparkSession, path: str) -> DataFrame:
 def read_printable_vocab(spark: SparkSession, path: str) -> DataFrame:
     """``(pos, id, bytes)`` from ``{"token": id, …}`` in the printable alphabet."""
     alphabet = byte_alphabet(spark)
-    entries = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.map_entries(F.from_json("value", "map<string,int>"))).alias("pos", "entry")
+    entries = _whole(spark, path).select(
+        F.posexplode(F.map_entries(_parsed(F.col("value"), "map<string,int>"))).alias("pos", "entry")
     )
     return _latest(
         entries.select(

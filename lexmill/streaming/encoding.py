@@ -5,53 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.functions import text as T
-from lexmill.operators.encoding import encode, word_encoder
+from lexmill.operators.encoding import encode
 from lexmill.operators.tokenizer import Tokenizer
+from lexmill.sources.texts import line_parts, placed_records, with_ends
 from lexmill.sources.token_store import checked_ids
 
+# Bytes of files that one micro-batch takes on.
+BATCH_BYTES = 4 << 30
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """``(file, line, text)`` of the files that arrive in a folder, lines with their ``\\n``.
 
-    ``files_per_trigger`` bounds what one micro-batch reads.
+def stream_records(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Records of the files that arrive in a folder: what stands between ``\\n``.
+
+    Large files are read in splits, a record at a time, so a task holds a batch of records and never
+    a file.  ``batch_bytes`` bounds what one micro-batch reads; a larger file is a batch of its own.
     """
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.text(path, wholetext=True)
-    text = T.normalize_newlines(F.validate_utf8("value"))
-    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
-    return files.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line", "text")
-    )
+    reader = spark.readStream.option("maxBytesPerTrigger", batch_bytes).option("lineSep", "\n")
+    # The file columns travel with the value; they are not known any more inside a batch.
+    return reader.text(path).select("value", "_metadata")
 
 
-def encode_stream(lines: DataFrame, tok: Tokenizer) -> DataFrame:
-    """Token ids of each line; stateless, so it runs in append mode with bounded memory."""
-    ids = word_encoder(tok)(T.words(F.col("text"), tok.specials))
-    return lines.select("file", "line", ids.alias("ids"))
+def encode_lines(records: DataFrame, tok: Tokenizer, uint16: bool = True) -> DataFrame:
+    """``(file, split, row, part, ids, n)`` of the records of one batch, line ends kept."""
+    lines = line_parts(with_ends(placed_records(records), "\n"))
+    ids = encode(lines, tok, ["file", "split", "row", "part"]).drop("text")
+    return checked_ids(ids, uint16).withColumn("n", F.size("ids"))
 
 
 def write_encoded_stream(
-    lines: DataFrame, tok: Tokenizer, output: str, checkpoint: str, uint16: bool = True
+    records: DataFrame, tok: Tokenizer, output: str, checkpoint: str, uint16: bool = True
 ) -> StreamingQuery:
     """Encode what has arrived so far into Parquet, each input file exactly once.
 
-    With tables too large to broadcast every micro-batch is encoded by joins and replaces its own
-    folder, so a repeated batch leaves the same result.
+    A micro-batch replaces its own folder ``epoch=<number>`` of ``output``, so a repeated batch leaves
+    the same result.
     """
-    if tok.broadcastable:
-        encoded = checked_ids(encode_stream(lines, tok), uint16).withColumn("n", F.size("ids"))
-        writer = encoded.writeStream.format("parquet").option("path", output)
-    else:
 
-        def write_batch(batch: DataFrame, epoch: int) -> None:
-            ids = encode(batch, tok, ["file", "line"]).select("file", "line", "ids")
-            checked = checked_ids(ids, uint16).withColumn("n", F.size("ids"))
-            checked.write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        encode_lines(batch, tok, uint16).write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
 
-        writer = lines.writeStream.foreachBatch(write_batch)
     return (
-        writer.outputMode("append")
+        records.writeStream.foreachBatch(write_batch)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

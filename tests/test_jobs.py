@@ -89,9 +89,9 @@ def test_stream_equals_batch(spark, dataset, tmp_path, monkeypatch, broadcast):
         (source / name).write_text(files[name], newline="")
 
     def run():
-        lines = streaming.stream_lines(spark, str(source), files_per_trigger=1)
+        records = streaming.stream_records(spark, str(source), batch_bytes=1024)
         out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-        query = streaming.write_encoded_stream(lines, tok, out, checkpoint)
+        query = streaming.write_encoded_stream(records, tok, out, checkpoint)
         query.awaitTermination()
         return spark.read.parquet(out).collect()
 
@@ -100,7 +100,7 @@ def test_stream_equals_batch(spark, dataset, tmp_path, monkeypatch, broadcast):
         (source / name).write_text(files[name], newline="")
     rows = run()
     found = {}
-    for row in sorted(rows, key=lambda row: row.line):
+    for row in sorted(rows, key=lambda row: (row.split, row.row, row.part)):
         found.setdefault(row.file.rsplit("/", 1)[1], []).append(row.ids)
     assert found == {
         name: [encode(line) for line in content.splitlines(keepends=True)]
@@ -108,6 +108,25 @@ def test_stream_equals_batch(spark, dataset, tmp_path, monkeypatch, broadcast):
     }
 
 
+def test_stream_of_a_file_in_many_splits(spark, dataset, tmp_path):
+    """A file many times larger than what a task reads."""
+    _, text, _, tok, encode = dataset
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "big.txt").write_text(text[:60_000], newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        records = streaming.stream_records(spark, str(source))
+        out = str(tmp_path / "out")
+        streaming.write_encoded_stream(records, tok, out, str(tmp_path / "cp")).awaitTermination()
+        rows = spark.read.parquet(out).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows.sort(key=lambda row: (row.split, row.row, row.part))
+    assert len({row.split for row in rows}) > 10
+    assert [row.ids for row in rows] == [encode(line) for line in text[:60_000].splitlines(True)]
+
+
 def test_command_line(spark, dataset, tmp_path, capsys):
     folder, text, (vocab, merges), _, encode = dataset
     corpus = str(folder / "corpus.txt")

@@ -1,10 +1,13 @@
+import gzip
 import json
 from pathlib import Path
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
 from lexmill.functions.text import END_OF_TEXT
 from lexmill.operators import tokenizer
 from lexmill.sources import texts, token_store, tokenizer_files
@@ -134,3 +137,99 @@ def test_two_byte_profile(spark, tmp_path):
 def test_output_path():
     assert token_store.ids_path("/data/a.b/corpus.txt") == "/data/a.b/corpus_ids"
     assert token_store.ids_path("corpus.txt", "/x/y") == "/x/y"
+
+
+def test_documents_with_windows_line_ends(spark, tmp_path):
+    (tmp_path / "a file.txt").write_bytes(b"one\r\n\r\ntwo\r\n\r\n\r\nthree\rstill\n \nhere")
+    (tmp_path / "b.txt").write_bytes(f"x{END_OF_TEXT} y\r\n\r\nz{END_OF_TEXT}{END_OF_TEXT}w".encode())
+    found = texts.read_documents(spark, str(tmp_path))
+    assert in_order(found, "file", "split", "row") == [
+        "one", "two", "three\nstill\n \nhere", "x", "y\n\nz", "w"
+    ]
+
+
+def test_documents_of_files_in_many_splits(spark, tmp_path):
+    docs = [f"story {i}\n{'word ' * (1 + i % 40)}\nend" for i in range(3000)]
+    (tmp_path / "1 blank.txt").write_bytes("\r\n\r\n".join(docs).replace("\n", "\r\n").replace("\r\r", "\r").encode())
+    (tmp_path / "2 marked.txt").write_text(END_OF_TEXT.join(docs))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = texts.read_documents(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({(row.file, row.split) for row in found}) > 20
+    found.sort(key=lambda row: (row.file, row.split, row.row))
+    assert [row.text for row in found] == [d.strip() for d in docs] * 2
+
+
+@pytest.mark.parametrize("content", ["\ufeffa\nb", "\ufeffa\nb\n", "\ufeff\n", "a\ufeff\n"])
+def test_byte_order_marks_stay(spark, tmp_path, content):
+    (tmp_path / "a.txt").write_bytes(content.encode())
+    lines = in_order(texts.read_lines(spark, str(tmp_path)), "row", "part")
+    assert "".join(lines) == content
+    assert "".join(in_order(texts.read_pieces(spark, str(tmp_path)), "row")) == content
+
+
+def test_compressed_files_are_refused(spark, tmp_path):
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(b"one\ntwo\n"))
+    with pytest.raises(PySparkException):
+        texts.read_lines(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\n\n", " \n", "\r\n", "\r"])
+def test_pieces_keep_pretokens_and_specials_whole(spark, tmp_path, end):
+    specials = [END_OF_TEXT, "<|pad|>"]
+    parts = ["plain text", "ends in space ", "", " ", "\tx", f"a{END_OF_TEXT}b", "<|pad|>", "don't 12 3", "é\r", ""]
+    content = "\n".join(parts[i * 7 % 10] + "y" * (i % 3) for i in range(1200)) + end
+    (tmp_path / "a.txt").write_bytes(content.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        pieces = texts.read_pieces(spark, str(tmp_path))
+        rows = pieces.withColumn("words", T.words(F.col("text"), specials)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows.sort(key=lambda row: (row.split, row.row))
+    assert len({row.split for row in rows}) > 5 and len(rows) > 300
+    whole = content.replace("\r\n", "\n").replace("\r", "\n")
+    assert "".join(row.text for row in rows) == whole
+    one = spark.createDataFrame([(whole,)], "text string").select(T.words(F.col("text"), specials)).first()[0]
+    assert [w for row in rows for w in row.words] == one
+
+
+def test_pieces_of_several_files(spark, tmp_path):
+    contents = ["a\nb\n", "a\n\n", "\n", "c", "", "x \ny\n \n", "\n\nz"]
+    for i, content in enumerate(contents):
+        (tmp_path / f"{i}.txt").write_bytes(content.encode())
+    found = texts.read_pieces(spark, str(tmp_path)).collect()
+    found.sort(key=lambda row: (row.file, row.split, row.row))
+    joined = {}
+    for row in found:
+        joined[row.file[-5]] = joined.get(row.file[-5], "") + row.text
+    assert joined == {str(i): content for i, content in enumerate(contents) if content}
+
+
+@pytest.mark.parametrize(
+    "content",
+    ['{"0": [97], "1": [98', '{"0": [300]}', '{"0": [-1]}', '{"0": ["x"]}', '{"0": [null]}', '{"0": 5}',
+     '{"0": null}', "[]", "", '{"x": [97]}'],
+)
+def test_corrupt_vocabularies_are_refused(spark, tmp_path, content):
+    (tmp_path / "vocab.json").write_text(content)
+    with pytest.raises((PySparkException, Py4JJavaError, ValueError)):
+        tokenizer_files.read_vocab(spark, str(tmp_path / "vocab.json")).collect()
+
+
+@pytest.mark.parametrize("line", ["61", "61 62 63", "6 62", "61 zz", "61 622", "0x61 62"])
+def test_corrupt_merges_are_refused(spark, tmp_path, line):
+    (tmp_path / "merges.txt").write_text(f"61 62\n{line}\n")
+    with pytest.raises(PySparkException):
+        tokenizer_files.read_merges(spark, str(tmp_path / "merges.txt")).collect()
+
+
+def test_large_tokenizers_are_stored_as_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenizer_files, "FILE_ROWS", 2)
+    tok = tokenizer.tokenizer_from_merges(spark, [(b"t", b"h"), (b"th", b"e")], ["<|endoftext|>"])
+    paths = tokenizer_files.save_tokenizer(tok, str(tmp_path / "tok"))
+    assert paths[0].endswith("_vocab.parquet") and paths[1].endswith("_merges.txt")
+    again = tokenizer_files.load_tokenizer(spark, *paths, ["<|endoftext|>"])
+    assert again.vocab.exceptAll(tok.vocab).isEmpty() and again.merges.exceptAll(tok.merges).isEmpty()
