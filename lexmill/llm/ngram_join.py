@@ -5,14 +5,16 @@
     corpus (an n-gram's count is that of its cell; a fixed size, whatever the corpus).  Any order
     gives the same result; this one keeps shared passages out of what follows.  Pivots cut the order
     into ``FRAGMENTS`` fragments of equal mass.
-3.  Two sets as alike as asked share an n-gram among the first ``n - ceil(p n) + 1`` of each.  Classes
-    that meet there and pass the length and position bounds are candidates.
+3.  Two sets as alike as asked share ``MEETINGS`` n-grams, or all they must share if fewer, among the
+    first ``n - ceil(p n) + MEETINGS`` of each.  Classes that meet so often there, within the length
+    and position bounds, are candidates.
 4.  For each pair the overlap is counted in every fragment separately, and summed per pair.
 5.  Linked classes are tied into components.
 
-Only components are wanted, so pairs inside one need no count: candidates are first taken between
-each n-gram's smallest class and the others that have it (as many pairs as rows), and then between
-classes that are still in different components.  No pair of different components is left out.
+Only components are wanted, so pairs inside one need no count.  Where more than ``MANY`` classes have
+an n-gram, each is first compared with one of them, drawn anew for every n-gram and round: as many
+pairs as rows, which ties groups of near copies together.  Then come all candidates between classes
+that are still in different components; none of these is left out.
 
 Defined results: a text with fewer words than ``width`` is one n-gram, one without words (or null) is
 empty and linked with nothing; equal sets are always linked; further columns are ignored or, in
@@ -38,6 +40,9 @@ CELL_BITS = 22
 SHIFT = np.uint64(64 - CELL_BITS)
 PIECE = 1 << 14
 FRAGMENTS = 4
+MEETINGS = 3
+# Classes with a common n-gram from which on they are first compared with one of them, and rounds of it.
+MANY, ROUNDS = 16, 3
 # Keys that are sent to every task to pick texts by; more are met by a shuffle of the texts.
 MOST_SENT = 300_000
 # Classes that a task remembers, to send the n-grams of copies once.
@@ -147,7 +152,7 @@ def _prefixes(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(name)
-                count = len(found) - least_overlap(len(found), percent) + 1
+                count = len(found) - least_overlap(len(found), percent) + MEETINGS
                 grams.append(in_order(found, rank.value)[:count])
                 classes.append(name)
                 sizes.append(len(found))
@@ -198,10 +203,12 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 def _may_link(percent: int) -> Column:
     """Length and position bounds on two rows ``x`` and ``y`` of one n-gram.
 
-    At the first n-gram that two sets share, all they can share lies from there on.
+    At the first n-gram that two sets share, all they can share lies from there on, at the next all
+    but one.
     """
     rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")
-    return F.least(rest("x"), rest("y")) >= _needed(F.col("x.n"), F.col("y.n"), percent)
+    needed = _needed(F.col("x.n"), F.col("y.n"), percent)
+    return F.least(rest("x"), rest("y")) > needed - MEETINGS
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,40 +300,56 @@ def grouped(
     meets = near(F.lag("n").over(by_size), F.col("n")) | near(F.col("n"), F.lead("n").over(by_size))
     shared = _prefixes(rows, width, percent, rank).repartition("gram").distinct()
     shared = shared.withColumn("meets", meets).where("meets").drop("meets")
-    first = F.min(F.struct("class", "n", "pos")).over(own)
-    shared = stored(shared.withColumn("first", first), new_folder(spark, "shared-grams"))
+    shared = stored(
+        shared.withColumn("many", F.count(F.lit(1)).over(own)), new_folder(spark, "shared-grams")
+    )
     least_key = stored(
         members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("least")),
         new_folder(spark, "classes"),
     )
-    pairs = shared.select(F.struct("class", "n", "pos").alias("x"), F.col("first").alias("y"))
-    pairs = pairs.where((F.col("x.class") != F.col("y.class")) & _may_link(percent))
-    pairs = stored(pairs.select(*_pair(percent)).distinct(), new_folder(spark, "first-pairs"))
-    cut = lambda pairs: segments_of(pairs, rows, least_key, width, rank, pivots)
-    edges = stored(links(pairs, cut(pairs), percent), new_folder(spark, "first-links"))
-    parts = stored(connected(edges), new_folder(spark, "first-components"))
-
-    # What is left: classes of different components that meet at an n-gram.
-    placed = shared.drop("first").join(
-        parts.withColumnRenamed("node", "class"), "class", "left"
-    ).withColumn("component", F.coalesce("component", "class"))
-    mixed = F.min("component").over(own) < F.max("component").over(own)
-    placed = stored(
-        placed.withColumn("mixed", mixed).where("mixed").drop("mixed"), new_folder(spark, "placed")
-    )
+
+    none = spark.createDataFrame([], "a binary, b binary")
+    edges, compared = none, none
+
+    def linked(pairs: DataFrame, step: str) -> bool:
+        """Compares the pairs that are new, and whether any were."""
+        nonlocal edges, compared
+        fresh = pairs.join(compared, ["a", "b"], "left_anti")
+        fresh = stored(fresh, new_folder(spark, f"pairs-{step}"))
+        if fresh.isEmpty():
+            return False
+        cut = segments_of(fresh, rows, least_key, width, rank, pivots)
+        found = stored(links(fresh, cut, percent), new_folder(spark, f"links-{step}"))
+        edges, compared = edges.unionByName(found), compared.unionByName(fresh.select("a", "b"))
+        return True
+
+    def placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows of n-grams that classes of different components have."""
+        found = rows.join(parts.withColumnRenamed("node", "class"), "class", "left")
+        found = found.withColumn("component", F.coalesce("component", "class"))
+        mixed = F.min("component").over(own) < F.max("component").over(own)
+        return found.withColumn("mixed", mixed).where("mixed").drop("mixed")
+
+    many = stored(shared.where(F.col("many") > MANY), new_folder(spark, "large-grams"))
+    parts = connected(edges)
+    for i in range(ROUNDS):
+        draw = F.xxhash64("class", "gram", F.lit(i)).alias("draw")
+        first = F.min(F.struct(draw, "class", "n", "pos", "component")).over(own)
+        drawn = placed(many, parts).withColumn("y", first)
+        pairs = drawn.select(F.struct("class", "n", "pos").alias("x"), "y", "component")
+        pairs = pairs.where((F.col("component") != F.col("y.component")) & _may_link(percent))
+        if not linked(pairs.select(*_pair(percent)).distinct(), f"drawn-{i}"):
+            break
+        parts = stored(connected(edges), new_folder(spark, "components"))
+
+    rest = stored(placed(shared, parts), new_folder(spark, "placed"))
     apart = F.col("x.component") != F.col("y.component")
-    rest = placed.alias("x").join(
-        placed.alias("y"),
-        (F.col("x.gram") == F.col("y.gram"))
-        & (F.col("x.class") < F.col("y.class"))
-        & apart
-        & _may_link(percent),
-    )
-    rest = rest.select(*_pair(percent)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(rest.select("a", "b", "na", "nb"), new_folder(spark, "other-pairs"))
-    further = stored(links(rest, cut(rest), percent), new_folder(spark, "other-links"))
-    if further.limit(1).count():
-        parts = connected(edges.unionByName(further))
+    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class"))
+    pairs = rest.alias("x").join(rest.alias("y"), meet & apart & _may_link(percent))
+    often = F.least(F.lit(MEETINGS), _needed(F.col("na"), F.col("nb"), percent))
+    pairs = pairs.select(*_pair(percent)).groupBy("a", "b", "na", "nb").count()
+    if linked(pairs.where(F.col("count") >= often).drop("count"), "rest"):
+        parts = connected(edges)
 
     found = parts.withColumnRenamed("node", "class").join(least_key, "class")
     smallest = found.groupBy("component").agg(F.min("least").alias("component_id"))
