@@ -15,6 +15,9 @@ from lexmill.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from lexmill.llm.queries import TOKENIZER
 from lexmill.session import new_folder, stored
 
+# Shares of tokens after cleaning; the rules before have left few poor documents.
+TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.018, "poor_toxic": 0.002}
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,7 +39,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: a document comes as often as its fitted rate says."""
-    mix, _ = mixing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mix, _ = mixing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), targets=TARGETS)
     return mixing.mixed_rows(docs, mix)
 
 

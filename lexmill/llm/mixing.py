@@ -46,7 +46,9 @@ STYLE = 5
 LEAST_ROWS = 4
 FIT_STEPS, FIT_RATE, FIT_DECAY = 150, 0.1, 2e-4
 
-RIDGE = 0.02
+RIDGE = 0.1
+# Share of tokens below which a domain loses weight: its target cannot be met by what there is.
+LEAST_SHARE = 0.01
 MOST_STEPS = 60
 TOLERANCE = 1e-4
 
@@ -210,8 +212,8 @@ class Steps:
 
 
 def metric(moments: np.ndarray) -> np.ndarray:
-    """Inverse of the second moments of the posteriors, kept finite for domains nearly absent."""
-    return np.linalg.inv(moments + 1e-4 * np.eye(len(moments)))
+    """Inverse of the second moments of the posteriors; a domain nearly absent has little weight."""
+    return np.linalg.inv(moments + LEAST_SHARE * np.eye(len(moments)))
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
@@ -312,9 +314,9 @@ def mixed_rows(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text
     return docs.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``(doc_id, n_tokens, one posterior per domain, rate, copies)`` of every document."""
-    mix, _ = fit(docs, labels)
+    mix, _ = fit(docs, labels, targets=targets)
     shared = docs.sparkSession.sparkContext.broadcast(mix)
     names = [f"p_{name}" for name in DOMAINS]
 
