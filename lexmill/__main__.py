@@ -12,6 +12,7 @@ from lexmill.plans import jobs
 from lexmill.session import build_session
 
 
+# The names and defaults of the options are the interface.
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lexmill", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)

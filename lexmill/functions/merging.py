@@ -106,3 +106,11 @@ class WordEncoder:
     def batches(self, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             yield self.batch(lists)
+
+
+def decode_each(batch: pa.Array, table: dict[int, bytes]) -> pa.Array:
+    """Bytes of every array of ids; unknown ids give nothing, a null array null."""
+    return pa.array(
+        [None if ids is None else b"".join(table.get(i, b"") for i in ids) for ids in batch.to_pylist()],
+        pa.binary(),
+    )

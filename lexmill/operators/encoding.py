@@ -10,16 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from lexmill.functions import merging, text as T
-from lexmill.operators.tokenizer import Tokenizer, fits_broadcast, merge_ranks, reverse_vocab
+from lexmill.operators.tokenizer import Tokenizer, merge_ranks, reverse_vocab
+from lexmill.session import new_folder, stored
 
 # The code of the word encoder travels with the query, so executors need not have this package.
 cloudpickle.register_pickle_by_value(merging)
 
-# Longest id table that is put into the plan of a decoding query.
-LITERAL_IDS = 1_000_000
-LITERAL_BYTES = 16 * 1024 * 1024
-# Groups the rows of one key are spread over in a skewed join.
-COPIES = 16
+# Rows of one key that a task of a skewed join may hold.
+ROWS_OF_KEY = 2_000_000
 
 
 def word_encoder(tok: Tokenizer):
@@ -60,12 +58,19 @@ def join_spread(
 ) -> DataFrame:
     """Join many ``rows`` to a ``table`` of few rows per ``key``, also when keys are skewed.
 
-    Rows of a frequent key are spread over ``COPIES`` groups by the columns ``by``, and each group
-    has its copy of the table.
+    The keys are counted first.  Rows of a key with more than ``ROWS_OF_KEY`` are spread by the
+    columns ``by`` over as many groups as it takes, and the key's rows of the table are copied to each.
     """
-    spread = rows.withColumn("copy", F.pmod(F.hash(*by), F.lit(COPIES)))
-    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    return spread.join(copies, [key, "copy"], how).drop("copy")
+    groups = F.ceil(F.col("count") / ROWS_OF_KEY).cast("int")
+    hot = rows.groupBy(key).count().where(F.col("count") > ROWS_OF_KEY)
+    hot = stored(hot.select(key, groups.alias("groups")), new_folder(rows.sparkSession, "hot-keys"))
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    # Less than one key in ROWS_OF_KEY rows.
+    groups = F.coalesce("groups", F.lit(1))
+    spread = rows.join(hot, key, "left").withColumn("copy", F.pmod(F.hash(*by), groups))
+    copies = table.join(hot, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), groups - 1)))
+    return spread.drop("groups").join(copies.drop("groups"), [key, "copy"], how).drop("copy")
 
 
 def encode_by_join(
@@ -90,30 +95,45 @@ def word_ids_by_join(words: DataFrame, tok: Tokenizer) -> DataFrame:
     """``word_ids`` without broadcast.
 
     The merges that can play a part in a word are those whose token occurs in it.  All stretches
-    of each distinct word up to the longest token are joined to the merges, which gives every word
-    its own short list.
+    of each distinct word that are as long as some token are joined to the merges, which gives every
+    word its own short list.  Stretches carry a number for their word, which is joined back once.
     """
     merges = merge_ranks(tok.merges).withColumn("token", F.concat("left", "right"))
-    longest = merges.agg(F.max(F.octet_length("token"))).head()[0] or 0
-    merges = merges.select(F.hex("token").alias("token"), "left", "right", "rank")
-    plain = words.where((F.octet_length("word") > 1) & ~F.col("word").isin(list(tok.specials)))
-    size = F.expr("length(data) div 2")
-    starts = F.explode(F.sequence(F.lit(0), size - 2)).alias("first")
-    lengths = F.sequence(F.lit(2), F.least(F.lit(max(longest, 2)), size - F.col("first")))
-    stretches = (
-        plain.select("word", F.hex(F.encode("word", "UTF-8")).alias("data"))
-        .select("word", "data", starts)
-        .select("word", "data", "first", F.explode(lengths).alias("n"))
-        .select("word", F.expr("substring(data, first * 2 + 1, n * 2)").alias("token"))
+    # One number per length of a token, of which there are at most as many as bytes in the longest.
+    lengths = sorted(merges.agg(F.collect_set(F.octet_length("token"))).head()[0]) or [2]
+    numbered = stored(
+        words.select(F.monotonically_increasing_id().alias("number"), "word"),
+        new_folder(words.sparkSession, "numbered-words"),
+    )
+    plain = numbered.where((F.octet_length("word") > 1) & ~F.col("word").isin(list(tok.specials)))
+    data = F.encode("word", "UTF-8")
+    starts = F.sequence(F.lit(1), F.octet_length(data) - 1)
+    # All stretches of a word are made, and made distinct, in the row of the word.
+    stretches = plain.select(
+        "number",
+        F.explode(
+            F.array_distinct(
+                F.flatten(
+                    F.transform(
+                        starts,
+                        lambda first: F.transform(
+                            F.filter(F.lit(lengths), lambda n: n <= F.octet_length(data) - first + 1),
+                            lambda n: F.hex(F.substring(data, first, n)),
+                        ),
+                    )
+                )
+            )
+        ).alias("token"),
     )
+    merges = merges.select(F.hex("token").alias("token"), "left", "right", "rank")
     rules = (
-        join_spread(stretches, merges, "token", ["word"])
-        .groupBy("word")
+        join_spread(stretches, merges, "token", ["number"])
+        .groupBy("number")
         .agg(F.collect_set(F.struct("left", "right", "rank")).alias("rules"))
     )
     merged_symbols = F.arrow_udf(merging.merge_each, ArrayType(BinaryType()))
     whole = F.array(F.encode("word", "UTF-8"))
-    symbols = words.join(rules, "word", "left").select(
+    symbols = numbered.join(rules, "number", "left").select(
         "word",
         F.when(F.col("word").isin(list(tok.specials)), whole)
         .otherwise(merged_symbols("word", "rules"))
@@ -140,17 +160,14 @@ def decode(
 ) -> DataFrame:
     """Add the text of each id array.
 
-    Unknown ids give nothing, malformed UTF-8 gives U+FFFD.  A vocabulary of moderate size goes
-    into the plan as an array indexed by id, so decoding needs no shuffle.
+    Unknown ids give nothing, malformed UTF-8 gives U+FFFD.  A vocabulary that is small enough is
+    sent to every executor, so decoding needs no shuffle; others are joined.
     """
-    last = tok.vocab.agg(F.max("id").alias("id"), F.min("id").alias("first")).head()
-    dense = last.id is not None and last.first >= 0 and last.id < LITERAL_IDS
-    if not dense or not fits_broadcast(tok.vocab, rows=LITERAL_IDS, size=LITERAL_BYTES):
+    if not tok.broadcastable:
         return decode_by_join(df, tok, key, ids, output)
-    by_id = {row.id: row.bytes.hex() for row in tok.vocab.collect()}
-    table = F.split(F.lit(",".join(by_id.get(i, "") for i in range(last.id + 1))), ",")
-    hexes = F.transform(ids, lambda i: F.coalesce(F.get(table, i), F.lit("")))
-    return df.withColumn(output, _text(F.array_join(hexes, "")))
+    table = tok.token_bytes
+    decoded = F.arrow_udf(lambda batch: merging.decode_each(batch, table.value), BinaryType())
+    return df.withColumn(output, F.make_valid_utf8(decoded(F.col(ids)).cast("string")))
 
 
 def decode_by_join(

@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexmill.operators.sequence import order_buckets, running_offsets
 
+# Keys that a sample names in its scan; those of larger samples are joined.
+LISTED_KEYS = 1000
+
+
 def hashed_sample(df: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
     """``n`` rows without replacement: those with the smallest digest of key and seed.
 
-    Each task keeps its own ``n`` smallest, so nothing is sorted as a whole.
+    Each task keeps its own ``n`` smallest, so nothing is sorted as a whole.  Only the keys are read
+    for that; the rows of the chosen ones, which must be unique, are fetched by a filter on the key.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    return df.orderBy(digest, key).limit(n)
+    keys = df.select(key).orderBy(digest, key).limit(n)
+    if n <= LISTED_KEYS:
+        return df.where(F.col(key).isin([row[0] for row in keys.collect()]))
+    return df.join(keys, key, "left_semi")
 
 
 def drawn_sample(df: DataFrame, n: int, seed: int, order: Sequence[str]) -> DataFrame:

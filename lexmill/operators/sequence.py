@@ -7,26 +7,33 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lexmill.sources.token_store import SHARD_BLOCKS
+
 BLOCK_TOKENS = 8192
-# Rows one bucket of the ordering should hold, and the most buckets there may be.
+# Rows and tokens that one bucket of the ordering should hold.
 BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 4096
+BUCKET_TOKENS = 50_000_000
 
 
-def order_buckets(df: DataFrame, key: str, output: str = "bucket") -> DataFrame:
+def order_buckets(
+    df: DataFrame, key: str, output: str = "bucket", size: str | None = None
+) -> DataFrame:
     """Add a number that cuts the order of a numeric ``key`` into ranges of similar row counts.
 
-    The cuts are approximate quantiles, so crowded key ranges get more of them.  The number is a
+    There are as many ranges as rows, and the sum of ``size`` if given, ask for.  The cuts are approximate quantiles, so crowded key ranges get more of them.  The number is a
     function of the key alone: it is the same whenever a task is repeated.
     """
     number = f"{output}_key"
     keyed = df.withColumn(number, F.col(key).cast("double"))
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).head()
+    total = F.sum(size) if size else F.lit(0)
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys"), total.alias("total")
+    ).head()
     rows = found.rows
     if rows != found.keys:
         raise ValueError(f"{rows - found.keys} rows have no {key} to order them by")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    buckets = min(MAX_BUCKETS, max(cores, -(-rows // BUCKET_ROWS)))
+    buckets = max(cores, -(-rows // BUCKET_ROWS), -(-(found.total or 0) // BUCKET_TOKENS))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(keyed.approxQuantile(number, shares, 1 / (4 * buckets)))) if rows else []
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
@@ -66,7 +73,7 @@ def running_offsets(
 
 def token_offsets(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``start``, the position of each document's first token in the whole sequence."""
-    return running_offsets(order_buckets(tokens, key), ["bucket"], [key], "n")
+    return running_offsets(order_buckets(tokens, key, size="n"), ["bucket"], [key], "n")
 
 
 def _slices(found: str) -> Column:
@@ -80,8 +87,9 @@ def token_blocks(
     """``(block, n, ids)``: the sequence cut into blocks of equal length, the last one shorter.
 
     ``offsets`` has ``bucket``, ``start``, ``n`` and ``ids``.  A bucket is a contiguous stretch of
-    the sequence and already lies in one partition, so most blocks are put together where they
-    are; only blocks at the edges of buckets are shuffled once more.
+    the sequence and already lies in one partition, so blocks inside it are put together where they
+    are.  A block that reaches over an end of its bucket is an edge: its pieces are shuffled, to the
+    task that writes its neighbours.
     """
     length = F.lit(block_tokens).cast("long")
     first = F.expr(f"start div {block_tokens}")
@@ -97,13 +105,17 @@ def token_blocks(
             "ids", (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")
         ).alias("part"),
     )
-    local = pieces.groupBy(*bucket, "block").agg(
-        F.min("at").alias("first"), _slices("part").alias("part")
+    ends = offsets.groupBy(*bucket).agg(
+        F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("high")
+    )
+    inside = (F.col("block") * length >= F.col("low")) & ((F.col("block") + 1) * length <= F.col("high"))
+    pieces = pieces.join(ends, list(bucket)).withColumn("inside", inside)
+    whole = pieces.where("inside").groupBy(*bucket, "block").agg(_slices("part").alias("ids"))
+    edges = pieces.where("NOT inside").groupBy("block").agg(_slices("part").alias("ids"))
+    edges = edges.repartition(F.expr(f"block div {SHARD_BLOCKS}"))
+    return whole.select("block", "ids").unionByName(edges).select(
+        "block", F.size("ids").alias("n"), "ids"
     )
-    local = local.withColumnRenamed("first", "at").withColumn("n", F.size("part"))
-    whole = local.where(F.col("n") == block_tokens).select("block", "n", F.col("part").alias("ids"))
-    edges = local.where(F.col("n") < block_tokens).groupBy("block").agg(_slices("part").alias("ids"))
-    return whole.unionByName(edges.select("block", F.size("ids").alias("n"), "ids"))
 
 
 def token_total(blocks: DataFrame) -> int:

@@ -46,6 +46,14 @@ class Tokenizer:
         context = self.vocab.sparkSession.sparkContext
         return context.broadcast((ids, ranks, frozenset(self.specials)))
 
+    @cached_property
+    def token_bytes(self) -> Broadcast:
+        """Bytes by id, on every executor."""
+        if not self.broadcastable:
+            raise ValueError("the vocabulary is too large to broadcast")
+        rows = self.vocab.select("id", "bytes").collect()
+        return self.vocab.sparkSession.sparkContext.broadcast({r.id: bytes(r.bytes) for r in rows})
+
 
 def base_vocab(spark: SparkSession, specials: Sequence[str] = ()) -> DataFrame:
     """The 256 bytes, then the special tokens in list order, repeated ones included."""

@@ -122,6 +122,16 @@ class Corpus:
     merges_path: str
 
 
+def compression(name: str, sample: DataFrame, tok: Tokenizer, key: Sequence[str]) -> DataFrame:
+    """Bytes per token over sampled documents of one corpus, three decimals."""
+    return bytes_per_token(encode(sample, tok, key)).select(
+        F.lit(name).alias("corpus"),
+        "n_bytes",
+        "n_tokens",
+        F.round("bytes_per_token", 3).alias("bytes_per_token"),
+    )
+
+
 def compression_report(
     spark: SparkSession, corpora: Sequence[Corpus], n: int = 10, seed: int = 42
 ) -> DataFrame:
@@ -132,15 +142,7 @@ def compression_report(
         documents = read_documents(spark, corpus.text_path)
         order = ["file", "split", "row"]
         sample = drawn_sample(documents, n, seed, order)
-        ratio = bytes_per_token(encode(sample, tok, order))
-        reports.append(
-            ratio.select(
-                F.lit(corpus.name).alias("corpus"),
-                "n_bytes",
-                "n_tokens",
-                F.round("bytes_per_token", 3).alias("bytes_per_token"),
-            )
-        )
+        reports.append(compression(corpus.name, sample, tok, order))
     result = reports[0]
     for report in reports[1:]:
         result = result.unionByName(report)

@@ -255,6 +255,11 @@ FROM (SELECT doc_id, seg, {pretokens('text')} AS w FROM segs WHERE NOT is_specia
     "pretoken_counts_by_role": counts("conversations", by="role,"),
     "pretoken_counts_pages": counts("pages", text="html"),
     "line_scan": f"SELECT text, count(*) AS cnt FROM ({LINES}) GROUP BY text",
+    "whole_texts": """
+        SELECT lang, sum(length(text) + 1) AS n_chars,
+               sum(length(text) - length(replace(text, chr(10), '')) + 1) AS n_lines
+        FROM documents GROUP BY lang
+    """,
     "marked_scan": """
 SELECT trim(text, E' \\n') AS text, count(*) AS cnt FROM documents
 WHERE trim(text, E' \\n') <> '' GROUP BY ALL""",
@@ -341,3 +346,4 @@ ahead AS (
 SELECT vec_id, item, round(weight / sum(weight) OVER (PARTITION BY vec_id), 9) AS prob
 FROM ahead WHERE share <= {Q.TOP_P} OR place = 1""",
 }
+SQL["nucleus_of_rows"] = SQL["nucleus_filter"]

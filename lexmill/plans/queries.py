@@ -18,6 +18,7 @@ from lexmill.operators import (
     statistics,
     tokenizer,
 )
+from lexmill.plans import jobs
 from lexmill.session import new_folder, stored
 from lexmill.sources import texts, token_store, tokenizer_files
 from lexmill.streaming import encoding as streaming
@@ -137,6 +138,19 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("text").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one text file per language and read file by file."""
+    folder = new_folder(spark, "whole")
+    rows = documents(spark, sf_dir).select("lang", "text").repartition("lang")
+    rows.write.partitionBy("lang").text(folder)
+    found = texts.read_texts(spark, f"{folder}/*")
+    lang = F.regexp_extract("file", "lang=([^/]+)", 1)
+    lines = F.split("text", "\n")
+    return found.groupBy(lang.alias("lang")).agg(
+        F.sum(F.char_length("text")).alias("n_chars"), F.sum(F.size(lines) - 1).alias("n_lines")
+    )
+
+
 def marked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written with markers between them and split by the reader."""
     folder = new_folder(spark, "marked")
@@ -328,22 +342,14 @@ def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for name, corpus_rows in (("documents", documents(spark, sf_dir)), ("benchmark", items)):
         sample = sampling.hashed_sample(corpus_rows, SAMPLE_SIZE, SEED)
-        ratio = statistics.bytes_per_token(encoding.encode(sample, tok, ["doc_id"]))
-        rows.append(ratio.withColumn("corpus", F.lit(name)))
-    return rows[0].unionByName(rows[1]).withColumn(
-        "bytes_per_token", F.round("bytes_per_token", 3)
-    )
+        rows.append(jobs.compression(name, sample, tok, ["doc_id"]))
+    return rows[0].unionByName(rows[1])
 
 
 def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hashed_sample(documents(spark, sf_dir), SAMPLE_SIZE, SEED).select("doc_id", "text")
 
 
-def drawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents Python's generator draws; their positions are not expressible in SQL."""
-    return sampling.drawn_sample(documents(spark, sf_dir), SAMPLE_SIZE, SEED, ["doc_id"])
-
-
 # Token sequence
 
 
@@ -352,21 +358,22 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.select("doc_id", *long("n", "start"))
 
 
-def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dataset_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a stored token sequence, as the dataset job lays it out."""
     offsets = sequence.token_offsets(stored_tokens(spark, sf_dir))
-    folder = new_folder(spark, "blocks")
-    token_store.write_blocks(sequence.token_blocks(offsets, BLOCK_TOKENS), folder)
-    return token_store.read_blocks(spark, folder)
+    folder = new_folder(spark, "dataset")
+    token_store.write_blocks(sequence.token_blocks(offsets, BLOCK_TOKENS), f"{folder}/blocks")
+    return folder
 
 
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_blocks(spark, sf_dir).select(*long("block", "n"), ids_text("ids").alias("ids"))
+    blocks = token_store.read_blocks(spark, f"{dataset_folder(spark, sf_dir)}/blocks")
+    return blocks.select(*long("block", "n"), ids_text("ids").alias("ids"))
 
 
 def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = sequence.sample_windows(
-        stored_blocks(spark, sf_dir), SAMPLES, CONTEXT, SEED, BLOCK_TOKENS
-    )
+    folder = dataset_folder(spark, sf_dir)
+    windows = jobs.training_windows(spark, folder, SAMPLES, CONTEXT, SEED, BLOCK_TOKENS)
     return windows.select("sample", "start", ids_text("x").alias("x"), ids_text("y").alias("y"))
 
 
@@ -402,6 +409,13 @@ def eval_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nucleus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = S.nucleus(F.col("logits"), TEMPERATURE, TOP_P)
+    rows = score_table(spark, sf_dir).select("vec_id", F.inline(kept))
+    return rows.select("vec_id", *long("item"), F.round("prob", 9).alias("prob"))
+
+
+def nucleus_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table with a row for each score."""
     rows = evaluation.score_rows(score_table(spark, sf_dir), ["vec_id"])
     kept = evaluation.nucleus(rows, ["vec_id"], TEMPERATURE, TOP_P)
     return kept.select("vec_id", *long("item"), F.round("prob", 9).alias("prob"))
@@ -419,6 +433,7 @@ QUERIES: dict[str, Query] = {
         pretoken_counts_by_role,
         pretoken_counts_pages,
         line_scan,
+        whole_texts,
         marked_scan,
         byte_symbols,
         pair_counts,
@@ -445,7 +460,6 @@ QUERIES: dict[str, Query] = {
         bytes_per_token,
         compression_report,
         sample_documents,
-        drawn_documents,
         token_offsets,
         token_blocks,
         train_windows,
@@ -454,5 +468,6 @@ QUERIES: dict[str, Query] = {
         mean_loss,
         eval_loss,
         nucleus_filter,
+        nucleus_of_rows,
     )
 }

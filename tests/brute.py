@@ -6,21 +6,20 @@ from collections import Counter
 
 import regex
 
+# The GPT-2 pre-token pattern.
 GPT2 = regex.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
 
 def replace_pair(symbols, pair):
-    out = []
-    for symbol in symbols:
-        if out and out[-1] is not None and (out[-1], symbol) == pair:
-            out[-1:] = [pair[0] + pair[1], None]  # None: a merged symbol does not merge again
-        else:
-            if out and out[-1] is None:
-                out.pop()
-            out.append(symbol)
-    return tuple(symbol for symbol in out if symbol is not None)
+    """From left to right; a symbol just made takes no part in another merge."""
+    out, i = [], 0
+    while i < len(symbols):
+        width = 2 if tuple(symbols[i : i + 2]) == pair else 1
+        out.append(pair[0] + pair[1] if width == 2 else symbols[i])
+        i += width
+    return tuple(out)
 
 
 def pair_counter(words):
