@@ -32,6 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lexmill.llm.chunks import by_chunk, met, packed
 from lexmill.llm.words import slices, words_of
 from lexmill.session import new_folder, stored
 
@@ -189,37 +190,24 @@ def coded_texts(chunks: DataFrame, counts: DataFrame, known: Unigrams) -> DataFr
     named = chunks.where("pos IS NOT NULL").select("chunk", "pos", "word")
     short = named.join(F.broadcast(classes), "word").select("chunk", "pos", "class")
     # Few rows: a shortlist per chunk at most.
-    words = counts.select("chunk", "pos", "count", F.lit(0).alias("class")).unionByName(
-        short.select("chunk", "pos", F.lit(None).cast("long").alias("count"), "class")
+    words = counts.select("chunk", "pos", "count", F.lit(-1).alias("class")).unionByName(
+        short.select("chunk", "pos", F.lit(-1).cast("long").alias("count"), "class")
     )
-    rows = words.unionByName(texts, allowMissingColumns=True)
-    # One number to sort by: a chunk's words in any order, then its texts.
-    turn = F.shiftleft("chunk", 1) + F.when(F.col("pos").isNull(), 1).otherwise(0)
-    rows = rows.repartition("chunk").sortWithinPartitions(turn)
+    kinds = {"pos": "<i4", "count": "<i8", "class": "<i4"}
+    rows = met(packed(words, kinds), texts)
     shares = known.shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_back: list[pa.RecordBatch] = []
-        for batch in batches:
-            while batch.num_rows:
-                texts = np.flatnonzero(batch["pos"].is_null().to_numpy(zero_copy_only=False))
-                if not len(texts):
-                    held_back.append(batch.select(["pos", "count", "class"]))
-                    break
-                at = int(texts[0])
-                held_back.append(batch.slice(0, at).select(["pos", "count", "class"]))
-                yield finished(held_back, batch.slice(at, 1))
-                held_back, batch = [], batch.slice(at + 1)
-
-    def finished(words: list[pa.RecordBatch], row: pa.RecordBatch) -> pa.RecordBatch:
-        table = pa.Table.from_batches(words)
-        pos = table["pos"].to_numpy()
-        count = table["count"].to_numpy(zero_copy_only=False)
+        for words, row in by_chunk(batches, kinds):
+            yield finished(words, row)
+
+    def finished(words: dict[str, np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+        pos, count = words["pos"], words["count"]
         size = int(pos.max()) + 1
         counts, classes = np.zeros(size, np.int64), np.zeros(size, np.uint16)
-        stated = ~np.isnan(count.astype(float))
-        counts[pos[stated]] = count[stated].astype(np.int64)
-        classes[pos[~stated]] = table["class"].to_numpy()[~stated]
+        stated = count >= 0
+        counts[pos[stated]] = count[stated]
+        classes[pos[~stated]] = words["class"][~stated]
         ends = np.frombuffer(row["ends"][0].as_py(), "<i8")
         codes = _read(row["codes"][0].as_py(), "<i4", int(ends[-1]))
         share = np.log10(known.share(counts))

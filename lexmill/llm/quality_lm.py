@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexmill.llm.chunks import by_chunk, met, packed
 from lexmill.llm.words import slices
 from lexmill.session import new_folder, stored
 
@@ -221,32 +222,21 @@ def perplexities(
     answers = asked.select("chunk", "pos", "gram").join(known, "gram")
     answers = answers.select("chunk", "pos", F.log10("p").cast("float").alias("score"))
     texts = chunks.where("pos IS NULL").drop("pos", "gram", "n")
-    rows = answers.unionByName(texts, allowMissingColumns=True)
-    # One number to sort by: a chunk's answers in any order, then its texts.
-    turn = F.shiftleft("chunk", 1) + F.when(F.col("pos").isNull(), 1).otherwise(0)
-    rows = rows.repartition("chunk").sortWithinPartitions(turn)
+    kinds = {"pos": "<i4", "score": "<f4"}
+    rows = met(packed(answers, kinds), texts)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The answers of a chunk arrive before its texts."""
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            while batch.num_rows:
-                at = np.flatnonzero(batch["pos"].is_null().to_numpy(zero_copy_only=False))
-                stop = int(at[0]) if len(at) else batch.num_rows
-                waiting.append(batch.slice(0, stop).select(["pos", "score"]))
-                if not len(at):
-                    break
-                answers = pa.Table.from_batches(waiting)
-                scores = np.empty(answers.num_rows)
-                scores[answers["pos"].to_numpy()] = answers["score"].to_numpy()
-                yield finished(scores, batch.slice(stop, 1))
-                waiting, batch = [], batch.slice(stop + 1)
+        for answers, row in by_chunk(batches, kinds):
+            scores = np.empty(len(answers["pos"]))
+            scores[answers["pos"]] = answers["score"]
+            yield finished(scores, row)
 
     def finished(scores: np.ndarray, row: pa.RecordBatch) -> pa.RecordBatch:
         data = pa.Codec("zstd").decompress(row["texts"][0].as_py(), row["size"][0].as_py(), asbytes=True)
         every = data.decode("utf-8", "surrogatepass")
-        lengths = row["lengths"].values.to_numpy() if len(row["lengths"]) else np.zeros(0, np.int64)
+        lengths = row["lengths"].flatten().to_numpy()
         cuts = np.r_[0, np.cumsum(lengths)]
         codes, _, ends = _grams([every[a:b] for a, b in zip(cuts[:-1], cuts[1:])], order)
         total = np.r_[0, np.cumsum(scores[codes])]
