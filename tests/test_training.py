@@ -150,3 +150,12 @@ def test_merge_pairs_left_to_right(spark):
     df = spark.createDataFrame([("(61)(61)(61)(62)",)], "sym string")
     merged = pairs.merge_pairs(F.col("sym"), [("61", "61"), ("61", "62")])
     assert df.select(merged).head()[0] == "(6161)(6162)"
+
+
+def test_a_vocabulary_of_useful_size(spark, sf_dir):
+    """243 merges, as many as a vocabulary of 500 has, against one merge at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(12)
+    counts = corpus.word_counts(docs)
+    words = {tuple(bytes([b]) for b in row.word.encode()): row.cnt for row in counts.collect()}
+    found = learn_merges(counts, 243)
+    assert [tuple(map(bytes.fromhex, pair)) for pair in found] == sequential_merges(words, 243)
