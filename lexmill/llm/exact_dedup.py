@@ -134,9 +134,12 @@ def kept_rows(index: DigestIndex, docs: DataFrame, key: str = "doc_id", text: st
     found = deduplicate(index, docs, key, text)
     stay = found.where(F.col(key).eqNullSafe(F.col("keep_id"))).groupBy(key, "digest").count()
     stay = stored(stay, new_folder(spark, "kept-keys"))
-    marked = docs.withColumn("_digest", text_digest(F.col(text)))
-    same = F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("_digest") == F.col("s.digest"))
+    own = "_digest"
+    while own in docs.columns:
+        own += "_"
+    marked = docs.withColumn(own, text_digest(F.col(text)))
+    same = F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col(f"d.{own}") == F.col("s.digest"))
     kept = marked.alias("d").join(stay.alias("s"), same, "left_semi")
     if stay.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key, "_digest"])
-    return kept.drop("_digest")
+        kept = kept.dropDuplicates([key, own])
+    return kept.drop(own)

@@ -3,8 +3,18 @@
 import plain
 import pyarrow as pa
 import pytest
-
-from lexmill.llm import exact_dedup, personal_data, quality_rules, secret_scan, warc
+from pyspark.sql import functions as F
+
+from lexmill.llm import (
+    exact_dedup,
+    mixing,
+    ngram_join,
+    personal_data,
+    quality_lm,
+    quality_rules,
+    secret_scan,
+    warc,
+)
 from lexmill.session import new_folder
 
 
@@ -85,6 +95,20 @@ def test_one_of_repeated_rows_stays(spark, odd):
     assert sorted(rows(kept), key=repr) == sorted(rows(once), key=repr)
 
 
+def test_columns_with_clashing_names_pass_through(spark, odd):
+    names = ["_digest", "digest", "keep_id", "key", "class", "component_id", "trusted", "_row", "copies", "n"]
+    docs = odd.select("*", *(F.lit(i).alias(name) for i, name in enumerate(names)))
+    index = exact_dedup.open_index(spark, new_folder(spark, "index"))
+    labels = spark.createDataFrame([(4, 1, 0, 5)], "doc_id long, quality int, toxic int, text int")
+    mix, _ = mixing.fit(docs, labels)
+    for kept in (
+        quality_rules.kept_rows(docs), exact_dedup.kept_rows(index, docs), ngram_join.kept_rows(docs),
+        mixing.mixed_rows(docs, mix), quality_lm.kept_rows(docs, labels),
+    ):
+        assert kept.columns == docs.columns
+        assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in kept.collect())
+
+
 def test_secrets(docs):
     for r in secret_scan.report(docs).collect():
         text = dict(pairs(docs))[r["doc_id"]]
