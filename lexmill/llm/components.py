@@ -28,6 +28,13 @@ def _star(edges: DataFrame, both_sides: bool) -> DataFrame:
     return stored(moved.where("a > b").distinct(), new_folder(spark, "stars"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node to the smallest of its component."""
+    ends = edges.select(F.col("b").alias("a"))
+    twice = edges.groupBy("a").count().where("count > 1")
+    return edges.join(ends, "a", "left_semi").isEmpty() and twice.isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges(a, b)``; a component is its smallest node.
 
@@ -35,13 +42,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stored(edges.where("a > b").distinct(), new_folder(edges.sparkSession, "edges"))
-    mark = None
-    while True:
+    while not _settled(edges):
         edges = _star(_star(edges, True), False)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.withColumn("component", F.col("node"))

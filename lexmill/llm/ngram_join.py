@@ -42,7 +42,7 @@ PIECE = 1 << 14
 FRAGMENTS = 4
 MEETINGS = 3
 # Classes with a common n-gram from which on they are first compared with one of them, and rounds of it.
-MANY, ROUNDS = 16, 3
+MANY, ROUNDS = 16, 2
 # Keys that are sent to every task to pick texts by; more are met by a shuffle of the texts.
 MOST_SENT = 300_000
 # Classes that a task remembers, to send the n-grams of copies once.
@@ -331,7 +331,7 @@ def grouped(
         return found.withColumn("mixed", mixed).where("mixed").drop("mixed")
 
     many = stored(shared.where(F.col("many") > MANY), new_folder(spark, "large-grams"))
-    parts = connected(edges)
+    parts = spark.createDataFrame([], "node binary, component binary")
     for i in range(ROUNDS):
         draw = F.xxhash64("class", "gram", F.lit(i)).alias("draw")
         first = F.min(F.struct(draw, "class", "n", "pos", "component")).over(own)
@@ -345,10 +345,22 @@ def grouped(
     rest = stored(placed(shared, parts), new_folder(spark, "placed"))
     apart = F.col("x.component") != F.col("y.component")
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class"))
-    pairs = rest.alias("x").join(rest.alias("y"), meet & apart & _may_link(percent))
-    often = F.least(F.lit(MEETINGS), _needed(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.select(*_pair(percent)).groupBy("a", "b", "na", "nb").count()
-    if linked(pairs.where(F.col("count") >= often).drop("count"), "rest"):
+    # Up to a common n-gram two sets share as many as come before it in either, at most.
+    before = F.least("x.pos", "y.pos")
+    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    enough = before + after >= _needed(F.col("x.n"), F.col("y.n"), percent)
+    close = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pairs = rest.alias("x").join(rest.alias("y"), meet & apart & close & enough)
+    pairs = pairs.select(*_pair(percent), F.least(
+        F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")
+    ).alias("left")).groupBy("a", "b", "na", "nb")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), F.min("left").alias("left"))
+    # All common n-grams among the first are known; what else is common lies after the last of them.
+    needed = _needed(F.col("na"), F.col("nb"), percent)
+    often = (F.col("common") >= F.least(F.lit(MEETINGS), needed)) & (
+        F.col("common") + F.col("left") - 1 >= needed
+    )
+    if linked(pairs.where(often).select("a", "b", "na", "nb"), "rest"):
         parts = connected(edges)
 
     found = parts.withColumnRenamed("node", "class").join(least_key, "class")
