@@ -6,8 +6,9 @@ where it is, and what is new is appended.  Only built-in functions are used.
 
 Defined results: a null text counts as empty; equal texts are those identical after lower-casing
 A-Z; an empty table gives no rows; further columns of the input are ignored here (the caller joins
-by key); a null key never stays beside another one; rows that repeat key and text count as copies,
-share one verdict in ``deduplicate`` and leave one row in ``kept_rows``.
+by key); a null key never stays beside another one, and a text that has null keys only is indexed with
+a null ``keep_id``; rows that repeat key and text count as copies, share one verdict in ``deduplicate``
+and leave one row in ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def deduplicate(
 
     ``keep_id`` is the key of the row that stays: the indexed one, or for a text new to the index
     the largest key among its copies; adding a batch again so gives the same answer.  ``group_size`` counts the copies in ``docs``.  With several
-    ``batches`` the key range is added in as many parts, largest keys first; the result is the same.
+    ``batches`` the key range is added in as many parts, largest keys first and null keys with the
+    last; the result is the same.
     """
     spark = docs.sparkSession
     rows = stored(digests(docs, key, text), new_folder(spark, "digests"))
@@ -111,7 +113,9 @@ def deduplicate(
         cuts = [ends["low"] + (ends["high"] - ends["low"]) * i // batches for i in range(batches)]
         for i in reversed(range(batches)):
             part = rows.where(F.col(key) > cuts[i]) if i else rows
-            part = part.where(F.col(key) <= cuts[i + 1]) if i + 1 < batches else part
+            # Null keys are in no range; the last batch, which has no lower end, takes them.
+            below = (F.col(key) <= cuts[i + 1]) | F.col(key).isNull() if i + 1 < batches else F.lit(True)
+            part = part.where(below)
             index.append(groups_of(part, key))
     else:
         index.append(groups_of(rows, key))

@@ -19,7 +19,8 @@ that are still in different components; none of these is left out.
 Defined results: a text with fewer words than ``width`` is one n-gram, one without words (or null) is
 empty and linked with nothing; equal sets are always linked; further columns are ignored or, in
 ``kept_rows``, passed through; rows with equal keys are compared by themselves and share a key in the
-result; an empty table gives no rows.
+result; rows with a null key are linked like others, and where a component has null keys only its id is
+null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -236,10 +237,16 @@ def segments_of(
 ) -> DataFrame:
     """Segments of the classes in ``pairs``, cut from the text of one row of each, stored."""
     classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    keys = classes.join(least_key, "class").select(F.col("least").alias("key"))
-    return stored(
-        _segments(only(rows, keys), width, rank, pivots), new_folder(rows.sparkSession, "segments")
-    )
+    named = classes.join(least_key, "class")
+    keys = named.where("least IS NOT NULL").select(F.col("least").alias("key"))
+    found = _segments(only(rows, keys), width, rank, pivots)
+    # A class without any key is found by its n-grams, once however many rows have it.
+    bare = least_key.where("least IS NULL")
+    if not bare.isEmpty():
+        cut = _segments(rows.where("key IS NULL"), width, rank, pivots)
+        wanted = named.where("least IS NULL").select("class")
+        found = found.unionByName(only(cut, wanted).dropDuplicates(["class", "fragment"]))
+    return stored(found, new_folder(rows.sparkSession, "segments"))
 
 
 def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:

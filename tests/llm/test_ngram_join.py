@@ -48,6 +48,17 @@ def test_near_copies_around_the_limit(spark):
         assert found == plain.components(rows, width, percent)
 
 
+def test_null_keys_are_linked(spark):
+    base = [f"b{i}" for i in range(100)]
+    other = [f"o{i}" for i in range(100)]
+    table = [(7, rows_of(base)), *[(None, rows_of([*base[:-1], "end"]))] * 3]
+    table += [(None, rows_of(other)), (None, rows_of([*other[:-1], "end"])), (8, "apart from all")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    found = sorted((tuple(r) for r in ngram_join.grouped(docs, width=3, percent=90).collect()), key=repr)
+    expected = [(7, 98, 7), *[(None, 98, 7)] * 3, *[(None, 98, None)] * 2, (8, 1, 8)]
+    assert found == sorted(expected, key=repr)
+
+
 def rows_of(words):
     return " ".join(words)
 

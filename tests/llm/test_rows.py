@@ -64,6 +64,20 @@ def test_exact_copies(spark, docs):
     assert got == plain.copies(pairs(docs))
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_rows_with_null_keys_are_kept(spark, batches):
+    table = [(1, "a"), (9, "B"), (None, "b"), (None, "alone"), (None, "Alone"), (None, None), (5, "a")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    index = exact_dedup.open_index(spark, new_folder(spark, "index"), len(table))
+    found = exact_dedup.deduplicate(index, docs, batches=batches)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in found.collect()), key=repr)
+    assert got == sorted(
+        [(1, 5, 2), (5, 5, 2), (9, 9, 2), (None, 9, 2), (None, None, 2), (None, None, 2), (None, None, 1)],
+        key=repr,
+    )
+    assert index.rows().count() == 4
+
+
 def test_index_is_kept_and_reopened(spark, documents):
     folder = new_folder(spark, "index")
     old, new = documents.where("doc_id < 120"), documents.where("doc_id >= 120")
