@@ -2,18 +2,19 @@
 
 A softmax regression, fitted on at most ``LABELLED_ROWS`` labelled documents, gives every document a
 posterior over domains.  Document rates are then fitted: non-negative numbers ``r`` for which the
-expected tokens of each domain, the sum of ``r * tokens * posterior``, come near the targets in the sense
-of least squares, with a pull towards a rate of one,
+expected tokens of each domain, the sum of ``r * tokens * posterior``, come to the targets.  Among such
+numbers those nearest one are taken; the objective is
 
-    (expected - target) W (expected - target) + RIDGE * sum_d tokens_d * (r_d - 1) ** 2,
+    (expected - target) W (expected - target) + RIDGE * sum_d tokens_d * (r_d - 1) ** 2
 
-by accelerated projected gradient steps.  Totals are in shares of all tokens.  W is the inverse of the
-domains' second moments, so that rare and confusable domains weigh as much as they are hard to move
-and the steps converge at the same speed whatever the domains.  A step needs the few domain totals only: tasks replay the
-steps so far on their rows in numpy and return partial totals, so no rates are stored or moved between
-steps and a lost executor costs its tasks.  The rate is a function of the text and the fitted steps, so
-applying it needs no join.  A document is taken ``floor(rate)`` times, and once more where a hash of its
-key is below the rest.
+in shares of all tokens, with a ridge so small that it only breaks ties.  W is the inverse of the domains'
+second moments.  At the minimum a rate is ``max(0, 1 - posterior @ slope)`` for one slope per domain, so
+the fit seeks a few numbers and not a rate per document: the slopes minimise a convex function, by Newton
+steps that are halved while they do not descend.  A step needs the few domain totals only: tasks compute
+rates of their rows in numpy and return partial totals, so no rates are stored or moved between steps and
+a lost executor costs its tasks.  A fit that does not settle is an error.  The rate is a function of the
+text and the slopes, so applying it needs no join.  A document is taken ``floor(rate)`` times, and once
+more where a hash of its key is below the rest.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and no say in the totals; a
 null key counts as an empty one in the hash; null labels and unlabelled documents are not learned from;
@@ -23,6 +24,7 @@ columns pass through ``mixed_rows`` and are ignored elsewhere.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from lexmill.llm.words import slices, words_of
 from lexmill.session import new_folder, stored
 
+LOG = logging.getLogger(__name__)
+
 # Domains by (quality, toxic), and the shares of tokens they should have.
 DOMAINS = {"clean": (1, 0), "poor": (0, 0), "toxic": (1, 1), "poor_toxic": (0, 1)}
 TARGETS = {"clean": 0.92, "poor": 0.06, "toxic": 0.015, "poor_toxic": 0.005}
@@ -46,11 +50,15 @@ STYLE = 5
 LEAST_ROWS = 4
 FIT_STEPS, FIT_RATE, FIT_DECAY = 150, 0.1, 2e-4
 
-RIDGE = 0.1
-# Share of tokens below which a domain loses weight: its target cannot be met by what there is.
+RIDGE = 1e-3
+# Share of tokens below which a domain loses weight.  Under the small ridge that leaves the targets of
+# other domains as they are; a domain nearly absent misses its own instead of taking all rates with it.
 LEAST_SHARE = 0.01
-MOST_STEPS = 60
+MOST_PASSES = 200
+# Error of the totals against those at the minimum, in shares of the smallest target.
 TOLERANCE = 1e-4
+# Relative error of a total from which the fit is reported as a miss.
+MISS = 0.05
 
 
 @dataclass(frozen=True)
@@ -179,7 +187,8 @@ def labelled_classifier(
             )
 
     rows = picked.mapInArrow(run, "domain int, buckets array<int>, style array<double>")
-    rows = rows.orderBy("domain", "buckets").limit(most).collect()
+    # Repeated keys can make more rows than keys; which of them stay is no matter of domains.
+    rows = rows.orderBy(F.xxhash64("buckets", "style"), "domain").limit(most).collect()
     if not rows:
         empty = Features(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, STYLE)), None)
         return fit_classifier(empty, np.zeros(0, np.int64), len(kinds))
@@ -192,23 +201,15 @@ def labelled_classifier(
 
 
 @dataclass(frozen=True)
-class Steps:
-    """Steps of the fit: ``pulls[t]`` is subtracted along the posterior, scaled by ``size``."""
+class Slopes:
+    """What a domain's share of a document takes from its rate."""
 
-    pulls: np.ndarray
-    size: float
+    values: np.ndarray
 
     def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates after all steps, and the point at which the next step is measured."""
-        rate = ahead = np.ones(len(posterior))
-        # The objective curves by RIDGE at least and 1 / size at most.
-        root = (RIDGE * self.size) ** 0.5
-        for pull in self.pulls:
-            moved = ahead - self.size * (posterior @ pull + RIDGE * (ahead - 1))
-            moved = np.maximum(moved, 0)
-            ahead = moved + (1 - root) / (1 + root) * (moved - rate)
-            rate = moved
-        return rate, ahead
+        """Rates, and which of them are not held at zero."""
+        rate = 1 - posterior @ self.values
+        return np.maximum(rate, 0), rate > 0
 
 
 def metric(moments: np.ndarray) -> np.ndarray:
@@ -216,42 +217,63 @@ def metric(moments: np.ndarray) -> np.ndarray:
     return np.linalg.inv(moments + LEAST_SHARE * np.eye(len(moments)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
-    """Steps for rows ``(tokens, posterior)`` and a report of totals reached."""
+def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Slopes, dict]:
+    """Slopes for rows ``(tokens, posterior)`` and a report of totals reached."""
     count = len(targets)
-    names = [f"x{i}" for i in range(count + count * count + 1)]
+    names = [f"x{i}" for i in range(count + count * count + 2)]
+
+    def totals(slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Totals by domain, second moments where rates are free, squared rates, tokens."""
 
-    def totals(steps: Steps, use_rates: bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(names))
             for batch in batches:
                 posterior = batch["posterior"].flatten().to_numpy().reshape(-1, count)
                 tokens = batch["tokens"].to_numpy().astype(float)
-                rate, ahead = steps.replay(posterior)
+                rate, free = Slopes(slopes).replay(posterior)
                 weighted = posterior * tokens[:, None]
-                sums[:count] += (weighted * (rate if use_rates else ahead)[:, None]).sum(axis=0)
-                sums[count:-1] += (weighted.T @ posterior).ravel()
+                sums[:count] += (weighted * rate[:, None]).sum(axis=0)
+                sums[count:-2] += (weighted[free].T @ posterior[free]).ravel()
+                sums[-2] += (tokens * rate * rate).sum()
                 sums[-1] += tokens.sum()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names)
 
         parts = rows.mapInArrow(run, ", ".join(f"{name} double" for name in names))
-        return np.array([x or 0.0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()])
+        sums = np.array([x or 0.0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()])
+        whole = max(sums[-1], 1.0)
+        return sums[:count] / whole, sums[count:-2].reshape(count, count) / whole, sums[-2] / whole, sums[-1]
 
-    steps = Steps(np.zeros((0, count)), 1.0)
-    start = totals(steps, False)
-    whole = max(start[-1], 1.0)
+    slopes = np.zeros(count)
     target = np.array(targets) / sum(targets)
-    weight = metric(start[count:-1].reshape(count, count) / whole)
-    size = 1 / (1 + RIDGE)
-    found = start[:count] / whole
-    for _ in range(MOST_STEPS):
-        pull = weight @ (found - target)
-        steps = Steps(np.concatenate([steps.pulls, pull[None]]), size)
-        before, found = found, totals(steps, False)[:count] / whole
-        if np.abs(found - before).max() < TOLERANCE * target.min():
+    before, moments, squares, tokens = totals(slopes)
+    found = before
+    if not tokens:
+        return Slopes(slopes), {"before": before, "target": target, "reached": found}
+    pull = RIDGE * np.linalg.inv(metric(moments))
+
+    def height(slopes: np.ndarray, squares: float) -> float:
+        return (slopes @ pull @ slopes + squares) / 2 + target @ slopes
+
+    here, passes = height(slopes, squares), 1
+    while True:
+        # Zero at the minimum: what the totals differ from where the ridge wants them.
+        off = pull @ slopes + target - found
+        if np.abs(off).max() < TOLERANCE * target.min():
             break
-    reached = totals(steps, True)[:count] / whole
-    return steps, {"before": start[:count] / whole, "target": target, "reached": reached}
+        step = np.linalg.solve(pull + moments, off)
+        part = 1.0
+        while True:
+            if passes == MOST_PASSES:
+                raise RuntimeError(f"the mix has not settled: {found} for {target}")
+            passes += 1
+            ahead = slopes - part * step
+            then, bend, squares, _ = totals(ahead)
+            there = height(ahead, squares)
+            if there <= here - 1e-4 * part * (off @ step) + 1e-12 * abs(here):
+                break
+            part /= 2
+        slopes, found, moments, here = ahead, then, bend, there
+    return Slopes(slopes), {"before": before, "target": target, "reached": found}
 
 
 @dataclass(frozen=True)
@@ -259,11 +281,11 @@ class Mix:
     """A fitted mix: a rate for any text."""
 
     classifier: Classifier
-    steps: Steps
+    slopes: Slopes
 
     def rates(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         posterior = self.classifier.posteriors(f)
-        return posterior, self.steps.replay(posterior)[0]
+        return posterior, self.slopes.replay(posterior)[0]
 
 
 def copies(rates: np.ndarray, keys: list) -> np.ndarray:
@@ -297,8 +319,12 @@ def fit(
     )
     # What the steps read: a few numbers per document.
     rows = stored(rows, new_folder(spark, "posteriors"))
-    steps, report = fit_rates(rows, [targets[name] for name in DOMAINS])
-    return Mix(classifier, steps), report
+    slopes, report = fit_rates(rows, [targets[name] for name in DOMAINS])
+    for name, *values in zip(DOMAINS, report["before"], report["target"], report["reached"]):
+        line = "%s tokens: %.5f before, %.5f wanted, %.5f reached"
+        far = abs(values[2] - values[1]) > MISS * values[1]
+        LOG.log(logging.WARNING if far else logging.INFO, line, name, *values)
+    return Mix(classifier, slopes), report
 
 
 def mixed_rows(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,6 +62,22 @@ def test_rates_equal_those_of_a_dense_solver(spark):
     assert np.abs(totals - target).max() < np.abs(report["before"] - target).max() / 3
 
 
+def test_targets_are_met_on_real_posteriors(more, labels, caplog):
+    with caplog.at_level("INFO", logger=mixing.__name__):
+        mix, report = mixing.fit(more, labels)
+    assert [r.levelname for r in caplog.records] == ["INFO"] * 4
+    assert np.abs(report["before"] / report["target"] - 1).max() > 0.5
+    assert np.abs(report["reached"] / report["target"] - 1).max() < 0.03
+
+
+def test_an_absent_domain_does_not_stop_the_fit(spark):
+    table = [(100, [0.9, 0.1, 0.0]), (50, [0.2, 0.8, 0.0]), (10, [0.0, 1.0, 0.0])]
+    rows = spark.createDataFrame(table, "tokens long, posterior array<double>")
+    slopes, report = mixing.fit_rates(rows, [0.7, 0.2, 0.1])
+    assert np.abs(report["reached"][:2] - report["target"][:2]).max() < 0.01
+    assert report["reached"][2] == 0 and (slopes.replay(np.eye(3))[0] >= 0).all()
+
+
 def test_expected_copies_are_the_rates():
     keys = list(range(20_000))
     assert abs(mixing.copies(np.full(20_000, 1.3), keys).mean() - 1.3) < 0.02
