@@ -17,6 +17,7 @@ from lexmill.llm import (
     quality_lm,
     quality_rules,
     secret_scan,
+    simhash_join,
     warc,
 )
 from lexmill.session import new_folder
@@ -80,6 +81,10 @@ def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.grouped(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_lm": op1_quality_lm,
     "op2_ngram_join": op2_ngram_join,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
+    "op13_simhash_join": op13_simhash_join,
 }
 
 # Lower-cases A-Z only.
