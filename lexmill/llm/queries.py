@@ -18,7 +18,9 @@ from lexmill.llm import (
     quality_rules,
     secret_scan,
     simhash_join,
+    turn_repair,
     warc,
+    whitening,
 )
 from lexmill.session import new_folder
 
@@ -81,6 +83,14 @@ def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.grouped(documents(spark, sf_dir))
 
@@ -96,6 +106,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
+    "op11_whitening": op11_whitening,
+    "op12_turn_repair": op12_turn_repair,
     "op13_simhash_join": op13_simhash_join,
 }
 
