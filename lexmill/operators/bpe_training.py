@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.operators import pair_index
 from lexmill.operators.merge_choice import Pair, choose_merges
+from lexmill.operators.pair_index import PairIndex
 from lexmill.operators.pairs import (
     among,
     changed_words,
@@ -19,6 +22,7 @@ from lexmill.operators.pairs import (
     triple_counts,
 )
 from lexmill.operators.tokenizer import Tokenizer, tokenizer_from_merges
+from lexmill.operators.training_journal import Journal, Settled
 from lexmill.session import new_folder, stored
 
 # Pairs a full count hands to the driver.  Updates may let the list grow to a multiple of it.
@@ -26,6 +30,10 @@ CANDIDATES = 512
 GROWTH = 4
 # Rounds between two writes of the state, the most a lost executor can make Spark repeat.
 ROUNDS_PER_WRITE = 8
+# A round that alters no more than this share of the words is followed by rounds over the index.
+INDEX_SHARE = 0.05
+
+_log = logging.getLogger(__name__)
 
 Triple = tuple[str, str, str]
 
@@ -106,27 +114,127 @@ def next_merges(known: Candidates, tokens: set[str], limit: int) -> list[Pair]:
     return choose_merges(top, known.unlisted, known.triples, tokens, limit) if top else []
 
 
+class _Scanned:
+    """The words as a table that every round reads whole, while a round alters many of them.
+
+    Between writes they are persisted; every few rounds they are written, which cuts the lineage.
+    """
+
+    def __init__(self, words: DataFrame, journal: Journal, rounds_per_write: int, index_share: float):
+        self.table = words.persist()
+        self.journal, self.rounds_per_write, self.index_share = journal, rounds_per_write, index_share
+        self.rounds, self.open = 0, []
+
+    def words(self) -> DataFrame:
+        return self.table
+
+    def merged(self, batch: Sequence[Pair]) -> DataFrame:
+        """The words as ``before`` and ``sym``, in turn for those before the round."""
+        previous = self.table
+        rows = previous.where(has_pair())
+        sym = merge_pairs(F.col("sym"), batch).alias("sym")
+        self.table = rows.select(F.col("sym").alias("before"), sym, "cnt").persist()
+        self.previous = previous
+        self.open += batch
+        return self.table
+
+    def settled(self) -> _Scanned | _Indexed:
+        """Lets go of the words before the round; writes them now and then, and the index once few are altered."""
+        total, altered = self.table.agg(F.count("cnt"), F.count_if(F.expr("before <> sym"))).first()
+        self.previous.unpersist()
+        self.rounds += 1
+        _log.info("round over all words: %d altered of %d read", altered, total)
+        if altered <= self.index_share * total:
+            numbered = self.table.select(F.monotonically_increasing_id().alias("word"), "sym", "cnt")
+            index = pair_index.build(numbered, self.journal.folder, 0)
+            self.table.unpersist()
+            self.journal.append(self.open, index=index)
+            return _Indexed(index, self.journal, total)
+        if self.rounds % self.rounds_per_write == 0:
+            previous, path = self.table, f"{self.journal.folder}/words-{self.journal.steps + 1}"
+            self.table = stored(previous.select("sym", "cnt").where(has_pair()), path).persist()
+            previous.unpersist()
+            self.journal.append(self.open, words=path)
+            self.open = []
+        return self
+
+    def closed(self) -> None:
+        self.table.unpersist()
+
+
+class _Indexed:
+    """The words behind an index by pair: a round reads those that hold one of its pairs."""
+
+    def __init__(self, index: PairIndex, journal: Journal, total: int | None = None):
+        self.index, self.journal, self.total = index, journal, total
+        self.altered: DataFrame | None = None
+
+    def words(self) -> DataFrame:
+        return self.index.words()
+
+    def merged(self, batch: Sequence[Pair]) -> DataFrame:
+        """The words that the round alters, as ``before`` and ``sym``; the index holds them at once."""
+        rows = self.index.holders([run_of(pair) for pair in batch])
+        sym = merge_pairs(F.col("sym"), batch).alias("sym")
+        self.closed()
+        self.altered = rows.select("word", F.col("sym").alias("before"), sym, "cnt").persist()
+        self.index = self.index.appended(self.altered)
+        self.batch = batch
+        return self.altered
+
+    def settled(self) -> _Indexed:
+        if _log.isEnabledFor(logging.INFO):
+            _log.info("round by the index: %d read and altered of %s", self.altered.count(), self.total)
+        if len(self.index.later) >= pair_index.GENERATIONS:
+            self.index = self.index.rebased()
+        self.journal.append(self.batch, index=self.index)
+        return self
+
+    def closed(self) -> None:
+        if self.altered is not None:
+            self.altered.unpersist()
+
+
 def learn_merges(
     counts: DataFrame,
     limit: int,
     candidates: int = CANDIDATES,
     rounds_per_write: int = ROUNDS_PER_WRITE,
+    folder: str | None = None,
+    index_share: float = INDEX_SHARE,
 ) -> list[Pair]:
     """The first ``limit`` merges of a ``(word, cnt)`` table, fewer if no pair is left.
 
     The state is the table of words as symbol strings.  A round applies its merges to the words
-    and sums the changes of the altered ones; only now and then are all words counted again.
-    Between writes the words are persisted; every few rounds they go to the shared work folder,
-    alternating between two places, which cuts the lineage.
+    and sums the changes of the altered ones; only now and then are all words counted again.  The first
+    rounds alter many words and read them all.  Once a round alters no more than ``index_share`` of them,
+    they go behind an index by pair, and every round from then on reads only the words that hold one of
+    its pairs.
+
+    ``folder`` keeps a journal of what is settled, every few rounds at first and every round with the
+    index.  A training that finds a journal there goes on from it and does not look at ``counts``; the
+    folder belongs to one corpus.  Without one a fresh folder in the work folder is used.
     """
     if limit <= 0:
         return []
-    folder = new_folder(counts.sparkSession, "bpe")
-    words = stored(symbol_words(counts), f"{folder}/words-0").persist()
-    tokens = {f"{byte:02X}" for byte in range(256)}
-    merges: list[Pair] = []
-    rounds = 0
-    known = count_candidates(words, candidates)
+    spark = counts.sparkSession
+    journal = Journal(spark, folder or new_folder(spark, "bpe"))
+    found = journal.read()
+    merges = list(found.merges)[:limit]
+    if len(merges) >= limit:
+        return merges
+    if not found.steps:
+        path = f"{journal.folder}/words-0"
+        stored(symbol_words(counts), path)
+        journal.append([], words=path)
+        found = Settled(1, (), path)
+    if found.index:
+        state = _Indexed(found.index, journal)
+    else:
+        words = spark.read.schema("sym string, cnt long").parquet(found.words)
+        state = _Scanned(words, journal, rounds_per_write, index_share)
+    tokens = {f"{byte:02X}" for byte in range(256)} | {"".join(pair) for pair in merges}
+    known = count_candidates(state.words(), candidates)
     while True:
         batch = next_merges(known, tokens, limit - len(merges))
         made = ["".join(pair) for pair in batch]
@@ -135,22 +243,11 @@ def learn_merges(
         tokens.update(made)
         if not batch or len(merges) >= limit:
             break
-        previous = words
-        words = (
-            previous.where(has_pair())
-            .select(F.col("sym").alias("before"), merge_pairs(F.col("sym"), batch).alias("sym"), "cnt")
-            .persist()
-        )
-        updated = update_candidates(known, words, candidates) if fresh else None
-        known = updated or count_candidates(words, candidates)
-        previous.unpersist()
-        rounds += 1
-        if rounds % rounds_per_write == 0:
-            previous, slot = words, rounds // rounds_per_write % 2
-            left = previous.select("sym", "cnt").where(has_pair())
-            words = stored(left, f"{folder}/words-{slot}").persist()
-            previous.unpersist()
-    words.unpersist()
+        altered = state.merged(batch)
+        updated = update_candidates(known, altered, candidates) if fresh else None
+        known = updated or count_candidates(state.words(), candidates)
+        state = state.settled()
+    state.closed()
     return merges
 
 
@@ -160,13 +257,15 @@ def train_bpe(
     specials: Sequence[str] = (),
     candidates: int = CANDIDATES,
     rounds_per_write: int = ROUNDS_PER_WRITE,
+    folder: str | None = None,
 ) -> Tokenizer:
     """Vocabulary of up to ``vocab_size`` tokens: 256 bytes, the special tokens, the merges.
 
     The next merge is always the most frequent pair, among equals the larger one in byte order.
-    A size below the base vocabulary gives the base vocabulary without merges.
+    A size below the base vocabulary gives the base vocabulary without merges.  ``folder`` keeps the
+    journal of an interrupted training, as in ``learn_merges``.
     """
     wanted = vocab_size - 256 - len(specials)
-    merges = learn_merges(counts, wanted, candidates, rounds_per_write)
+    merges = learn_merges(counts, wanted, candidates, rounds_per_write, folder)
     pairs = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in merges]
     return tokenizer_from_merges(counts.sparkSession, pairs, specials)

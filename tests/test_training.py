@@ -11,7 +11,7 @@ from brute import (
 )
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, pairs
+from lexmill.operators import bpe_training, corpus, pair_index, pairs, training_journal
 from lexmill.operators.bpe_training import learn_merges, train_bpe
 from lexmill.operators.merge_choice import choose_merges
 
@@ -159,3 +159,63 @@ def test_a_vocabulary_of_useful_size(spark, sf_dir):
     words = {tuple(bytes([b]) for b in row.word.encode()): row.cnt for row in counts.collect()}
     found = learn_merges(counts, 243)
     assert [tuple(map(bytes.fromhex, pair)) for pair in found] == sequential_merges(words, 243)
+
+
+@pytest.mark.parametrize("seed, candidates", [(3, 6), (12, 40)])
+def test_rounds_over_the_index_equal_the_loop(spark, monkeypatch, seed, candidates):
+    """From the first round on, with generations put together often."""
+    monkeypatch.setattr(pair_index, "GENERATIONS", 3)
+    counted = random_words(seed) + Counter({"aaaaaaa": 5, "ababab": 4, "éé": 3, "abcabcabd": 7})
+    found = learn_merges(counts_frame(spark, counted), 20, candidates, index_share=1.0)
+    expected = sequential_merges(byte_words(counted), 20)
+    assert [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in found] == expected
+
+
+def test_a_lookup_opens_the_directories_of_its_pairs(spark, tmp_path):
+    rows = [(i, "".join(f"({c:02X})" for c in range(i % 40, i % 40 + 6)), i) for i in range(400)]
+    words = spark.createDataFrame(rows, "word long, sym string, cnt long")
+    index = pair_index.build(words, str(tmp_path), 0)
+    found = index.postings(["(07)(08)"])
+    slots = {path.split("slot=")[1].split("/")[0] for path in
+             (r[0] for r in found.select(F.input_file_name()).distinct().collect())}
+    assert len(slots) == 1 < index.slots
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slot" in plan or "slot" in plan.split("PartitionFilters")[1][:80]
+    assert {r.word for r in index.holders(["(07)(08)"]).collect()} == {r[0] for r in rows if "(07)(08)" in r[1]}
+
+
+def test_an_index_follows_its_words(spark, tmp_path):
+    """Pairs that are lost, kept, and held again, over several rounds and put together."""
+    rows = [(1, "(61)(62)(63)", 4), (2, "(62)(63)", 2), (3, "(64)(65)", 1)]
+    index = pair_index.build(spark.createDataFrame(rows, "word long, sym string, cnt long"), str(tmp_path), 0)
+    change = "word long, before string, sym string, cnt long"
+    index = index.appended(spark.createDataFrame([(1, "(61)(62)(63)", "(6162)(63)", 4)], change))
+    index = index.appended(spark.createDataFrame([(2, "(62)(63)", "(6263)", 2)], change))
+    for index in (index, index.rebased()):
+        assert index.holders(["(62)(63)"]).collect() == []
+        assert [tuple(r) for r in index.holders(["(6162)(63)", "(62)(63)"]).collect()] == [(1, "(6162)(63)", 4)]
+        assert {r.word for r in index.words().collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_an_interrupted_training_goes_on(spark, tmp_path, monkeypatch, share):
+    """A driver lost after some rounds; another one needs the folder only."""
+    counted = random_words(5) + Counter({"abcabcabd": 7, "éé": 3})
+    expected = [tuple(x.hex().upper() for x in pair) for pair in sequential_merges(byte_words(counted), 12)]
+    counts, folder = counts_frame(spark, counted), str(tmp_path / "training")
+    rounds, update = [], bpe_training.update_candidates
+
+    def failing(*args):
+        rounds.append(args)
+        if len(rounds) == 4:
+            raise KeyboardInterrupt
+        return update(*args)
+
+    monkeypatch.setattr(bpe_training, "update_candidates", failing)
+    with pytest.raises(KeyboardInterrupt):
+        learn_merges(counts, 12, 3, rounds_per_write=2, folder=folder, index_share=share)
+    settled = training_journal.Journal(spark, folder).read()
+    assert 0 < len(settled.merges) < 12 and list(settled.merges) == expected[: len(settled.merges)]
+    monkeypatch.setattr(bpe_training, "update_candidates", update)
+    none = spark.createDataFrame([], counts.schema)
+    assert learn_merges(none, 12, 3, rounds_per_write=2, folder=folder, index_share=share) == expected
