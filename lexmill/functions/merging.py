@@ -108,9 +108,41 @@ class WordEncoder:
             yield self.batch(lists)
 
 
-def decode_each(batch: pa.Array, table: dict[int, bytes]) -> pa.Array:
-    """Bytes of every array of ids; unknown ids give nothing, a null array null."""
-    return pa.array(
-        [None if ids is None else b"".join(table.get(i, b"") for i in ids) for ids in batch.to_pylist()],
-        pa.binary(),
-    )
+class TokenBytes:
+    """The tokens of a vocabulary in one buffer, to be gathered for a whole batch of ids at once."""
+
+    def __init__(self, rows: Iterator[tuple[int, bytes]]):
+        found = sorted(dict(rows).items())
+        self.ids = np.array([i for i, _ in found], np.int64)
+        # One more entry, of no bytes, stands for ids that are not in the vocabulary.
+        self.tokens = pa.array([*(token for _, token in found), b""], pa.large_binary())
+
+    def places(self, ids: pa.Array) -> np.ndarray:
+        """Where the token of each id lies; null and unknown ids lie at the last entry."""
+        wanted = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(self.ids):
+            return np.zeros(len(wanted), np.int64)
+        place = np.searchsorted(self.ids, wanted)
+        known = self.ids[np.minimum(place, len(self.ids) - 1)] == wanted
+        if ids.null_count:
+            known &= ids.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known, place, len(self.ids))
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of every array of ids; unknown ids give nothing, a null array null.
+
+        The gathered tokens lie one after the other, so a row's bytes are a stretch of them.
+        """
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        rows = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        found = self.tokens.take(pa.array(self.places(lists.flatten())))
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(found) + 1)[rows] if len(found) else 0 * rows
+        whole = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")]
+        )
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+    def batches(self, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield self.texts(lists)

@@ -166,7 +166,11 @@ def decode(
     if not tok.broadcastable:
         return decode_by_join(df, tok, key, ids, output)
     table = tok.token_bytes
-    decoded = F.arrow_udf(lambda batch: merging.decode_each(batch, table.value), BinaryType())
+
+    @F.arrow_udf(BinaryType())
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return merging.TokenBytes(table.value).batches(batches)
+
     return df.withColumn(output, F.make_valid_utf8(decoded(F.col(ids)).cast("string")))
 
 

@@ -48,11 +48,11 @@ class Tokenizer:
 
     @cached_property
     def token_bytes(self) -> Broadcast:
-        """Bytes by id, on every executor."""
+        """Ids and their bytes, on every executor."""
         if not self.broadcastable:
             raise ValueError("the vocabulary is too large to broadcast")
         rows = self.vocab.select("id", "bytes").collect()
-        return self.vocab.sparkSession.sparkContext.broadcast({r.id: bytes(r.bytes) for r in rows})
+        return self.vocab.sparkSession.sparkContext.broadcast([(r.id, bytes(r.bytes)) for r in rows])
 
 
 def base_vocab(spark: SparkSession, specials: Sequence[str] = ()) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from brute import encode as brute_encode
 from pyspark.sql import functions as F
 
+from lexmill.functions import merging
 from lexmill.functions.merging import merge_symbols
 from lexmill.operators import corpus, encoding, tokenizer
 from lexmill.operators.bpe_training import train_bpe
@@ -164,3 +166,17 @@ def test_long_and_frequent_words_by_join(spark, trained, monkeypatch, hot):
     assert by_broadcast[3] == brute_encode(texts[3], ids, ranks, SPECIALS)
     back = encoding.decode_by_join(found.drop("text"), trained, ["doc_id"])
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_tokens_are_gathered_for_whole_batches():
+    """Sparse ids, unknown and null ones, null and empty rows, slices, and a vocabulary of nothing."""
+    table = merging.TokenBytes(iter([(7, b"a"), (0, b""), (2**31 - 1, b"\xc3\xa9"), (7, b"bc")]))
+    rows = [[7, 0, 7], None, [], [1, 2**31 - 1], [None, 7], [-1]]
+    lists = pa.array(rows, pa.list_(pa.int32()))
+    expected = [b"bcbc", None, b"", b"\xc3\xa9", b"bc", b""]
+    assert table.texts(lists).to_pylist() == expected
+    assert table.texts(lists.slice(2)).to_pylist() == expected[2:]
+    assert table.texts(lists.slice(1, 2)).to_pylist() == [None, b""]
+    nothing = merging.TokenBytes(iter([]))
+    assert nothing.texts(lists).to_pylist() == [b"", None, b"", b"", b"", b""]
+    assert nothing.texts(lists.slice(0, 0)).to_pylist() == []
