@@ -226,8 +226,7 @@ def learn_merges(
     if not found.steps:
         path = f"{journal.folder}/words-0"
         stored(symbol_words(counts), path)
-        journal.append([], words=path)
-        found = Settled(1, (), path)
+        found = Settled(words=path)
     if found.index:
         state = _Indexed(found.index, journal)
     else:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from lexmill.operators.merge_choice import Pair
 from lexmill.operators.pair_index import PairIndex
@@ -55,14 +55,16 @@ class Journal:
 
     def append(self, merges: Sequence[Pair], words: str | None = None, index: PairIndex | None = None) -> None:
         self.steps += 1
-        row = (
-            self.steps,
-            [" ".join(pair) for pair in merges],
-            words,
-            index.round if index else None,
-            index.slots if index else None,
-            index.base if index else None,
-            list(index.later) if index else None,
-        )
-        table = self.spark.createDataFrame([row], SCHEMA).coalesce(1)
+        row = {
+            "step": self.steps,
+            "merges": F.array(*(F.lit(" ".join(pair)) for pair in merges)),
+            "words": words,
+            "round": index.round if index else None,
+            "slots": index.slots if index else None,
+            "base": index.base if index else None,
+            "later": F.array(*map(F.lit, index.later)) if index else None,
+        }
+        types = dict(part.split(" ") for part in SCHEMA.split(", "))
+        columns = [F.lit(value).cast(types[name]).alias(name) for name, value in row.items()]
+        table = self.spark.range(0, 1, 1, 1).select(columns)
         table.write.mode("overwrite").json(f"{self.folder}/journal/step-{self.steps:06d}")
