@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lexmill.session import new_folder, stored
 from lexmill.sources.token_store import SHARD_BLOCKS
 
 BLOCK_TOKENS = 8192
@@ -41,6 +42,36 @@ def order_buckets(
     return cut.withColumn(output, F.col(output).cast("int")).drop(number)
 
 
+def prefix_sums(
+    rows: DataFrame, order: Sequence[str], size: str, output: str
+) -> DataFrame:
+    """Add the sum of ``size`` over all rows before each one in a unique ``order``, as a tree.
+
+    Rows are dealt by ranges of the order and stored with the number of their range.  A range is summed
+    in its own task; the root adds up one total per range, of which there are as many as the shuffle has
+    partitions, whatever the number of rows.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, new_folder(spark, "ranges"))
+    totals = dealt.groupBy("_range").agg(F.sum(size).alias("total"))
+    listed = totals.agg(F.array_sort(F.collect_list(F.struct("_range", "total"))).alias("all"))
+    summed = F.transform(
+        "all",
+        lambda r, i: F.struct(
+            r["_range"].alias("_range"),
+            F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["total"]).alias("_base"),
+        ),
+    )
+    bases = F.broadcast(listed.select(F.inline(summed)))
+    before = F.sum(size).over(
+        W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    )
+    here = dealt.withColumn("_before", before).join(bases, "_range")
+    total = F.coalesce("_before", F.lit(0)) + F.col("_base")
+    return here.withColumn(output, total.cast("long")).drop("_range", "_before", "_base")
+
+
 def running_offsets(
     df: DataFrame,
     bucket: Sequence[str],
@@ -50,18 +81,14 @@ def running_offsets(
 ) -> DataFrame:
     """Add the sum of ``size`` over all rows before each one in the order ``(bucket, order)``.
 
-    Two levels: a running sum inside each bucket, and one over the bucket totals.  Only the
-    totals, one row per bucket, meet in a single task.  ``df`` is read twice, so it should be a
-    stored table.  ``(bucket, order)`` must be unique.
+    A running sum inside each bucket, and ``prefix_sums`` over the bucket totals.  ``df`` is read
+    twice, so it should be a stored table.  ``(bucket, order)`` must be unique.
     """
     inside = F.sum(size).over(
         W.partitionBy(*bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     )
     totals = df.groupBy(*bucket).agg(F.sum(size).alias("total"))
-    bases = totals.select(
-        *bucket,
-        F.sum("total").over(W.orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)).alias("base"),
-    )
+    bases = prefix_sums(totals, bucket, "total", "base").drop("total")
     start = F.coalesce("inside", F.lit(0)) + F.coalesce("base", F.lit(0))
     return (
         df.withColumn("inside", inside)

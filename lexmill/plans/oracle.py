@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from lexmill.functions.text import END_OF_TEXT
 from lexmill.plans import queries as Q
 
@@ -15,6 +17,14 @@ PRETOKENS = (
 FIRST_ID = 256 + len(Q.SPECIALS)
 
 
+
+
+def drawn(rows: int) -> str:
+    """Places that Python's generator draws among so many rows."""
+    places = random.Random(Q.SEED).sample(range(rows), Q.SAMPLE_SIZE)
+    return f"(n_rows = {rows} AND place IN ({', '.join(map(str, places))}))"
+
+
 def pretokens(text: str) -> str:
     return PRETOKENS.format(text=text)
 
@@ -263,6 +273,12 @@ FROM (SELECT doc_id, seg, {pretokens('text')} AS w FROM segs WHERE NOT is_specia
     "marked_scan": """
 SELECT trim(text, E' \\n') AS text, count(*) AS cnt FROM documents
 WHERE trim(text, E' \\n') <> '' GROUP BY ALL""",
+    "piece_scan": r"""
+WITH pieces AS (
+    SELECT ltrim(unnest(string_split(regexp_replace(rtrim(text, ' ' || chr(10)), '(\S)\n',
+        '\1' || chr(31) || chr(10), 'g'), chr(31))), chr(10)) AS text
+    FROM documents)
+SELECT text, count(*) AS cnt FROM pieces WHERE text <> '' GROUP BY text""",
     "byte_symbols": f"SELECT word, {SYMBOLS} AS sym FROM ({counts('documents')})",
     "pair_counts": PAIRS,
     "top_pairs": f"{PAIRS} ORDER BY cnt DESC, a DESC, b DESC LIMIT 20",
@@ -272,6 +288,13 @@ WHERE trim(text, E' \\n') <> '' GROUP BY ALL""",
     "bpe_vocab": f"{TRAINING} SELECT id, token_hex FROM ({VOCAB})",
     "tokenizer_roundtrip": f"""{TRAINING} SELECT id, token_hex FROM ({VOCAB})
 UNION ALL SELECT {FIRST_ID + Q.MERGES}::BIGINT, hex(encode('{Q.DOUBLE_SPECIALS[1]}'))""",
+    "printable_roundtrip": f"""{TRAINING} SELECT id, token_hex FROM ({VOCAB})
+UNION ALL SELECT -1 - rank::BIGINT AS id, a || ' ' || b AS token_hex FROM merges""",
+    "drawn_documents": f"""
+SELECT doc_id, text FROM (
+    SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n_rows
+    FROM documents)
+WHERE {' OR '.join(map(drawn, (200, 1_000, 10_000)))}""",
     "token_difference": f"""{TRAINING} SELECT a || b AS token_hex, 'left' AS side FROM merges
 UNION ALL SELECT hex(encode('{Q.DOUBLE_SPECIALS[1]}')) AS token_hex, 'right' AS side""",
     "reverse_vocab": """

@@ -159,6 +159,14 @@ def marked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("text").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files and read in pieces, without the line ends pieces begin with."""
+    folder = new_folder(spark, "pieces")
+    documents(spark, sf_dir).select(F.rtrim("text", F.lit(" \n")).alias("text")).write.text(folder)
+    found = texts.read_pieces(spark, folder).select(F.ltrim("text", F.lit("\n")).alias("text"))
+    return found.where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 # Pairs and training
 
 
@@ -208,6 +216,20 @@ def tokenizer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.vocab.select(*long("id"), F.hex("bytes").alias("token_hex"))
 
 
+def printable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary and merges written in the printable alphabet and read back."""
+    prefix = f"{new_folder(spark, 'printable')}/documents"
+    vocab, merges = tokenizer_files.write_printable(trained(spark, sf_dir), prefix)
+    vocab = tokenizer_files.read_printable_vocab(spark, vocab).select(
+        *long("id"), F.hex("bytes").alias("token_hex")
+    )
+    rules = tokenizer_files.read_printable_merges(spark, merges).select(
+        (-1 - F.col("rank").cast("long")).alias("id"),
+        F.concat_ws(" ", F.hex("left"), F.hex("right")).alias("token_hex"),
+    )
+    return vocab.unionByName(rules)
+
+
 def token_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trained vocabulary against the base vocabulary."""
     tok = train(spark, sf_dir)
@@ -346,6 +368,11 @@ def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def drawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that Python's generator draws for a seed."""
+    return sampling.drawn_sample(documents(spark, sf_dir), SAMPLE_SIZE, SEED, ["doc_id"]).select("doc_id", "text")
+
+
 def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hashed_sample(documents(spark, sf_dir), SAMPLE_SIZE, SEED).select("doc_id", "text")
 
@@ -435,6 +462,7 @@ QUERIES: dict[str, Query] = {
         line_scan,
         whole_texts,
         marked_scan,
+        piece_scan,
         byte_symbols,
         pair_counts,
         top_pairs,
@@ -443,6 +471,7 @@ QUERIES: dict[str, Query] = {
         bpe_merges,
         bpe_vocab,
         tokenizer_roundtrip,
+        printable_roundtrip,
         token_difference,
         reverse_vocab,
         merge_ranks,
@@ -459,6 +488,7 @@ QUERIES: dict[str, Query] = {
         training_totals,
         bytes_per_token,
         compression_report,
+        drawn_documents,
         sample_documents,
         token_offsets,
         token_blocks,

@@ -160,21 +160,58 @@ def from_printable(token: Column, alphabet: DataFrame) -> Column:
     table = F.split(F.lit(",".join(f"{row.byte:02X}" for row in rows)), ",")
     chars = F.lit("".join(row.ch for row in rows))
     marks = F.transform(
-        F.split(token, ""), lambda ch: F.get(table, F.instr(chars, ch) - 1)
+        F.filter(F.split(token, ""), lambda ch: ch != ""), lambda ch: F.get(table, F.instr(chars, ch) - 1)
+    )
+    marks = _checked(
+        marks, ~F.exists(marks, lambda mark: mark.isNull()), "a token holds a character that stands for no byte"
     )
     return F.unhex(F.array_join(marks, ""))
 
 
+def to_printable(data: Column, alphabet: DataFrame) -> Column:
+    """A token's bytes in the printable alphabet."""
+    chars = {row.byte: row.ch for row in alphabet.collect()}
+    table = F.array(*(F.lit(chars[byte]) for byte in range(256)))
+    return F.array_join(F.transform(_numbers(data), lambda byte: F.get(table, byte)), "")
+
+
+def write_printable(tok: Tokenizer, prefix: str) -> tuple[str, str]:
+    """Write ``<prefix>_vocab.json`` as ``{"token": id, …}`` and ``<prefix>_merges.txt`` in the printable alphabet.
+
+    Returns the two paths.  Larger tables than a single file holds are refused.
+    """
+    if not fits_broadcast(tok.vocab, tok.merges, rows=FILE_ROWS, size=FILE_BYTES):
+        raise ValueError("the tokenizer tables are too large for single files")
+    alphabet = byte_alphabet(tok.vocab.sparkSession)
+    vocab_path, merges_path = f"{prefix}_vocab.json", f"{prefix}_merges.txt"
+    # Of ids with equal bytes a file of this form can hold one, the one that encoding uses.
+    last = tok.vocab.groupBy("bytes").agg(F.max_by("id", "pos").alias("id"), F.max("pos").alias("pos"))
+    name = F.to_json(F.array(to_printable(F.col("bytes"), alphabet)))
+    entry = F.concat(F.lit("  "), F.expr("substring(name, 2, char_length(name) - 2)"), F.lit(": "), F.col("id"))
+    _write_lines(last.withColumn("name", name), "pos", entry, "{\n", ",\n", "\n}", vocab_path)
+    sides = F.concat_ws(" ", to_printable(F.col("left"), alphabet), to_printable(F.col("right"), alphabet))
+    _write_lines(tok.merges, "rank", sides, "", "\n", "", merges_path)
+    return vocab_path, merges_path
+
+
 def read_printable_merges(spark: SparkSession, path: str) -> DataFrame:
-    """``(rank, left, right)`` from lines of two tokens in the printable alphabet."""
+    """``(rank, left, right)`` from lines of two tokens in the printable alphabet.
+
+    Empty lines and a first line that begins with ``#version`` are skipped; other lines are errors.
+    """
     alphabet = byte_alphabet(spark)
     whole = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\r\n?|\n"), lambda line: F.size(F.split(line, " ")) == 2)
-    sides = F.split("line", " ")
-    return whole.select(F.posexplode(lines).alias("rank", "line")).select(
+    lines = F.filter(
+        F.split("value", r"\r\n?|\n"),
+        lambda line, i: (line != "") & ~((i == 0) & F.startswith(line, F.lit("#version"))),
+    )
+    rows = whole.select(F.posexplode(lines).alias("rank", "line")).withColumn("sides", F.split("line", " "))
+    good = (F.size("sides") == 2) & ~F.array_contains("sides", "")
+    rows = rows.withColumn("sides", _checked(F.col("sides"), good, "a merge is not two tokens"))
+    return rows.select(
         "rank",
-        from_printable(F.get(sides, F.lit(0)), alphabet).alias("left"),
-        from_printable(F.get(sides, F.lit(1)), alphabet).alias("right"),
+        from_printable(F.col("sides")[0], alphabet).alias("left"),
+        from_printable(F.col("sides")[1], alphabet).alias("right"),
     )
 
 

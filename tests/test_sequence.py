@@ -31,6 +31,22 @@ def test_offsets(spark):
     assert offsets.select("bucket").distinct().count() > 1
 
 
+def test_prefix_sums_over_many_ranges(spark):
+    """10**5 totals, in an order of two columns, are summed in several tasks."""
+    rows = spark.range(100_000).select(
+        F.concat(F.lit("file "), F.col("id") % 7).alias("file"), (F.col("id") * 37).alias("split"),
+        (F.col("id") % 11).alias("n"),
+    )
+    found = sequence.prefix_sums(rows.repartition(5), ["file", "split"], "n", "start")
+    assert found.columns == ["file", "split", "n", "start"]
+    total = 0
+    for row in found.orderBy("file", "split").collect():
+        assert row.start == total
+        total += row.n
+    assert "SinglePartition" not in found.select("split", "start").where("split > 0")._jdf.queryExecution().toString().split("Broadcast")[0]
+    assert sequence.prefix_sums(rows.limit(0), ["file", "split"], "n", "start").isEmpty()
+
+
 def test_missing_key_is_an_error(spark):
     rows = spark.createDataFrame([(1, 3), (None, 4)], "doc_id long, n int")
     with pytest.raises(ValueError):

@@ -233,3 +233,57 @@ def test_large_tokenizers_are_stored_as_tables(spark, tmp_path, monkeypatch):
     assert paths[0].endswith("_vocab.parquet") and paths[1].endswith("_merges.txt")
     again = tokenizer_files.load_tokenizer(spark, *paths, ["<|endoftext|>"])
     assert again.vocab.exceptAll(tok.vocab).isEmpty() and again.merges.exceptAll(tok.merges).isEmpty()
+
+
+@pytest.mark.parametrize("content", ['{"Ġa": 0, "文": 1}', '{"a b": 0}'])
+def test_characters_that_stand_for_no_byte_are_refused(spark, tmp_path, content):
+    (tmp_path / "vocab.json").write_text(content)
+    with pytest.raises(PySparkException):
+        tokenizer_files.read_printable_vocab(spark, str(tmp_path / "vocab.json")).collect()
+
+
+@pytest.mark.parametrize("line", ["a", "a b c", "a  b", "a 文", "a "])
+def test_corrupt_printable_merges_are_refused(spark, tmp_path, line):
+    (tmp_path / "merges.txt").write_text(f"#version: 0.2\na b\n\n{line}\n")
+    with pytest.raises(PySparkException):
+        tokenizer_files.read_printable_merges(spark, str(tmp_path / "merges.txt")).collect()
+
+
+def test_printable_files_hold_every_byte(spark, tmp_path):
+    pairs = [(bytes([i]), bytes([255 - i])) for i in range(256)]
+    tok = tokenizer.tokenizer_from_merges(spark, pairs, ['<|"end"\\|>'])
+    vocab, merges = tokenizer_files.write_printable(tok, str(tmp_path / "tok"))
+    again = tokenizer_files.read_printable_vocab(spark, vocab).select("id", "bytes")
+    expected = tok.vocab.groupBy("bytes").agg(F.max("id").alias("id")).select("id", "bytes")
+    assert again.exceptAll(expected).isEmpty() and expected.exceptAll(again).isEmpty()
+    found = tokenizer_files.read_printable_merges(spark, merges).orderBy("rank").collect()
+    assert [(bytes(r.left), bytes(r.right)) for r in found] == pairs
+
+
+@pytest.mark.parametrize("cut", [texts.PIECES, texts.EMPTY_LINES])
+def test_only_the_ends_of_splits_are_moved(spark, tmp_path, cut):
+    content = "".join(f"line {i}\n\n{'x ' * (i % 30)}\n" for i in range(4000))
+    (tmp_path / "a.txt").write_text(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        found = texts.fragments(spark, str(tmp_path), cut)
+        ends = found.groupBy("split").agg(F.count_if(F.col("kind") != texts.INNER).alias("ends")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(ends) > 10 and max(r.ends for r in ends) <= 2
+    assert found.where(F.col("kind") == texts.INNER).count() > 2000
+
+
+def test_a_document_over_many_splits(spark, tmp_path):
+    """Splits without any place to cut, line ends cut in two, and marks at the very end."""
+    words = "\r\n".join(" ".join(f"w{i * j}" for j in range(9)) + " " for i in range(2000))
+    (tmp_path / "a.txt").write_bytes((words + "\r\n\r\n\r\n" + words + "\r").encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = in_order(texts.read_documents(spark, str(tmp_path)), "file", "split", "row")
+        pieces = in_order(texts.read_pieces(spark, str(tmp_path)), "file", "split", "row")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = words.replace("\r\n", "\n")
+    assert found == [plain.strip()] * 2
+    assert "".join(pieces) == plain + "\n\n\n" + plain + "\n"
