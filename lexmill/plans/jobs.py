@@ -22,6 +22,7 @@ from lexmill.operators.sequence import (
 )
 from lexmill.operators.statistics import bytes_per_token
 from lexmill.operators.tokenizer import Tokenizer
+from lexmill.sources.npy import write_npy
 from lexmill.sources.texts import Paths, read_documents, read_lines, read_pieces, read_texts
 from lexmill.sources.token_store import (
     SHARD_BLOCKS,
@@ -68,9 +69,12 @@ def tokenize_dataset(
     unit: str = "line",
     uint16: bool = True,
     block_tokens: int = BLOCK_TOKENS,
+    npy_path: str | None = None,
 ) -> str:
     """Encode text files into one stored token sequence and return its folder.
 
+    ``npy_path`` gets the sequence as one numpy file besides.
+
     ``unit="line"`` encodes line by line, so white space never joins across a line end;
     ``unit="document"`` gives the ids of the undivided text.
     """
@@ -90,6 +94,8 @@ def tokenize_dataset(
     tokens = spark.read.parquet(f"{folder}/tokens")
     offsets = running_offsets(tokens, bucket, inside, "n")
     write_blocks(token_blocks(offsets, block_tokens, bucket), f"{folder}/blocks")
+    if npy_path:
+        write_npy(read_blocks(spark, f"{folder}/blocks"), npy_path, block_tokens, uint16)
     return folder
 
 

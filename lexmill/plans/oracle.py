@@ -332,6 +332,9 @@ FROM documents JOIN encoded USING (doc_id) GROUP BY lang, source""",
 {encoded('documents', 'doc_id')}
 SELECT doc_id, n, start FROM ({OFFSETS})""",
     "token_blocks": f"""{TOKENS}
+SELECT (place // {Q.BLOCK_TOKENS})::BIGINT AS block, count(*) AS n,
+    string_agg(id, ' ' ORDER BY place) AS ids FROM tokens GROUP BY ALL""",
+    "npy_blocks": f"""{TOKENS}
 SELECT (place // {Q.BLOCK_TOKENS})::BIGINT AS block, count(*) AS n,
     string_agg(id, ' ' ORDER BY place) AS ids FROM tokens GROUP BY ALL""",
     "train_windows": f"""{TOKENS},

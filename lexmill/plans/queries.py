@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,7 +21,7 @@ from lexmill.operators import (
 )
 from lexmill.plans import jobs
 from lexmill.session import new_folder, stored
-from lexmill.sources import texts, token_store, tokenizer_files
+from lexmill.sources import npy, texts, token_store, tokenizer_files
 from lexmill.streaming import encoding as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,6 +399,16 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(*long("block", "n"), ids_text("ids").alias("ids"))
 
 
+def npy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sequence written as one numpy file and read back in blocks."""
+    stored_blocks = token_store.read_blocks(spark, f"{dataset_folder(spark, sf_dir)}/blocks")
+    folder = npy.local_path(new_folder(spark, "npy"))
+    os.makedirs(folder)
+    npy.write_npy(stored_blocks, f"{folder}/ids.npy", BLOCK_TOKENS)
+    blocks = npy.read_npy(spark, f"{folder}/ids.npy", BLOCK_TOKENS)
+    return blocks.select(*long("block", "n"), ids_text("ids").alias("ids"))
+
+
 def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = dataset_folder(spark, sf_dir)
     windows = jobs.training_windows(spark, folder, SAMPLES, CONTEXT, SEED, BLOCK_TOKENS)
@@ -492,6 +503,7 @@ QUERIES: dict[str, Query] = {
         sample_documents,
         token_offsets,
         token_blocks,
+        npy_blocks,
         train_windows,
         softmax_rows,
         cross_entropy_rows,
