@@ -115,6 +115,80 @@ QUERIES: dict[str, Query] = {
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op12_turn_repair": r"""
+        WITH RECURSIVE n AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+            FROM conversations),
+        c AS (
+            SELECT *, xor(4294967295::BIGINT, list_reduce(
+                       list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(name) + 1),
+                           lambda i: [ord(substr(name, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1
+                                         THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END)) % 20 AS num
+            FROM n),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN num = 4 THEN 'user' ELSE role END AS role,
+                   CASE num WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE num WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM c),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+                   regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said
+            FROM d),
+        f AS (
+            SELECT conv_id, place, turn, role, text, left(role, 1) AS initial,
+                   coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1)
+                       NOT IN ('su', 'ua', 'au'), false) AS illegal,
+                   CASE WHEN said = '' THEN 'b' WHEN seen > 1 THEN 'd'
+                        WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+            FROM o),
+        -- State after the rows so far: 0 nothing, 1 system, 2 user, 3 assistant.
+        i(s, s2, price, kinds, lines) AS (
+            VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+                   (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'),
+                   (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'),
+                   (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+                   (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+        e(s, kind, initial, s2, price, role) AS (
+            VALUES (0, 'D', NULL, 0, 2, NULL), (1, 'D', NULL, 1, 2, NULL), (2, 'D', NULL, 2, 2, NULL),
+                   (3, 'D', NULL, 3, 2, NULL), (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL),
+                   (1, 'K', 'u', 2, 0, NULL), (3, 'K', 'u', 2, 0, NULL), (2, 'K', 'a', 3, 0, NULL),
+                   (0, 'R', NULL, 2, 1, 'user'), (1, 'R', NULL, 2, 1, 'user'), (3, 'R', NULL, 2, 1, 'user'),
+                   (2, 'R', NULL, 3, 1, 'assistant')),
+        b AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS place, 0 AS state, 0 AS cost, '' AS audit, '' AS lines
+            FROM conversations
+            UNION ALL
+            SELECT * FROM (
+                SELECT b.conv_id, f.place, e.s2 AS state,
+                       b.cost + i.price + e.price
+                           + CASE WHEN e.kind <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END AS cost,
+                       b.audit || i.kinds || e.kind AS audit,
+                       b.lines || i.lines || CASE WHEN e.kind = 'D' THEN ''
+                           ELSE chr(10) || coalesce(e.role, f.role) || ':' || f.text END AS lines
+                FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.place = b.place + 1
+                JOIN i ON i.s = b.state
+                JOIN e ON e.s = i.s2 AND (e.kind = 'D' OR f.fault NOT IN ('b', 'd'))
+                      AND (e.initial IS NULL OR e.initial = f.initial))
+            QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+        w AS (
+            SELECT conv_id, b.cost + i.price AS cost, b.audit || i.kinds AS audit, b.lines || i.lines AS lines
+            FROM b JOIN i ON i.s = b.state AND i.s2 IN (0, 3)
+            WHERE b.place = (SELECT count(*) FROM f WHERE f.conv_id IS NOT DISTINCT FROM b.conv_id)
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY b.cost + i.price, b.audit || i.kinds) = 1),
+        g AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+            FROM f GROUP BY conv_id)
+        SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+               coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit,
+               sha256(substr(lines, 2)) AS repaired_sha256
+        FROM w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

@@ -22,7 +22,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_all_are_registered():
     names = sorted(QUERIES)
-    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(names) | {"pipeline"} <= set(spark_entry.queries())
     assert set(SQL) <= set(names) and set(SQL) <= set(spark_entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
