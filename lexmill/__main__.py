@@ -24,12 +24,17 @@ def parser() -> argparse.ArgumentParser:
     train.add_argument("--prefix", "-p", default="tokenizer")
     train.add_argument("--special_tokens", "-s", nargs="*", default=[END_OF_TEXT])
 
+    train.add_argument("--journal", help="folder of rounds; a training that was stopped goes on from it")
+
     tokenize = commands.add_parser("tokenize", help="encode text files into a token sequence")
     tokenize.add_argument("--input", required=True)
     tokenize.add_argument("--vocab", required=True)
     tokenize.add_argument("--merges", required=True)
     tokenize.add_argument("--output")
     tokenize.add_argument("--unit", choices=["line", "document"], default="line")
+    tokenize.add_argument("--special_tokens", "-s", nargs="*", default=[END_OF_TEXT])
+    tokenize.add_argument("--wide", action="store_true", help="allow ids above 65535")
+    tokenize.add_argument("--npy", help="numpy file to write besides")
 
     report = commands.add_parser("report", help="bytes per token of sampled documents")
     report.add_argument(
@@ -50,12 +55,14 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "train":
             tok = jobs.train_tokenizer(
-                spark, args.input_path, args.vocab_size, args.special_tokens, args.output_dir, args.prefix
+                spark, args.input_path, args.vocab_size, args.special_tokens, args.output_dir, args.prefix,
+                args.journal,
             )
             print(f"vocabulary: {tok.vocab.count()} tokens, {tok.merges.count()} merges")
         elif args.command == "tokenize":
             folder = jobs.tokenize_dataset(
-                spark, args.input, args.vocab, args.merges, args.output, unit=args.unit
+                spark, args.input, args.vocab, args.merges, args.output, args.special_tokens, args.unit,
+                uint16=not args.wide, npy_path=args.npy,
             )
             print(f"token ids: {folder}")
         else:

@@ -44,9 +44,14 @@ def train_tokenizer(
     specials: Sequence[str] = (END_OF_TEXT,),
     output_dir: str = "bpe_tokenizer",
     prefix: str = "tokenizer",
+    journal: str | None = None,
 ) -> Tokenizer:
-    """Train on text files and write the vocabulary and the merges."""
-    tok = train_bpe(word_counts(training_texts(spark, input_path, specials), specials), vocab_size, specials)
+    """Train on text files and write the vocabulary and the merges.
+
+    With a ``journal`` folder a training that was stopped goes on where it was.
+    """
+    counts = word_counts(training_texts(spark, input_path, specials), specials)
+    tok = train_bpe(counts, vocab_size, specials, folder=journal)
     save_tokenizer(tok, f"{output_dir.rstrip('/')}/{prefix}")
     return tok
 

@@ -334,6 +334,9 @@ SELECT doc_id, n, start FROM ({OFFSETS})""",
     "token_blocks": f"""{TOKENS}
 SELECT (place // {Q.BLOCK_TOKENS})::BIGINT AS block, count(*) AS n,
     string_agg(id, ' ' ORDER BY place) AS ids FROM tokens GROUP BY ALL""",
+    "tokenized_lines": f"""{ENCODED_LINES}
+SELECT id::BIGINT AS id, sum(cnt)::BIGINT AS cnt
+FROM (SELECT unnest(string_split(ids, ' ')) AS id, cnt FROM encoded JOIN line_counts USING (text)) GROUP BY id""",
     "npy_blocks": f"""{TOKENS}
 SELECT (place // {Q.BLOCK_TOKENS})::BIGINT AS block, count(*) AS n,
     string_agg(id, ' ' ORDER BY place) AS ids FROM tokens GROUP BY ALL""",

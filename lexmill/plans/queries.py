@@ -399,6 +399,17 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(*long("block", "n"), ids_text("ids").alias("ids"))
 
 
+def tokenized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset job over text files of the documents: how often each id is in the sequence."""
+    folder = new_folder(spark, "job")
+    documents(spark, sf_dir).select("text").write.text(f"{folder}/in")
+    prefix = f"{folder}/tokenizer"
+    files = tokenizer_files.save_tokenizer(trained(spark, sf_dir), prefix)
+    out = jobs.tokenize_dataset(spark, f"{folder}/in", *files, f"{folder}/out", block_tokens=BLOCK_TOKENS)
+    ids = token_store.read_blocks(spark, f"{out}/blocks").select(F.explode("ids").alias("id"))
+    return ids.groupBy(*long("id")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def npy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored sequence written as one numpy file and read back in blocks."""
     stored_blocks = token_store.read_blocks(spark, f"{dataset_folder(spark, sf_dir)}/blocks")
@@ -503,6 +514,7 @@ QUERIES: dict[str, Query] = {
         sample_documents,
         token_offsets,
         token_blocks,
+        tokenized_lines,
         npy_blocks,
         train_windows,
         softmax_rows,

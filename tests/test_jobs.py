@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import encode as brute_encode
 
@@ -135,6 +136,12 @@ def test_command_line(spark, dataset, tmp_path, capsys):
     out = str(tmp_path / "ids")
     assert main(["tokenize", "--input", corpus, "--vocab", vocab, "--merges", merges, "--output", out]) == 0
     assert len(sequence_of(spark, out)) == sum(len(encode(x)) for x in text.splitlines(True))
+    wide = ["-s", END_OF_TEXT, "<|pad|>", "--wide", "--npy", str(tmp_path / "ids.npy")]
+    assert main(["tokenize", "--input", corpus, "--vocab", vocab, "--merges", merges, "--output", out, *wide]) == 0
+    found = np.load(tmp_path / "ids.npy")
+    assert found.dtype == np.uint32 and found.tolist() == [i for x in text.splitlines(True) for i in encode(x)]
+    assert main(["train", corpus, "-o", str(tmp_path), "-v", "270", "--journal", str(tmp_path / "rounds")]) == 0
+    assert "270 tokens, 13 merges" in capsys.readouterr().out
     assert main(["report", "--corpus", "a", corpus, vocab, merges, "--n", "3"]) == 0
     assert "a bytes/token: " in capsys.readouterr().out
     assert main(["train", str(tmp_path / "missing.txt")]) == 1
