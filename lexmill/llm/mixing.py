@@ -8,13 +8,15 @@ numbers those nearest one are taken; the objective is
     (expected - target) W (expected - target) + RIDGE * sum_d tokens_d * (r_d - 1) ** 2
 
 in shares of all tokens, with a ridge so small that it only breaks ties.  W is the inverse of the domains'
-second moments.  At the minimum a rate is ``max(0, 1 - posterior @ slope)`` for one slope per domain, so
-the fit seeks a few numbers and not a rate per document: the slopes minimise a convex function, by Newton
-steps that are halved while they do not descend.  A step needs the few domain totals only: tasks compute
-rates of their rows in numpy and return partial totals, so no rates are stored or moved between steps and
-a lost executor costs its tasks.  A fit that does not settle is an error.  The rate is a function of the
-text and the slopes, so applying it needs no join.  A document is taken ``floor(rate)`` times, and once
-more where a hash of its key is below the rest.
+second moments.  The fit is projected gradient descent on the rates: a step moves every rate against its
+slope, ``posterior @ W (expected - target)`` and the ridge's, and puts it back at zero where it fell below;
+momentum speeds it up.  A step needs the few domain totals only: tasks replay the steps so far on their
+rows in numpy, take the next one, and return partial totals, so no rates are stored or moved between steps
+and a lost executor costs its tasks.  The steps end when the duality gap shows the rates to lie within
+``RATE_ERROR`` of the optimal ones, or after ``MOST_STEPS``, which is reported; targets that cannot be
+reached are so missed and not an error.  The rate is a function of the text and the steps, so applying it
+needs no join.  A document is taken ``floor(rate)`` times, and once more where a hash of its key is below
+the rest.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and no say in the totals; a
 null key counts as an empty one in the hash; null labels and unlabelled documents are not learned from;
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import logging
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,9 +56,10 @@ RIDGE = 1e-3
 # Share of tokens below which a domain loses weight.  Under the small ridge that leaves the targets of
 # other domains as they are; a domain nearly absent misses its own instead of taking all rates with it.
 LEAST_SHARE = 0.01
-MOST_PASSES = 200
-# Error of the totals against those at the minimum, in shares of the smallest target.
-TOLERANCE = 1e-4
+# Root mean square error of the rates at which the steps end, and the most of them.
+RATE_ERROR, MOST_STEPS = 0.004, 100
+# Rows whose steps a task replays at once.
+TOGETHER = 4096
 # Relative error of a total from which the fit is reported as a miss.
 MISS = 0.05
 
@@ -130,24 +133,27 @@ def fit_classifier(f: Features, labels: np.ndarray, domains: int) -> Classifier:
         return Classifier(words, style)
     usual = np.bincount(f.buckets, minlength=size) >= LEAST_ROWS
     kept = usual[f.buckets]
-    rows = np.repeat(np.arange(len(labels)), np.diff(f.ends))[kept]
-    buckets = f.buckets[kept]
-    names, place = np.unique(buckets, return_inverse=True)
-    ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(labels)))]
-    by_bucket = np.argsort(place, kind="stable")
-    bucket_ends = np.r_[0, np.cumsum(np.bincount(place, minlength=len(names)))]
+    rows = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(f.ends))[kept]
+    names, place = np.unique(f.buckets[kept], return_inverse=True)
+    place = place.astype(np.int32)
     wanted = np.eye(domains)[labels]
     params = [np.zeros((len(names), domains)), np.zeros((STYLE, domains))]
     # The prior: without words a text gets the shares of the labels.
     params[1][0] = np.log((wanted.sum(axis=0) + 0.5) / (len(labels) + 0.5 * domains))
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
+
+    def added(values: np.ndarray, at: np.ndarray, to: np.ndarray, count: int) -> np.ndarray:
+        """Row sums of ``values[at]`` by ``to``, a domain at a time, which bounds the copies."""
+        sums = [np.bincount(to, values[:, i][at], count) for i in range(domains)]
+        return np.stack(sums, axis=1) if len(at) else np.zeros((count, domains))
+
     for step in range(1, FIT_STEPS + 1):
-        score = _row_sums(params[0][place], ends) + f.style @ params[1]
+        score = added(params[0], place, rows, len(labels)) + f.style @ params[1]
         score = np.exp(score - score.max(axis=1, keepdims=True))
         error = (score / score.sum(axis=1, keepdims=True) - wanted) / len(labels)
         slopes = [
-            _row_sums(error[rows[by_bucket]], bucket_ends) + FIT_DECAY * params[0],
+            added(error, rows, place, len(names)) + FIT_DECAY * params[0],
             f.style.T @ error + FIT_DECAY * params[1],
         ]
         for p, slope, m, v in zip(params, slopes, first, second):
@@ -179,101 +185,149 @@ def labelled_classifier(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             f = features(batch["text"])
-            cut = [f.buckets[a:b].tolist() for a, b in zip(f.ends[:-1], f.ends[1:])]
+            cut = [f.buckets[a:b].astype("<i4").tobytes() for a, b in zip(f.ends[:-1], f.ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch["_domain"], pa.array(cut, pa.list_(pa.int32())),
-                 pa.array(f.style.tolist(), pa.list_(pa.float64()))],
+                [batch["_domain"], pa.array(cut, pa.binary()),
+                 pa.array([x.astype("<f8").tobytes() for x in f.style], pa.binary())],
                 ["domain", "buckets", "style"],
             )
 
-    rows = picked.mapInArrow(run, "domain int, buckets array<int>, style array<double>")
+    rows = picked.mapInArrow(run, "domain int, buckets binary, style binary")
     # Repeated keys can make more rows than keys; which of them stay is no matter of domains.
     rows = rows.orderBy(F.xxhash64("buckets", "style"), "domain").limit(most).collect()
     if not rows:
         empty = Features(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, STYLE)), None)
         return fit_classifier(empty, np.zeros(0, np.int64), len(kinds))
-    ends = np.r_[0, np.cumsum([len(r["buckets"]) for r in rows])]
-    buckets = np.concatenate([np.array(r["buckets"], np.int64) for r in rows])
-    style = np.array([r["style"] for r in rows])
+    ends = np.r_[0, np.cumsum([len(r["buckets"]) // 4 for r in rows])]
+    buckets = np.frombuffer(b"".join(r["buckets"] for r in rows), "<i4")
+    style = np.frombuffer(b"".join(r["style"] for r in rows), "<f8").reshape(len(rows), STYLE)
     return fit_classifier(
         Features(ends, buckets, style, None), np.array([r["domain"] for r in rows]), len(kinds)
     )
 
 
 @dataclass(frozen=True)
-class Slopes:
-    """What a domain's share of a document takes from its rate."""
+class Steps:
+    """Projected gradient steps: what each took from a rate per posterior, and its momentum."""
+
+    slopes: np.ndarray
+    momentum: np.ndarray
+
+    def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates after the last step and before it, and the point the last step was taken from."""
+        now = before = ahead = np.ones(len(posterior))
+        pulls = posterior @ self.slopes.T
+        for pull, part in zip(pulls.T, self.momentum):
+            ahead = now + part * (now - before)
+            moved = ahead - (pull + RIDGE * (ahead - 1)) / (1 + RIDGE)
+            before, now = now, np.maximum(moved, 0)
+        return now, before, ahead
+
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        return self.replay(posterior)[0]
 
-    values: np.ndarray
+    def then(self, slope: np.ndarray, part: float) -> Steps:
+        return Steps(np.vstack([self.slopes, slope]), np.append(self.momentum, part))
 
-    def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates, and which of them are not held at zero."""
-        rate = 1 - posterior @ self.values
-        return np.maximum(rate, 0), rate > 0
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums over all rows, in shares of all tokens, after some steps."""
+
+    reached: np.ndarray  # by domain
+    moments: np.ndarray  # second moments of the posteriors
+    far: float  # squared distance of the rates from one
+    turn: float  # positive where the last step went against the momentum
+    dual: float  # the rows' part of the dual at the last slope
+
+
+def row_totals(steps: Steps, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """What one task's rows add to ``Totals``, flat, and their tokens."""
+    now, before, ahead = steps.replay(posterior)
+    weighted = posterior * tokens[:, None]
+    pull = posterior @ steps.slopes[-1] if len(steps.slopes) else np.zeros(len(tokens))
+    best = np.maximum(1 - pull / RIDGE, 0)
+    return np.r_[
+        now @ weighted,
+        (weighted.T @ posterior).ravel(),
+        tokens @ (now - 1) ** 2,
+        tokens @ ((ahead - now) * (now - before)),
+        tokens @ (pull * best + RIDGE / 2 * (best - 1) ** 2),
+        tokens.sum(),
+    ]
 
 
 def metric(moments: np.ndarray) -> np.ndarray:
-    """Inverse of the second moments of the posteriors; a domain nearly absent has little weight."""
+    """Inverse of the second moments of the posteriors; a domain nearly absent has little weight.
+
+    In this metric the domain totals have curvature one, so a step of length one settles them as far as
+    no rate is held at zero.
+    """
     return np.linalg.inv(moments + LEAST_SHARE * np.eye(len(moments)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Slopes, dict]:
-    """Slopes for rows ``(tokens, posterior)`` and a report of totals reached."""
-    count = len(targets)
-    names = [f"x{i}" for i in range(count + count * count + 2)]
+def projected(totals: Callable[[Steps], Totals], target: np.ndarray) -> tuple[Steps, dict]:
+    """Accelerated projected gradient steps until the duality gap bounds the error of the rates.
+
+    The gap is at least ``RIDGE / 2`` times the mean squared distance from the optimal rates.  Momentum
+    starts anew where a step turns against it.
+    """
+    count = len(target)
+    steps = Steps(np.zeros((0, count)), np.zeros(0))
+    found = totals(steps)
+    weight = metric(found.moments)
+    last, before, heat = found.reached, found.reached, 1.0
+    start, gap = found.reached, np.inf
+    while True:
+        # The rates' totals are linear, so are those of the point that momentum leads to.
+        part = 0.0
+        if len(steps.momentum) and found.turn <= 0:
+            following = (1 + np.sqrt(1 + 4 * heat * heat)) / 2
+            part, heat = (heat - 1) / following, following
+        else:
+            heat = 1.0
+        slope = weight @ (last + part * (last - before) - target)
+        ahead = steps.then(slope, part)
+        found = totals(ahead)
+        before, last, steps = last, found.reached, ahead
+        off = last - target
+        height = off @ weight @ off / 2 + RIDGE / 2 * found.far
+        floor = found.dual - slope @ np.linalg.solve(weight, slope) / 2 - target @ slope
+        gap = min(gap, height - floor)
+        settled = gap <= RIDGE / 2 * RATE_ERROR**2
+        if settled or len(steps.slopes) == MOST_STEPS:
+            break
+    return steps, {
+        "before": start, "target": target, "reached": last, "gap": gap, "settled": settled,
+        "steps": len(steps.slopes),
+    }
+
 
-    def totals(slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Totals by domain, second moments where rates are free, squared rates, tokens."""
+def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
+    """Steps for rows ``(tokens, posterior)`` and a report of totals reached."""
+    count = len(targets)
+    names = [f"x{i}" for i in range(count + count * count + 4)]
+    target = np.array(targets) / sum(targets)
 
+    def totals(steps: Steps) -> Totals:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(names))
             for batch in batches:
-                posterior = batch["posterior"].flatten().to_numpy().reshape(-1, count)
-                tokens = batch["tokens"].to_numpy().astype(float)
-                rate, free = Slopes(slopes).replay(posterior)
-                weighted = posterior * tokens[:, None]
-                sums[:count] += (weighted * rate[:, None]).sum(axis=0)
-                sums[count:-2] += (weighted[free].T @ posterior[free]).ravel()
-                sums[-2] += (tokens * rate * rate).sum()
-                sums[-1] += tokens.sum()
+                for at in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(at, TOGETHER)
+                    posterior = part["posterior"].flatten().to_numpy().reshape(-1, count)
+                    sums += row_totals(steps, part["tokens"].to_numpy().astype(float), posterior)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names)
 
         parts = rows.mapInArrow(run, ", ".join(f"{name} double" for name in names))
         sums = np.array([x or 0.0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()])
-        whole = max(sums[-1], 1.0)
-        return sums[:count] / whole, sums[count:-2].reshape(count, count) / whole, sums[-2] / whole, sums[-1]
+        sums /= max(sums[-1], 1.0)
+        return Totals(sums[:count], sums[count:-4].reshape(count, count), *sums[-4:-1])
 
-    slopes = np.zeros(count)
-    target = np.array(targets) / sum(targets)
-    before, moments, squares, tokens = totals(slopes)
-    found = before
-    if not tokens:
-        return Slopes(slopes), {"before": before, "target": target, "reached": found}
-    pull = RIDGE * np.linalg.inv(metric(moments))
-
-    def height(slopes: np.ndarray, squares: float) -> float:
-        return (slopes @ pull @ slopes + squares) / 2 + target @ slopes
-
-    here, passes = height(slopes, squares), 1
-    while True:
-        # Zero at the minimum: what the totals differ from where the ridge wants them.
-        off = pull @ slopes + target - found
-        if np.abs(off).max() < TOLERANCE * target.min():
-            break
-        step = np.linalg.solve(pull + moments, off)
-        part = 1.0
-        while True:
-            if passes == MOST_PASSES:
-                raise RuntimeError(f"the mix has not settled: {found} for {target}")
-            passes += 1
-            ahead = slopes - part * step
-            then, bend, squares, _ = totals(ahead)
-            there = height(ahead, squares)
-            if there <= here - 1e-4 * part * (off @ step) + 1e-12 * abs(here):
-                break
-            part /= 2
-        slopes, found, moments, here = ahead, then, bend, there
-    return Slopes(slopes), {"before": before, "target": target, "reached": found}
+    if not rows.agg(F.sum("tokens")).first()[0]:
+        none, zeros = Steps(np.zeros((0, count)), np.zeros(0)), np.zeros(count)
+        return none, {"before": zeros, "target": target, "reached": zeros, "gap": 0.0, "settled": True, "steps": 0}
+    return projected(totals, target)
 
 
 @dataclass(frozen=True)
@@ -281,11 +335,11 @@ class Mix:
     """A fitted mix: a rate for any text."""
 
     classifier: Classifier
-    slopes: Slopes
+    steps: Steps
 
     def rates(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         posterior = self.classifier.posteriors(f)
-        return posterior, self.slopes.replay(posterior)[0]
+        return posterior, self.steps.rates(posterior)
 
 
 def copies(rates: np.ndarray, keys: list) -> np.ndarray:
@@ -319,12 +373,16 @@ def fit(
     )
     # What the steps read: a few numbers per document.
     rows = stored(rows, new_folder(spark, "posteriors"))
-    slopes, report = fit_rates(rows, [targets[name] for name in DOMAINS])
+    steps, report = fit_rates(rows, [targets[name] for name in DOMAINS])
+    LOG.log(
+        logging.INFO if report["settled"] else logging.WARNING,
+        "mix: %d steps, duality gap %.3g", report["steps"], report["gap"],
+    )
     for name, *values in zip(DOMAINS, report["before"], report["target"], report["reached"]):
         line = "%s tokens: %.5f before, %.5f wanted, %.5f reached"
         far = abs(values[2] - values[1]) > MISS * values[1]
         LOG.log(logging.WARNING if far else logging.INFO, line, name, *values)
-    return Mix(classifier, slopes), report
+    return Mix(classifier, steps), report
 
 
 def mixed_rows(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:

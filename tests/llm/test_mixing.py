@@ -53,7 +53,7 @@ def test_rates_equal_those_of_a_dense_solver(spark):
     ).repartition(4)
     target = [0.7, 0.2, 0.06, 0.04]
     steps, report = mixing.fit_rates(rows, target)
-    rate, _ = steps.replay(posterior)
+    rate = steps.rates(posterior)
     best = dense_rates(tokens.astype(float), posterior, np.array(target))
     assert (rate >= 0).all() and (best == 0).any()
     assert np.abs(rate - best).max() < 0.02
@@ -62,10 +62,40 @@ def test_rates_equal_those_of_a_dense_solver(spark):
     assert np.abs(totals - target).max() < np.abs(report["before"] - target).max() / 3
 
 
+def solved(tokens, posterior, target):
+    """The fit on rows in memory."""
+    count = len(target)
+
+    def totals(steps):
+        sums = mixing.row_totals(steps, tokens, posterior) / tokens.sum()
+        return mixing.Totals(sums[:count], sums[count:-4].reshape(count, count), *sums[-4:-1])
+
+    return mixing.projected(totals, np.array(target))
+
+
+@pytest.mark.parametrize("target", [[0.7, 0.2, 0.06, 0.04], [0.01, 0.01, 0.97, 0.01], [0.25, 0.25, 0.25, 0.25]])
+def test_the_gap_bounds_the_error(target):
+    rng = np.random.default_rng(9)
+    posterior = rng.dirichlet([0.2] * 4, 300)
+    tokens = rng.integers(1, 500, 300).astype(float)
+    steps, report = solved(tokens, posterior, target)
+    best = dense_rates(tokens, posterior, np.array(target), 60_000)
+    error = tokens @ (steps.rates(posterior) - best) ** 2 / tokens.sum()
+    assert report["settled"] or report["steps"] == mixing.MOST_STEPS
+    assert error <= 2 * report["gap"] / mixing.RIDGE + 1e-7
+
+
+def test_targets_out_of_reach_are_reported():
+    """A domain that no row has: no error, and the rest of the mix is met."""
+    posterior = np.array([[0.9, 0.1, 0.0]] * 5 + [[0.2, 0.8, 0.0]] * 5)
+    _, report = solved(np.full(10, 7.0), posterior, [0.5, 0.3, 0.2])
+    assert report["reached"][2] == 0 and np.abs(report["reached"][:2] - [0.5, 0.3]).max() < 0.01
+
+
 def test_targets_are_met_on_real_posteriors(more, labels, caplog):
     with caplog.at_level("INFO", logger=mixing.__name__):
         mix, report = mixing.fit(more, labels)
-    assert [r.levelname for r in caplog.records] == ["INFO"] * 4
+    assert [r.levelname for r in caplog.records] == ["INFO"] * 5 and report["settled"]
     assert np.abs(report["before"] / report["target"] - 1).max() > 0.5
     assert np.abs(report["reached"] / report["target"] - 1).max() < 0.03
 
@@ -73,9 +103,9 @@ def test_targets_are_met_on_real_posteriors(more, labels, caplog):
 def test_an_absent_domain_does_not_stop_the_fit(spark):
     table = [(100, [0.9, 0.1, 0.0]), (50, [0.2, 0.8, 0.0]), (10, [0.0, 1.0, 0.0])]
     rows = spark.createDataFrame(table, "tokens long, posterior array<double>")
-    slopes, report = mixing.fit_rates(rows, [0.7, 0.2, 0.1])
+    steps, report = mixing.fit_rates(rows, [0.7, 0.2, 0.1])
     assert np.abs(report["reached"][:2] - report["target"][:2]).max() < 0.01
-    assert report["reached"][2] == 0 and (slopes.replay(np.eye(3))[0] >= 0).all()
+    assert report["reached"][2] == 0 and (steps.rates(np.eye(3)) >= 0).all()
 
 
 def test_expected_copies_are_the_rates():
