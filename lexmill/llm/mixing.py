@@ -10,9 +10,9 @@ numbers those nearest one are taken; the objective is
 in shares of all tokens, with a ridge so small that it only breaks ties.  W is the inverse of the domains'
 second moments.  The fit is projected gradient descent on the rates: a step moves every rate against its
 slope, ``posterior @ W (expected - target)`` and the ridge's, and puts it back at zero where it fell below;
-momentum speeds it up.  A step needs the few domain totals only: tasks replay the steps so far on their
-rows in numpy, take the next one, and return partial totals, so no rates are stored or moved between steps
-and a lost executor costs its tasks.  The steps end when the duality gap shows the rates to lie within
+momentum speeds it up.  A step needs the few domain totals only: tasks replay the latest steps on their
+rows in numpy and return partial totals; every ``REPLAYED`` steps the rates are stored beside the
+posteriors, so nothing is moved and a lost executor costs its tasks.  The steps end when the duality gap shows the rates to lie within
 ``RATE_ERROR`` of the optimal ones, or after ``MOST_STEPS``, which is reported; targets that cannot be
 reached are so missed and not an error.  The rate is a function of the text and the steps, so applying it
 needs no join.  A document is taken ``floor(rate)`` times, and once more where a hash of its key is below
@@ -58,8 +58,8 @@ RIDGE = 1e-3
 LEAST_SHARE = 0.01
 # Root mean square error of the rates at which the steps end, and the most of them.
 RATE_ERROR, MOST_STEPS = 0.004, 100
-# Rows whose steps a task replays at once.
-TOGETHER = 4096
+# Rows whose steps a task replays at once, and steps that are replayed before the rates are stored.
+TOGETHER, REPLAYED = 4096, 12
 # Relative error of a total from which the fit is reported as a miss.
 MISS = 0.05
 
@@ -213,9 +213,16 @@ class Steps:
     slopes: np.ndarray
     momentum: np.ndarray
 
-    def replay(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rates after the last step and before it, and the point the last step was taken from."""
-        now = before = ahead = np.ones(len(posterior))
+    def replay(
+        self, posterior: np.ndarray, now: np.ndarray | None = None, before: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates after the last step and before it, and the point the last step was taken from.
+
+        Starts from rates of one, or from rates that earlier steps left.
+        """
+        if now is None or before is None:
+            now = before = np.ones(len(posterior))
+        ahead = now
         pulls = posterior @ self.slopes.T
         for pull, part in zip(pulls.T, self.momentum):
             ahead = now + part * (now - before)
@@ -226,6 +233,12 @@ class Steps:
     def rates(self, posterior: np.ndarray) -> np.ndarray:
         return self.replay(posterior)[0]
 
+    def since(self, first: int) -> Steps:
+        return Steps(self.slopes[first:], self.momentum[first:])
+
+    def but_last(self) -> Steps:
+        return Steps(self.slopes[:-1], self.momentum[:-1])
+
     def then(self, slope: np.ndarray, part: float) -> Steps:
         return Steps(np.vstack([self.slopes, slope]), np.append(self.momentum, part))
 
@@ -241,9 +254,11 @@ class Totals:
     dual: float  # the rows' part of the dual at the last slope
 
 
-def row_totals(steps: Steps, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-    """What one task's rows add to ``Totals``, flat, and their tokens."""
-    now, before, ahead = steps.replay(posterior)
+def row_totals(
+    steps: Steps, tokens: np.ndarray, posterior: np.ndarray, *left: np.ndarray
+) -> np.ndarray:
+    """What rows add to ``Totals``, flat, and their tokens; ``left`` are rates that earlier steps left."""
+    now, before, ahead = steps.replay(posterior, *left)
     weighted = posterior * tokens[:, None]
     pull = posterior @ steps.slopes[-1] if len(steps.slopes) else np.zeros(len(tokens))
     best = np.maximum(1 - pull / RIDGE, 0)
@@ -309,17 +324,41 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
     names = [f"x{i}" for i in range(count + count * count + 4)]
     target = np.array(targets) / sum(targets)
 
+    ones = F.lit(1.0)
+    table, done = rows.withColumns({"now": ones, "before": ones}), 0
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                posterior = part["posterior"].flatten().to_numpy().reshape(-1, count)
+                yield part, posterior, [part[name].to_numpy() for name in ("now", "before")]
+
+    def moved(steps: Steps) -> DataFrame:
+        """The table after more steps, stored, so that later passes replay the steps since."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, posterior, left in read(batches):
+                now, before, _ = steps.replay(posterior, *left)
+                columns = [part["tokens"], part["posterior"], pa.array(now), pa.array(before)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+        return stored(table.mapInArrow(run, table.schema), new_folder(rows.sparkSession, "rates"))
+
     def totals(steps: Steps) -> Totals:
+        nonlocal table, done
+        if len(steps.slopes) - done > REPLAYED:
+            # All steps but the last, whose gradient the totals below are asked for.
+            table, done = moved(steps.since(done).but_last()), len(steps.slopes) - 1
+        fresh = steps.since(done)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(names))
-            for batch in batches:
-                for at in range(0, batch.num_rows, TOGETHER):
-                    part = batch.slice(at, TOGETHER)
-                    posterior = part["posterior"].flatten().to_numpy().reshape(-1, count)
-                    sums += row_totals(steps, part["tokens"].to_numpy().astype(float), posterior)
+            for part, posterior, left in read(batches):
+                sums += row_totals(fresh, part["tokens"].to_numpy().astype(float), posterior, *left)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names)
 
-        parts = rows.mapInArrow(run, ", ".join(f"{name} double" for name in names))
+        parts = table.mapInArrow(run, ", ".join(f"{name} double" for name in names))
         sums = np.array([x or 0.0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()])
         sums /= max(sums[-1], 1.0)
         return Totals(sums[:count], sums[count:-4].reshape(count, count), *sums[-4:-1])

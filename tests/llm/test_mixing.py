@@ -85,6 +85,19 @@ def test_the_gap_bounds_the_error(target):
     assert error <= 2 * report["gap"] / mixing.RIDGE + 1e-7
 
 
+def test_stored_rates_give_the_same_steps(spark, monkeypatch):
+    """Steps over a table whose rates are stored often equal those on rows in memory."""
+    monkeypatch.setattr(mixing, "REPLAYED", 2)
+    monkeypatch.setattr(mixing, "MOST_STEPS", 9)
+    rng = np.random.default_rng(4)
+    posterior, tokens = rng.dirichlet([0.3] * 3, 50), rng.integers(1, 90, 50)
+    table = [(int(n), p.tolist()) for n, p in zip(tokens, posterior)]
+    rows = spark.createDataFrame(table, "tokens long, posterior array<double>").repartition(3)
+    steps, _ = mixing.fit_rates(rows, [0.8, 0.1, 0.1])
+    plain, _ = solved(tokens.astype(float), posterior, [0.8, 0.1, 0.1])
+    assert len(steps.slopes) > 4 and np.allclose(steps.slopes, plain.slopes) and np.allclose(steps.momentum, plain.momentum)
+
+
 def test_targets_out_of_reach_are_reported():
     """A domain that no row has: no error, and the rest of the mix is met."""
     posterior = np.array([[0.9, 0.1, 0.0]] * 5 + [[0.2, 0.8, 0.0]] * 5)
