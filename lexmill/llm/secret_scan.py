@@ -1,13 +1,15 @@
-"""Secrets, told from widely copied examples by how many owners hold them.
+"""Secrets, told from widely copied examples by how many owners and repositories hold them.
 
 Each text is scanned once.  Besides the plain rules (assignments, access keys, long hex runs) the scan
 collects candidates: long runs of letters and digits of high entropy, whatever stands before them.
 Candidate digests are then counted over the whole corpus by distinct owners and by distinct
-repositories.  A digest that ``EXAMPLE_OWNERS`` or more owners hold is a copied example; one that a
-single owner holds, however often, is a credential that looks live, and its occurrences are added to
-the findings where no plain rule has found them.
+repositories.  A digest that ``EXAMPLE_OWNERS`` or more owners hold, or that lies in
+``EXAMPLE_REPOSITORIES`` or more repositories, be they of one owner, is a copied example; one of
+``LIVE_OWNERS`` owners and ``LIVE_REPOSITORIES`` repositories at most is a credential that looks live, and
+its occurrences are added to the findings where no plain rule has found them.  What lies between is shared.
 
-Defined results: a null or empty text has no findings; a null owner counts as one owner of its own;
+Defined results: a null or empty text has no findings, a very long one is scanned whole; a null owner
+counts as one owner of its own, and rows with null keys as one repository of their owner;
 rows with equal keys are scanned and reported by themselves; further columns are ignored; an empty
 table gives no rows.  Offsets are code points, ends exclusive.
 """
@@ -39,8 +41,10 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9_+]{20,}")
 LEAST_DIGITS, LEAST_LETTERS, LEAST_ENTROPY = 3, 3, 3.0
 
-# Owners from which a value is a copied example; up to LIVE_OWNERS it looks live.
-LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
+# Owners, or repositories, from which a value is a widely copied example; up to the LIVE ones of both it
+# belongs to its owner and looks live, also where another owner holds a copy.
+LIVE_OWNERS, EXAMPLE_OWNERS = 2, 3
+LIVE_REPOSITORIES, EXAMPLE_REPOSITORIES = 5, 20
 
 BASE_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
 CANDIDATE_TYPE = pa.list_(
@@ -142,11 +146,9 @@ def scan(
         ),
         new_folder(spark, "secret-owners"),
     )
-    label = (
-        F.when(F.col("owners") <= LIVE_OWNERS, "live")
-        .when(F.col("owners") >= EXAMPLE_OWNERS, "example")
-        .otherwise("shared")
-    )
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    own = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
+    label = F.when(copied, "example").when(own, "live").otherwise("shared")
     labelled = seen.drop("_key", "_owner").join(counts, "digest").withColumn("label", label)
     occurrences = stored(labelled, new_folder(spark, "secret-values"))
     return found.select("_row", F.col("_key").alias(key), "base"), occurrences

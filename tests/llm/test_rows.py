@@ -143,6 +143,23 @@ def test_owners_tell_live_values_from_examples(spark):
     assert {r["label"] for r in values.collect()} == {"live", "example"}
 
 
+def test_repositories_and_owners_decide_together(spark):
+    """owners, repositories of each -> label, one value a case."""
+    cases = {
+        (1, 1): "live", (1, 5): "live", (2, 1): "live", (2, 2): "live", (2, 3): "shared", (1, 6): "shared",
+        (1, 19): "shared", (1, 20): "example", (1, 500): "example", (2, 10): "example", (3, 1): "example",
+    }
+    table, expected = [], {}
+    for i, ((owners, repositories), label) in enumerate(cases.items()):
+        value = f"Zx9Qw7Lm3Kp1Vt5Rb2Y{chr(97 + i)}"
+        for owner in range(owners):
+            for _ in range(repositories):
+                table.append((len(table), f"see {value} here", f"s{owner}"))
+                expected[len(table) - 1] = "live:4:24" if label == "live" else ""
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.report(docs).collect()} == expected
+
+
 def test_personal_data(docs):
     texts = dict(pairs(docs))
     for r in personal_data.report(docs).collect():
