@@ -37,7 +37,7 @@ from lexmill.session import new_folder, stored
 ORDER = 4
 # One in FOLDS trusted texts, by a hash of its key, sets limits and is not learned from.
 FOLDS = 5
-QUANTILE, MARGIN, SPREAD = 0.99, 1.2, 1.5
+QUANTILE, SPREAD = 0.99, 1.5
 # Accuracy of the quantile: ranks are off by one in so many at most.
 ACCURACY = 10_000
 CHUNK_BYTES = 8 << 20
@@ -256,14 +256,14 @@ def perplexities(
 
 def classified(
     docs: DataFrame, trusted: str, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    quantile: float = QUANTILE, margin: float = MARGIN,
+    quantile: float = QUANTILE,
 ) -> DataFrame:
     """``(key, lang, n_chars, perplexity, limit, kept)`` of every row."""
     found = perplexities(docs, trusted, key, text, lang)
     room = F.pow(F.lit(10.0), SPREAD / F.sqrt("n_chars"))
     found = found.withColumn("_room", room)
     level = F.col("perplexity") / F.col("_room")
-    limit = (F.percentile_approx(level, quantile, ACCURACY) * margin).alias("limit")
+    limit = F.percentile_approx(level, quantile, ACCURACY).alias("limit")
     apart = found.where("apart")
     limits = apart.groupBy("lang").agg(limit)  # one row per language
     limits = stored(limits, new_folder(docs.sparkSession, "limits"))

@@ -97,9 +97,10 @@ def test_clean_texts_stay_and_junk_goes(spark, sf_dir):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     found = quality_lm.report(docs, labels).join(labels, "doc_id").collect()
-    good = [r["kept"] for r in found if r["quality"] == 1]
-    poor = [r["kept"] for r in found if r["quality"] == 0]
-    assert sum(good) / len(good) > 0.98 and sum(poor) / len(poor) < 0.6
+    share = lambda rows: sum(r["kept"] for r in rows) / len(rows)
+    assert share([r for r in found if r["quality"] == 1 and not r["toxic"]]) > 0.98
+    assert share([r for r in found if r["quality"] == 0]) < 0.1
+    assert share([r for r in found if r["quality"] == 1 and r["toxic"]]) < 0.5
     kept = quality_lm.kept_rows(docs, labels)
     assert kept.columns == docs.columns
     expected = {r["doc_id"] for r in quality_lm.report(docs, labels).where("kept").collect()}
