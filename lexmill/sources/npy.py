@@ -10,12 +10,14 @@ keep the Parquet blocks of ``token_store``.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -26,6 +28,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+# The code that runs in tasks travels with the query, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "block long, n int, ids array<int>"
 BLOCK_TOKENS = 8192
 # Bytes of a file that one task reads.

@@ -9,17 +9,22 @@ goes into a small table in which neighbours meet.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lexmill.functions import text as T
 from lexmill.session import new_folder, stored
 
+# The code that runs in tasks travels with the query, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Paths = str | Sequence[str]
 
 # Files whose ends are sent to every task; those of more files are joined.
