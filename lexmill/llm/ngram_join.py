@@ -8,6 +8,8 @@
 3.  Two sets as alike as asked share ``MEETINGS`` n-grams, or all they must share if fewer, among the
     first ``n - ceil(p n) + MEETINGS`` of each.  Classes that meet so often there, within the length
     and position bounds, are candidates.
+    Every class has a sketch, the parities of its n-grams by bit: two sets differ in at least as many
+    n-grams as their sketches in bits, which refutes most pairs below the limit inside the join.
 4.  For each pair the overlap is counted in every fragment separately, and summed per pair.
 5.  Linked classes are tied into components.
 
@@ -25,8 +27,10 @@ null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ SHIFT = np.uint64(64 - CELL_BITS)
 PIECE = 1 << 14
 FRAGMENTS = 4
 MEETINGS = 3
+# Longs of a sketch; 1,024 bits tell sets of up to some thousands of n-grams apart.
+SKETCH = 16
 # Classes with a common n-gram from which on they are first compared with one of them, and rounds of it.
 MANY, ROUNDS = 16, 2
 # Keys that are sent to every task to pick texts by; more are met by a shuffle of the texts.
@@ -54,6 +60,12 @@ def _class_of(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """Bit ``i`` tells whether an odd number of the n-grams falls on it."""
+    bits = np.bincount((grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view("<i8")
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows, rows.schema["key"].dataType.simpleString()
@@ -64,7 +76,7 @@ def _numbers(values: np.ndarray) -> pa.Array:
 
 
 def _class_table(rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """``(key, n, class)`` of every row and ``(piece, counts)`` of the cells a task has seen."""
+    """``(key, n, class, sketch)`` of every row and ``(piece, counts)`` of the cells a task has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -76,23 +88,27 @@ def _class_table(rows: DataFrame, kind: str, width: int) -> DataFrame:
             key_type = batch["key"].type
             yield table(
                 batch["key"], [len(s) for s in sets], [_class_of(s) for s in sets],
-                [None] * len(sets), [None] * len(sets),
+                [_sketch(s) for s in sets], [None] * len(sets), [None] * len(sets),
             )
         if key_type is not None:
             parts = counts.reshape(-1, PIECE)
             found = [i for i in range(len(parts)) if parts[i].any()]
             blobs = [zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in found]
             none = [None] * len(found)
-            yield table(pa.nulls(len(found), key_type), none, none, found, blobs)
+            yield table(pa.nulls(len(found), key_type), none, none, none, found, blobs)
 
-    def table(keys: pa.Array, n: list, classes: list, pieces: list, blobs: list) -> pa.RecordBatch:
+    def table(
+        keys: pa.Array, n: list, classes: list, sketches: list, pieces: list, blobs: list
+    ) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [keys, pa.array(n, pa.int64()), pa.array(classes, pa.binary()),
+             pa.array(sketches, pa.list_(pa.int64())),
              pa.array(pieces, pa.int32()), pa.array(blobs, pa.binary())],
-            ["key", "n", "class", "piece", "counts"],
+            ["key", "n", "class", "sketch", "piece", "counts"],
         )
 
-    found = rows.mapInArrow(run, f"key {kind}, n long, class binary, piece int, counts binary")
+    schema = f"key {kind}, n long, class binary, sketch array<long>, piece int, counts binary"
+    found = rows.mapInArrow(run, schema)
     return stored(found, new_folder(rows.sparkSession, "ngram-classes"))
 
 
@@ -201,6 +217,13 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
 
 
+def _sketches_allow(percent: int, x: str, y: str, nx: str, ny: str) -> Column:
+    """Whether the bits in which two sketches differ leave two sets as alike as asked."""
+    words = (F.col(x)[i].bitwiseXOR(F.col(y)[i]) for i in range(SKETCH))
+    differ = reduce(operator.add, (F.bit_count(word) for word in words))
+    return differ <= F.col(nx) + F.col(ny) - 2 * _needed(F.col(nx), F.col(ny), percent)
+
+
 def _may_link(percent: int) -> Column:
     """Length and position bounds on two rows ``x`` and ``y`` of one n-gram.
 
@@ -315,6 +338,9 @@ def grouped(
         new_folder(spark, "classes"),
     )
 
+    sketches = table.where("class IS NOT NULL").groupBy("class").agg(F.any_value("sketch").alias("sketch"))
+    sketches = stored(sketches, new_folder(spark, "sketches"))
+
     none = spark.createDataFrame([], "a binary, b binary")
     edges, compared = none, none
 
@@ -330,6 +356,12 @@ def grouped(
         edges, compared = edges.unionByName(found), compared.unionByName(fresh.select("a", "b"))
         return True
 
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """The pairs that the sketches of both sides do not refute."""
+        of = lambda s: sketches.select(F.col("class").alias(s), F.col("sketch").alias(f"s{s}"))
+        found = pairs.join(of("a"), "a").join(of("b"), "b")
+        return found.where(_sketches_allow(percent, "sa", "sb", "na", "nb")).drop("sa", "sb")
+
     def placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows of n-grams that classes of different components have."""
         found = rows.join(parts.withColumnRenamed("node", "class"), "class", "left")
@@ -345,11 +377,12 @@ def grouped(
         drawn = placed(many, parts).withColumn("y", first)
         pairs = drawn.select(F.struct("class", "n", "pos").alias("x"), "y", "component")
         pairs = pairs.where((F.col("component") != F.col("y.component")) & _may_link(percent))
-        if not linked(pairs.select(*_pair(percent)).distinct(), f"drawn-{i}"):
+        if not linked(allowed(pairs.select(*_pair(percent)).distinct()), f"drawn-{i}"):
             break
         parts = stored(connected(edges), new_folder(spark, "components"))
 
-    rest = stored(placed(shared, parts), new_folder(spark, "placed"))
+    rest = placed(shared.join(sketches, "class"), parts)
+    rest = stored(rest, new_folder(spark, "placed"))
     apart = F.col("x.component") != F.col("y.component")
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class"))
     # Up to a common n-gram two sets share as many as come before it in either, at most.
@@ -357,7 +390,8 @@ def grouped(
     after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     enough = before + after >= _needed(F.col("x.n"), F.col("y.n"), percent)
     close = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pairs = rest.alias("x").join(rest.alias("y"), meet & apart & close & enough)
+    alike = _sketches_allow(percent, "x.sketch", "y.sketch", "x.n", "y.n")
+    pairs = rest.alias("x").join(rest.alias("y"), meet & apart & close & enough & alike)
     pairs = pairs.select(*_pair(percent), F.least(
         F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")
     ).alias("left")).groupBy("a", "b", "na", "nb")
@@ -388,9 +422,16 @@ def grouped(
 def kept_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """The row with the smallest key of every component, all columns as they are."""
-    found = grouped(docs, key, text, width, percent)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    stay = stored(stay, new_folder(docs.sparkSession, "kept-keys"))
-    same = F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}"))
-    return docs.alias("d").join(stay.alias("s"), same, "left_semi")
+    """The row with the smallest key of every component, all columns as they are.
+
+    Rows are told apart by key and text, so a row goes or stays by its own text where keys repeat; rows
+    equal in both stay together.
+    """
+
+    def name() -> Column:
+        return F.struct(F.col(key).alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
+
+    found = grouped(docs.select(name().alias("row"), F.col(text).alias("text")), "row", "text", width, percent)
+    stay = found.where("row = component_id").select("row").distinct()
+    stay = stored(stay.select(F.col("row").alias("_stays")), new_folder(docs.sparkSession, "kept-keys"))
+    return docs.join(stay, name() == F.col("_stays"), "left_semi")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import plain
 import pytest
 
@@ -69,6 +70,32 @@ def test_one_of_each_group_stays(documents, document_rows):
     assert {r["doc_id"] for r in kept.collect()} == expected and kept.columns == documents.columns
 
 
+def test_rows_stay_by_their_own_text(spark):
+    base = [f"b{i}" for i in range(100)]
+    table = [
+        (1, rows_of(base)), (2, rows_of([*base[:-1], "end"])), (2, "a text of its own, not like the others"),
+        (3, None), (3, ""), (None, rows_of(["new", *base[1:]])), (None, "one more text of six words"),
+    ]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = sorted((tuple(r) for r in ngram_join.kept_rows(docs).collect()), key=repr)
+    # A null key comes before all others.
+    assert kept == sorted([*table[2:5], *table[5:]], key=repr)
+
+
+def test_sketches_never_refute_a_link():
+    rng = random.Random(8)
+    for _ in range(200):
+        grams = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 3000))], np.uint64))
+        other = np.unique(np.concatenate(
+            [grams[rng.randrange(len(grams)) // 5:], np.array([rng.getrandbits(64) for _ in range(40)], np.uint64)]
+        ))
+        differ = sum(
+            bin(int(x) & (2**64 - 1)).count("1")
+            for x in ngram_join._sketch(grams) ^ ngram_join._sketch(other)
+        )
+        assert differ <= len(np.setxor1d(grams, other))
+
+
 def test_empty_and_unlinked_tables(spark, empty):
     assert result(ngram_join.grouped(empty)) == set()
     docs = spark.createDataFrame([(3, "a b c d e f"), (4, None)], "doc_id long, text string")
