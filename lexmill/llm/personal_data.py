@@ -1,16 +1,20 @@
 """Personal data by plain patterns, and by contexts that those patterns teach.
 
 The plain patterns find e-mail addresses, IP addresses, card and phone numbers.  What they find are
-seeds: the word before a seed and the shape of the seed form a lexical pattern.  Patterns and the
-instances they occur with form a graph over the whole corpus.  In each round a pattern is scored by
-the share of its occurrences that hold trusted instances, and an instance by the mean score of its
-patterns; seeds keep a score of one.  After the rounds, tokens with a digit that no plain pattern
-matches are reported where a pattern of high score with enough different seeds introduces them.
+seeds.  The word before a mention, with whether the mention has letters, is its lexical pattern; its
+runs of digits and letters are its shape.  Patterns, shapes and instances form a graph over the whole
+corpus.  In each round a pattern is scored by the share of its occurrences that hold trusted instances,
+a shape likewise, whatever stands before it.  Patterns of enough score with enough different trusted
+instances place instances that no plain pattern matches, words with a digit or several groups of digits.
+An instance of which half the occurrences are so placed, and whose pattern and shape scores together
+reach the limit, is trusted from the next round on and counts for other patterns, as seeds do.  So a
+shape that no seed has needs a pattern of high score, a known shape a fair one, and what one pattern
+taught qualifies the next.  Trusted instances are reported wherever such a pattern introduces them.
 All of it is built-in functions, grouped sums and joins.
 
-Defined results: a null or empty text has no findings; rows with equal keys are handled by
-themselves; further columns are ignored; an empty table gives no rows; equal scores at the limit
-count as reached.  Offsets are code points, ends exclusive.
+Defined results: a null or empty text has no findings, a very long one is searched whole; rows with equal
+or null keys are handled by themselves; a mention that begins its text has no pattern; further columns
+are ignored; an empty table gives no rows; equal scores at the limit count as reached.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -34,14 +38,18 @@ PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|)"
 IP_PARTS = rf"^{PART}(?:\.{PART}){{3}}$"
 KINDS = ("email", "ip", "card", "phone", "context")
 
-# A word with a digit, found from its first character.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+# Groups of digits with blanks between, or a word with a digit up to its last letter or digit.
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])(?:"
+    r"[+(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*[0-9])++(?![^\x20\x09-\x0D,;:.!?])"
+    r"|[^\x20\x09-\x0D0-9]*+[0-9](?:[^\x20\x09-\x0D]*[\p{L}0-9])?)"
+)
 
 # Characters before a match that are looked at for its context word.
 CONTEXT_CHARS = 100
 ROUNDS = 3
-# Least share of trusted occurrences of a pattern, and of different seeds behind it.
-LEAST_SCORE = 0.8
+# Least score of a pattern, and of pattern and shape together, and different trusted instances of a pattern.
+LEAST_CONTEXT, LEAST_SCORE = 0.5, 0.8
 LEAST_SEEDS = 5
 # Shortest token that a pattern may add.
 LEAST_CHARS = 6
@@ -132,7 +140,7 @@ def base_spans(text: Column) -> Column:
 
 
 def token_spans(text: Column) -> Column:
-    """Words with a digit, less closing punctuation, that may be identifiers."""
+    """Groups of digits and words with a digit, less closing punctuation, that may be identifiers."""
     long_enough = lambda m: F.char_length(m) >= LEAST_CHARS
     return F.when(
         F.regexp_like(text, F.lit("[0-9]")), _matches(text, TOKEN, 4, long_enough)
@@ -169,70 +177,77 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return found.withColumn("tokens", free)
 
 
-def pattern_scores(graph: DataFrame) -> DataFrame:
-    """Scores of the patterns of a graph ``(pattern, instance, seed, n)`` after all rounds.
+def bootstrapped(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns ``(pattern, context)`` and instances ``(instance)`` that all rounds have taught.
 
-    ``score`` is the share of a pattern's occurrences that hold trusted instances, ``seeds`` the
-    number of different seeds among its instances.
+    ``graph`` has ``(pattern, shape, instance, seed, n)``, one row for each pattern and instance.
     """
     spark = graph.sparkSession
-    trusted = graph.select("pattern", "instance", "n", F.col("seed").cast("double").alias("trust"))
+    trusted = graph.withColumn("trust", F.col("seed"))
+    share = F.sum(F.col("trust") * F.col("n")) / F.sum("n")
     for i in range(ROUNDS):
-        patterns = stored(
-            trusted.groupBy("pattern").agg(
-                (F.sum(F.col("trust") * F.col("n")) / F.sum("n")).alias("score")
-            ),
-            new_folder(spark, f"pattern-scores-{i}"),
+        patterns = trusted.groupBy("pattern").agg(
+            share.alias("context"), F.sum("trust").alias("support")
         )
-        if i + 1 == ROUNDS:
-            break
-        instances = stored(
-            graph.join(patterns, "pattern")
-            .groupBy("instance")
+        good = (F.col("context") >= LEAST_CONTEXT) & (F.col("support") >= LEAST_SEEDS)
+        patterns = patterns.where(good).select("pattern", "context")
+        patterns = stored(patterns, new_folder(spark, f"patterns-{i}"))
+        shapes = trusted.groupBy("shape").agg(share.alias("alike")).where("alike > 0")
+        shapes = stored(shapes, new_folder(spark, f"shapes-{i}"))
+        placed = F.when(F.col("context").isNotNull(), F.col("n"))
+        instances = (
+            graph.where("seed = 0")
+            .join(patterns, "pattern", "left")
+            .groupBy("instance", "shape")
             .agg(
-                F.when(F.max("seed") == 1, 1.0)
-                .otherwise(F.sum(F.col("score") * F.col("n")) / F.sum("n"))
-                .alias("trust")
-            ),
-            new_folder(spark, f"instance-scores-{i}"),
+                F.sum("n").alias("n"),
+                F.sum(placed).alias("placed"),
+                (F.sum(F.col("context") * F.col("n")) / F.sum(placed)).alias("context"),
+            )
+            .where("2 * placed >= n")
+            .join(shapes, "shape", "left")
         )
-        trusted = graph.join(instances, "instance").select("pattern", "instance", "n", "trust")
-    seeds = stored(
-        graph.groupBy("pattern").agg(F.sum("seed").alias("seeds")), new_folder(spark, "pattern-seeds")
-    )
-    return patterns.join(seeds, "pattern")
+        # One of the two speaks for the instance: 1 - (1 - context) * (1 - alike).
+        score = F.col("context") + F.coalesce("alike", F.lit(0)) * (1 - F.col("context"))
+        instances = instances.where(score >= LEAST_SCORE - 1e-9).select("instance")
+        instances = stored(instances, new_folder(spark, f"instances-{i}"))
+        promoted = instances.withColumn("promoted", F.lit(1))
+        trusted = graph.join(promoted, "instance", "left").withColumn(
+            "trust", F.greatest("seed", F.coalesce("promoted", F.lit(0)))
+        )
+    return patterns, instances
 
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, base, spans)``: arrays of ``(kind, start, stop)``, kinds as positions in ``KINDS``.
 
-    ``spans`` holds the base and the tokens that learned patterns add.
+    ``spans`` holds the base and the instances that learned patterns introduce.
     """
     spark = docs.sparkSession
     found = occurrences(docs, key, text)
 
     def mentions(spans: str, seed: int) -> DataFrame:
         rows = found.select("_row", F.inline(spans))
-        pattern = F.concat_ws("\x01", _context(F.col("before")), _shape(F.col("text")))
+        letters = F.when(F.regexp_like("text", F.lit(r"\p{L}")), "a").otherwise("9")
+        context = _context(F.col("before"))
         return rows.select(
-            "_row", "start", "stop", "text", F.lit(seed).alias("seed"), pattern.alias("pattern")
-        ).where(_context(F.col("before")).isNotNull())
+            "_row", "start", "stop", F.lit(seed).alias("seed"),
+            F.concat_ws("\x01", context, letters).alias("pattern"),
+            _shape(F.col("text")).alias("shape"),
+            F.sha2("text", 256).alias("instance"),
+        ).where(context.isNotNull())
 
     seeds, tokens = mentions("base", 1), mentions("tokens", 0)
     graph = stored(
         seeds.unionByName(tokens)
-        .groupBy("pattern", F.sha2("text", 256).alias("instance"))
+        .groupBy("pattern", "shape", "instance")
         .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")),
         new_folder(spark, "pattern-graph"),
     )
-    good = stored(
-        pattern_scores(graph)
-        .where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
-        .select("pattern"),
-        new_folder(spark, "good-patterns"),
-    )
+    patterns, instances = bootstrapped(graph)
     added = (
-        tokens.join(good, "pattern", "left_semi")
+        tokens.join(patterns, "pattern", "left_semi")
+        .join(instances, "instance", "left_semi")
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "stop"))).alias("added"))
     )

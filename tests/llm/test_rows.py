@@ -160,6 +160,20 @@ def test_repositories_and_owners_decide_together(spark):
     assert {r["doc_id"]: r["spans"] for r in secret_scan.report(docs).collect()} == expected
 
 
+def test_candidates_are_whole_values():
+    values = [
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzZ83qLT0aB", "3f2b8c1e-9d47-4a6b-8e01-7c5d2f9a6b34",
+        "eyJhbGciOi1.Zx9Qw7Lm3Kp1-Vt5Rb2Yn8_k", "Zx9Qw7Lm3Kp1Vt5Rb2Yn8aQ==",
+    ]
+    for value in values:
+        for text, at in ((f"see {value}. More", 4), (f"auth={value},", 5), (value, 0)):
+            assert [s[:2] for s in secret_scan.candidate_spans(text)] == [(at, at + len(value))]
+    for text in ("docs/guides/2024/section-12/page-3.html", "a-long-name-of-words-joined-1-2-3", "-" * 50):
+        assert secret_scan.candidate_spans(text) == []
+    part = "Zx9Qw7Lm3Kp1Vt5Rb2Yn8"
+    assert secret_scan.candidate_spans(f"lower/path/{part.lower()}/x")[0][:2] == (11, 11 + len(part))
+
+
 def test_personal_data(docs):
     texts = dict(pairs(docs))
     for r in personal_data.report(docs).collect():
@@ -183,6 +197,22 @@ def test_contexts_find_unseen_identifiers(spark):
     assert spans[0].startswith("phone:") and spans[12].startswith("ip:")
 
 
+def test_found_identifiers_teach_further_contexts(spark):
+    """Shapes that no seed has, found by a context of seeds, then by a context that only found ones have."""
+    new = ["555-0199", "0305550199", "030 555 0198", "(030) 5550-197", "555.0196", "AB-5550195"[3:]]
+    texts = [f"clear prose mobile: +1 555 010 {i:04d}" for i in range(40)]
+    texts += [f"my mobile: {number}, please" for number in new]
+    texts += [f"or cell: {number} today" for number in [*new, "0441/2345"]]
+    texts += [f"the year 2{i:03d}-04 was good, item: 77{i:04d}" for i in range(30)] + ["item: 0305550199"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["spans"] for r in personal_data.report(docs).collect()}
+    for i, number in enumerate(new):
+        assert found[40 + i] == f"context:11:{11 + len(number)}"
+        assert found[46 + i] == f"context:9:{9 + len(number)}"
+    assert found[52] == "context:9:18"
+    assert {found[i] for i in range(53, 84)} == {""}
+
+
 def test_archives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {tuple(r) for r in warc.roundtrip(pages).collect()}
