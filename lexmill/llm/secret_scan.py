@@ -1,7 +1,7 @@
 """Secrets, told from widely copied examples by how many owners and repositories hold them.
 
 Each text is scanned once.  Besides the plain rules (assignments, access keys, long hex runs) the scan
-collects candidates: long runs of letters and digits of high entropy, whatever stands before them.
+collects candidates: long runs of the characters of values, of high entropy, whatever stands before them.
 Candidate digests are then counted over the whole corpus by distinct owners and by distinct
 repositories.  A digest that ``EXAMPLE_OWNERS`` or more owners hold, or that lies in
 ``EXAMPLE_REPOSITORIES`` or more repositories, be they of one owner, is a copied example; one of
@@ -38,8 +38,13 @@ KINDS = ("assign", "access", "hex", "live")
 KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+]{20,}")
-LEAST_DIGITS, LEAST_LETTERS, LEAST_ENTROPY = 3, 3, 3.0
+# The characters of assigned values, `=` as padding only.  A run with one of `/.-` (paths and names have
+# them too) counts whole if it is a UUID or has digits, letters of both cases and more entropy; otherwise
+# the runs between such characters are looked at.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{20,}={0,2}")
+PLAIN = re.compile(r"[A-Za-z0-9_+]{20,}={0,2}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+LEAST_DIGITS, LEAST_LETTERS, LEAST_ENTROPY, MIXED_ENTROPY = 3, 3, 3.0, 4.0
 
 # Owners, or repositories, from which a value is a widely copied example; up to the LIVE ones of both it
 # belongs to its owner and looks live, also where another owner holds a copy.
@@ -77,16 +82,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
+def _random(value: str) -> bool:
+    digits = sum(c.isdigit() for c in value)
+    letters = sum(c.isalpha() for c in value)
+    return digits >= LEAST_DIGITS and letters >= LEAST_LETTERS and entropy(value) >= LEAST_ENTROPY
+
+
+def _whole(value: str) -> bool:
+    """Whether a run with ``/``, ``.`` or ``-`` in it is one value."""
+    cases = value != value.lower() and value != value.upper()
+    return bool(UUID.fullmatch(value)) or (cases and _random(value) and entropy(value) >= MIXED_ENTROPY)
+
+
 def candidate_spans(text: str) -> list[tuple[int, int, bytes]]:
-    """``(start, stop, digest)`` of runs that look random."""
+    """``(start, stop, digest)`` of runs that look random, without ``/``, ``.`` and ``-`` at their ends."""
     found = []
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        digits = sum(c.isdigit() for c in value)
-        letters = sum(c.isalpha() for c in value)
-        if digits >= LEAST_DIGITS and letters >= LEAST_LETTERS and entropy(value) >= LEAST_ENTROPY:
-            found.append((*m.span(), blake2b(value.encode(), digest_size=16).digest()))
-    return found
+        start = m.end() - len(m[0].lstrip("/.-"))
+        stop = max(start, m.start() + len(m[0].rstrip("/.-")))
+        value = text[start:stop]
+        if any(c in value for c in "/.-"):
+            if len(value) >= 20 and _whole(value):
+                found.append((start, stop))
+                continue
+            found += [p.span() for p in PLAIN.finditer(text, start, stop) if _random(p[0])]
+        elif len(value) >= 20 and _random(value):
+            found.append((start, stop))
+    digest = lambda v: blake2b(v.encode(), digest_size=16).digest()
+    return [(start, stop, digest(text[start:stop])) for start, stop in found]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
