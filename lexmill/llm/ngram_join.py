@@ -433,5 +433,8 @@ def kept_rows(
 
     found = grouped(docs.select(name().alias("row"), F.col(text).alias("text")), "row", "text", width, percent)
     stay = found.where("row = component_id").select("row").distinct()
-    stay = stored(stay.select(F.col("row").alias("_stays")), new_folder(docs.sparkSession, "kept-keys"))
-    return docs.join(stay, name() == F.col("_stays"), "left_semi")
+    own = "_stays"
+    while own in docs.columns:
+        own += "_"
+    stay = stored(stay.select(F.col("row").alias(own)), new_folder(docs.sparkSession, "kept-keys"))
+    return docs.join(stay, name() == F.col(own), "left_semi")
