@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,30 @@ from pyspark.sql import DataFrame, functions as F
 
 # Rows of a task that are put together at once.
 TOGETHER = 400_000
+# Bytes of texts a bucket of chunks is laid out for, and the bounds of their number: the upper one is
+# what Spark allows, beyond it buckets grow.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000
+
+
+def buckets_for(size: int) -> int:
+    """Buckets for so many bytes of texts."""
+    return min(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
+
+
+@contextmanager
+def bucketed(rows: DataFrame, folder: str, buckets: int) -> Iterator[DataFrame]:
+    """``rows`` written to ``folder`` in buckets by chunk, without a shuffle.
+
+    What joins the table by chunk moves to its buckets, the table stays.  The catalog knows the table
+    inside the ``with`` block only; its files remain in the folder.
+    """
+    spark, name = rows.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "chunk").option("path", folder).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def packed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:

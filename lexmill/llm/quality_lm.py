@@ -4,25 +4,29 @@ The model is an interpolated modified Kneser-Ney model of character n-grams: cha
 number of different n-grams of a chunk of texts small, so that counts, not texts, travel.
 
 1.  Texts become chunks.  Every distinct n-gram of a chunk is one row with its count in trusted
-    training texts; the texts of a chunk are one compressed row.
+    training texts; the texts of a chunk are one compressed row.  Both are written once, in buckets.
 2.  Counts are summed over chunks by n-gram.  Lower orders count the different characters before an
     n-gram; histories get their totals and the weight of what discounting leaves, and every n-gram
     that occurs anywhere is given its probability by joins with these tables, order by order.
-3.  Probabilities go back to the chunks that asked for them and are summed per text.
+3.  Probabilities go back to the buckets of the chunks that asked for them, where the texts stayed,
+    and are summed per text.
 4.  Of every language, the trusted texts that were kept out of training give the quantile of
     perplexity above which a text is rejected; languages without such texts take the one over all.
     The mean over ``n`` characters strays by about one in the root of ``n``, so the limit of a text is
     ``10 ** (SPREAD / sqrt(n))`` times that of its language.
 
 Defined results: a null or empty text is its end alone; null and unknown languages are languages of
-their own; a null flag is not trusted; rows with equal keys are scored by themselves; without trusted
-text all n-grams are equally likely and nothing is rejected; NUL characters count as U+FFFD; further
-columns pass through ``kept_rows``; an empty table gives no rows; a text at the limit stays.
+their own; a null flag is not trusted; rows with equal keys are scored by themselves, and ``kept_rows`` lets
+each go or stay by its own text (null keys too; a row equal to a rejected one in key, text and language goes
+with it); a very long text is a chunk of its own; without trusted text all n-grams are equally likely and nothing is
+rejected; NUL characters count as U+FFFD; further columns pass through ``kept_rows``; an empty table
+gives no rows; a text at the limit stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexmill.llm.chunks import by_chunk, met, packed
+from lexmill.llm.chunks import bucketed, buckets_for, joined_parts, packed
 from lexmill.llm.words import slices
 from lexmill.session import new_folder, stored
 
@@ -45,6 +49,9 @@ COMPRESSION = 12
 # Trusted keys that are sent to every task; more are met by a shuffle of the texts.
 MOST_SENT = 300_000
 
+# Numpy types of the answers to a chunk.
+ANSWERS = {"pos": "<i4", "score": "<f4"}
+
 # Noncharacters, which text does not hold, before and after every text.
 START, END = "\uffff", "\ufffe"
 
@@ -91,12 +98,17 @@ def _strings(points: np.ndarray, order: int) -> list[str]:
     return [every[i : i + order] for i in range(0, len(every), order)]
 
 
-def chunk_table(docs: DataFrame, key: str, text: str, lang: str, trusted: str, order: int) -> DataFrame:
-    """Rows of n-grams ``(chunk, pos, gram, n)`` and rows of chunks with keys and compressed texts."""
+def chunk_table(
+    docs: DataFrame, key: str, text: str, lang: str, trusted: str, order: int, fold: str
+) -> DataFrame:
+    """Rows of n-grams ``(chunk, pos, gram, n)`` and rows of chunks with keys and compressed texts.
+
+    The hash of column ``fold`` tells which trusted texts are not learned from.
+    """
     rows = docs.select(
         F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"),
         F.coalesce(F.col(trusted), F.lit(False)).alias("trusted"),
-        (F.pmod(F.xxhash64(F.col(key)), F.lit(FOLDS)) == 0).alias("apart"),
+        (F.pmod(F.xxhash64(F.col(fold)), F.lit(FOLDS)) == 0).alias("apart"),
         F.col(text).alias("text"),
     )
     kind = rows.schema["key"].dataType.simpleString()
@@ -132,12 +144,11 @@ def chunk_table(docs: DataFrame, key: str, text: str, lang: str, trusted: str, o
                 ["chunk", "pos", "gram", "n", "keys", "langs", "apart", "lengths", "size", "texts"],
             )
 
-    found = rows.mapInArrow(
+    return rows.mapInArrow(
         run,
         f"chunk long, pos int, gram string, n long, keys array<{kind}>, langs array<string>, "
         "apart array<boolean>, lengths array<long>, size long, texts binary",
     )
-    return stored(found, new_folder(docs.sparkSession, "ngram-chunks"))
 
 
 def _tail(gram: Column, order: int) -> Column:
@@ -206,60 +217,59 @@ def probabilities(grams: DataFrame, order: int) -> DataFrame:
 
 def perplexities(
     docs: DataFrame, trusted: str, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    order: int = ORDER,
+    order: int = ORDER, fold: str | None = None,
 ) -> DataFrame:
     """``(key, lang, apart, n_chars, perplexity)`` of every row, stored.
 
-    ``apart`` marks trusted texts that were not learned from; ends count as characters.
+    ``apart`` marks trusted texts that were not learned from, by the hash of ``fold`` or else the key;
+    ends count as characters.
     """
     spark = docs.sparkSession
-    chunks = chunk_table(docs, key, text, lang, trusted, order)
-    asked = chunks.where("pos IS NOT NULL").select("chunk", "pos", "gram", "n")
-    grams = stored(
-        asked.groupBy("gram").agg(F.sum("n").alias("n")), new_folder(spark, "ngram-counts")
-    )
-    known = probabilities(grams, order)
-    answers = asked.select("chunk", "pos", "gram").join(known, "gram")
-    answers = answers.select("chunk", "pos", F.log10("p").cast("float").alias("score"))
-    texts = chunks.where("pos IS NULL").drop("pos", "gram", "n")
-    kinds = {"pos": "<i4", "score": "<f4"}
-    rows = met(packed(answers, kinds), texts)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = buckets_for(size)
+    table = chunk_table(docs, key, text, lang, trusted, order, fold or key)
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The answers of a chunk arrive before its texts."""
-        for answers, row in by_chunk(batches, kinds):
-            scores = np.empty(len(answers["pos"]))
-            scores[answers["pos"]] = answers["score"]
-            yield finished(scores, row)
-
-    def finished(scores: np.ndarray, row: pa.RecordBatch) -> pa.RecordBatch:
-        data = pa.Codec("zstd").decompress(row["texts"][0].as_py(), row["size"][0].as_py(), asbytes=True)
-        every = data.decode("utf-8", "surrogatepass")
-        lengths = row["lengths"].flatten().to_numpy()
-        cuts = np.r_[0, np.cumsum(lengths)]
-        codes, _, ends = _grams([every[a:b] for a, b in zip(cuts[:-1], cuts[1:])], order)
-        total = np.r_[0, np.cumsum(scores[codes])]
-        mean = (total[ends[1:]] - total[ends[:-1]]) / np.diff(ends)
-        return pa.RecordBatch.from_arrays(
-            [row["keys"].flatten(), row["langs"].flatten(), row["apart"].flatten(),
-             pa.array(np.diff(ends), pa.int64()), pa.array(10.0**-mean, pa.float64())],
-            ["key", "lang", "apart", "n_chars", "perplexity"],
+    with bucketed(table, new_folder(spark, "ngram-chunks"), buckets) as chunks:
+        asked = chunks.where("pos IS NOT NULL").select("chunk", "pos", "gram", "n")
+        grams = stored(
+            asked.groupBy("gram").agg(F.sum("n").alias("n")), new_folder(spark, "ngram-counts")
         )
+        known = probabilities(grams, order)
+        answers = asked.select("chunk", "pos", "gram").join(known, "gram")
+        answers = answers.select("chunk", "pos", F.log10("p").cast("float").alias("score"))
+        answers = packed(answers, ANSWERS).repartition(buckets, "chunk").groupBy("chunk")
+        texts = chunks.where("pos IS NULL").drop("pos", "gram", "n").groupBy("chunk")
+        shape = f"key {kind}, lang string, apart boolean, n_chars long, perplexity double"
+        found = texts.cogroup(answers).applyInArrow(partial(_finished, order), shape)
+        found = stored(found, new_folder(spark, "perplexities"))
+    return found.withColumnRenamed("key", key)
+
 
-    found = rows.mapInArrow(
-        run, f"key {kind}, lang string, apart boolean, n_chars long, perplexity double"
+def _finished(order: int, texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """The perplexity of each text of a chunk, from the answers to its distinct n-grams."""
+    row = texts.combine_chunks().to_batches()[0]
+    parts = joined_parts(answers.to_batches(), ANSWERS)
+    scores = np.empty(len(parts["pos"]))
+    scores[parts["pos"]] = parts["score"]
+    data = pa.Codec("zstd").decompress(row["texts"][0].as_py(), row["size"][0].as_py(), asbytes=True)
+    every = data.decode("utf-8", "surrogatepass")
+    cuts = np.r_[0, np.cumsum(row["lengths"].flatten().to_numpy())]
+    codes, _, ends = _grams([every[a:b] for a, b in zip(cuts[:-1], cuts[1:])], order)
+    total = np.r_[0, np.cumsum(scores[codes])]
+    mean = (total[ends[1:]] - total[ends[:-1]]) / np.diff(ends)
+    return pa.Table.from_arrays(
+        [row["keys"].flatten(), row["langs"].flatten(), row["apart"].flatten(),
+         pa.array(np.diff(ends), pa.int64()), pa.array(10.0**-mean, pa.float64())],
+        ["key", "lang", "apart", "n_chars", "perplexity"],
     )
-    found = stored(found, new_folder(spark, "perplexities"))
-    return found.withColumnRenamed("key", key)
 
 
 def classified(
     docs: DataFrame, trusted: str, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    quantile: float = QUANTILE,
+    quantile: float = QUANTILE, fold: str | None = None,
 ) -> DataFrame:
     """``(key, lang, n_chars, perplexity, limit, kept)`` of every row."""
-    found = perplexities(docs, trusted, key, text, lang)
+    found = perplexities(docs, trusted, key, text, lang, fold=fold)
     room = F.pow(F.lit(10.0), SPREAD / F.sqrt("n_chars"))
     found = found.withColumn("_room", room)
     level = F.col("perplexity") / F.col("_room")
@@ -292,7 +302,17 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose perplexity is within the limit of their language, all columns as they are."""
-    found = classified(with_trust(docs.select(key, "text", "lang"), labels, key), "trusted", key)
-    gone = found.where("NOT kept").select(key).distinct()
-    gone = stored(gone, new_folder(docs.sparkSession, "rejected"))
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+
+    def name() -> Column:
+        digest = F.md5(F.coalesce("text", F.lit("")))
+        language = F.col("lang").cast("string")
+        return F.struct(F.col(key).alias("key"), digest.alias("digest"), language.alias("lang"))
+
+    own = "_gone"
+    while own in docs.columns:
+        own += "_"
+    marked = with_trust(docs.select(key, "text", "lang"), labels, key)
+    rows = marked.select(name().alias("row"), "text", "lang", "trusted", F.col(key).alias("fold"))
+    gone = classified(rows, "trusted", "row", fold="fold").where("NOT kept")
+    gone = stored(gone.select(F.col("row").alias(own)).distinct(), new_folder(docs.sparkSession, "rejected"))
+    return docs.join(gone, name() == F.col(own), "left_anti")

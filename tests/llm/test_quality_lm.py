@@ -116,3 +116,34 @@ def test_large_alphabets_and_empty_tables(spark, odd, empty, monkeypatch):
     assert all(r["kept"] for r in quality_lm.report(odd, none).collect())
     assert quality_lm.report(empty, none).collect() == []
     assert quality_lm.kept_rows(empty, none).collect() == []
+
+
+def test_rows_are_judged_by_their_own_text(spark, sf_dir):
+    """A good text that shares its key with a poor one stays; null keys and further columns as well."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = quality_lm.report(docs, labels)
+    bad = found.where("NOT kept").orderBy("doc_id").join(docs.select("doc_id", "text"), "doc_id").first()
+    good = found.where("kept AND n_chars > 300").join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").first()
+    added = [(k, t, lang, note) for k in (None, bad["doc_id"], good["doc_id"])
+             for t, lang, note in ((bad["text"], bad["lang"], "bad"), (good["text"], good["lang"], "good"))]
+    rows = spark.createDataFrame(added, "doc_id long, text string, lang string, _gone string")
+    kept = quality_lm.kept_rows(docs.withColumn("_gone", F.lit("given")).unionByName(rows), labels)
+    assert kept.columns == ["doc_id", "text", "lang", "_gone"]
+    here = [(r["doc_id"], r["_gone"]) for r in kept.where("_gone <> 'given'").collect()]
+    assert sorted(here, key=repr) == sorted([(k, "good") for k in (None, bad["doc_id"], good["doc_id"])], key=repr)
+
+
+def test_texts_stay_in_their_buckets(spark, documents, capsys):
+    """The texts are not shuffled to meet the answers."""
+    from lexmill.llm import chunks
+
+    rows = documents.select(F.col("doc_id").alias("chunk"), F.col("text").alias("texts"))
+    folder = quality_lm.new_folder(spark, "buckets")
+    with chunks.bucketed(rows, folder, 8) as table:
+        small = spark.range(50).select(F.col("id").alias("chunk")).repartition(8, "chunk")
+        both = table.groupBy("chunk").cogroup(small.groupBy("chunk"))
+        both.applyInArrow(lambda left, right: left.select(["chunk"]), "chunk long").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
