@@ -312,6 +312,21 @@ SELECT doc_id, n, ids FROM encoded""",
     "encode_lines": f"{ENCODED_LINES} SELECT text, ids, cnt FROM encoded JOIN line_counts USING (text)",
     "encode_stream": f"""{ENCODED_LINES}
 SELECT ids, sum(cnt)::BIGINT AS cnt FROM encoded JOIN line_counts USING (text) GROUP BY ids""",
+    "stream_blocks": f"""{ENCODED_LINES},
+document_lines AS (
+    SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) || E'\\n' AS text
+    FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents)
+),
+offsets AS (
+    SELECT ids, (sum(n) OVER (ORDER BY doc_id, pos) - n)::BIGINT AS start
+    FROM document_lines JOIN encoded USING (text)
+),
+tokens AS MATERIALIZED (
+    SELECT start + generate_subscripts(s, 1) - 1 AS place, unnest(s) AS id
+    FROM (SELECT start, string_split(ids, ' ') AS s FROM offsets)
+)
+SELECT (place // {Q.BLOCK_TOKENS})::BIGINT AS block, count(*) AS n,
+    string_agg(id, ' ' ORDER BY place) AS ids FROM tokens GROUP BY ALL""",
     "token_totals": f"""{WORD_IDS}
 SELECT count(*) AS n_unique_words, sum(cnt)::BIGINT AS n_words, sum(cnt * n)::BIGINT AS n_tokens
 FROM words JOIN word_ids USING (word)""",

@@ -22,7 +22,7 @@ from lexmill.operators import (
 from lexmill.plans import jobs
 from lexmill.session import new_folder, stored
 from lexmill.sources import npy, texts, token_store, tokenizer_files
-from lexmill.streaming import encoding as streaming
+from lexmill.streaming import encoding as streaming, sequence as stream_sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,6 +329,22 @@ def encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_out.groupBy(ids_text("ids").alias("ids")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files that arrive in two parts, appended to one token sequence by a stream."""
+    folder = new_folder(spark, "stream-blocks")
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    for part in (rows.where(F.col("doc_id") <= middle), rows.where(F.col("doc_id") > middle)):
+        ordered = part.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        ordered.select("text").write.mode("append").text(f"{folder}/in")
+        stream_sequence.write_sequence_stream(
+            streaming.stream_records(spark, f"{folder}/in"), trained(spark, sf_dir),
+            f"{folder}/out", f"{folder}/checkpoint", BLOCK_TOKENS,
+        ).awaitTermination()
+    blocks = stream_sequence.read_sequence(spark, f"{folder}/out", BLOCK_TOKENS)
+    return blocks.select(*long("block", "n"), ids_text("ids").alias("ids"))
+
+
 def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encoded(spark, sf_dir).select("doc_id", "ids")
     return encoding.decode(ids, trained(spark, sf_dir), ["doc_id"]).select("doc_id", "text")
@@ -504,6 +520,7 @@ QUERIES: dict[str, Query] = {
         encode_by_join,
         encode_lines,
         encode_stream,
+        stream_blocks,
         decode_documents,
         decode_by_join,
         token_totals,
