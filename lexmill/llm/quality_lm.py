@@ -63,30 +63,39 @@ def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndar
     """
     pad = START * (order - 1)
     joined = "".join(f"{pad}{text}{END}" for text in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").copy()
-    points[points == 0] = 0xFFFD
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not points.all():
+        points = np.where(points == 0, np.uint32(0xFFFD), points)
+    # Places in a chunk fit four bytes; half the memory of the arrays below.
+    whole = np.int32 if len(points) < 2**31 else np.int64
     present = np.zeros(0x110000, bool)
     present[points] = True
     alphabet = np.flatnonzero(present)
-    place = np.zeros(0x110000, np.int64)
+    place = np.zeros(0x110000, np.int32)
     place[alphabet] = np.arange(len(alphabet))
     local, size = place[points], max(len(alphabet), 2)
     sizes = np.fromiter((len(text) + 1 for text in texts), np.int64, len(texts))
     ends = np.r_[0, np.cumsum(sizes)]
     # Where each text's n-grams begin among all windows, which also run over the ends of texts.
     starts = ends[:-1] + (order - 1) * np.arange(len(texts))
-    at = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)
+    at = np.repeat((starts - ends[:-1]).astype(whole), sizes)
+    at += np.arange(ends[-1], dtype=whole)
     if size**order < 2**63:
-        key = local[at]
+        key = local[at].astype(np.int64)
         for j in range(1, order):
-            key = key * size + local[at + j]
+            key *= size
+            key += local[at + whole(j)]
+        del local
         codes, first = pd.factorize(key)
     else:  # an alphabet of tens of thousands of characters
         codes = local[at]
         for j in range(1, order):
-            codes, first = pd.factorize(codes * size + local[at + j])
+            codes, first = pd.factorize(codes.astype(np.int64) * size + local[at + whole(j)])
+    key = None
+    codes = codes.astype(whole)
     where = np.zeros(len(first), np.int64)
     where[codes[::-1]] = at[::-1]
+    del at
     spelled = np.stack([points[where + j] for j in range(order)], axis=1).astype("<u4")
     return codes, _strings(spelled, order), ends
 
