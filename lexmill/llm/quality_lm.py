@@ -44,7 +44,7 @@ FOLDS = 5
 QUANTILE, SPREAD = 0.99, 1.5
 # Accuracy of the quantile: ranks are off by one in so many at most.
 ACCURACY = 10_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 COMPRESSION = 12
 # Trusted keys that are sent to every task; more are met by a shuffle of the texts.
 MOST_SENT = 300_000
@@ -124,34 +124,39 @@ def chunk_table(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        codec = pa.Codec("zstd", compression_level=COMPRESSION)
         for i, batch in enumerate(slices(batches, most=CHUNK_BYTES)):
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            codes, names, ends = _grams(texts, order)
-            flags = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            learned = flags & ~batch["apart"].to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(codes[np.repeat(learned, np.diff(ends))], minlength=len(names))
-            data = "".join(texts).encode("utf-8", "surrogatepass")
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            many, none, rows_here = len(names), pa.nulls, [0, batch.num_rows]
-            lists = [
+            # Nothing of a chunk is held while the next one is coded.
+            yield chunk_rows(batch, first + i)
+
+    def chunk_rows(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        codes, names, ends = _grams(texts, order)
+        flags = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+        learned = flags & ~batch["apart"].to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.bincount(codes[np.repeat(learned, np.diff(ends))], minlength=len(names))
+        del codes
+        data = "".join(texts).encode("utf-8", "surrogatepass")
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        many, none, rows_here = len(names), pa.nulls, [0, batch.num_rows]
+        lists = [
+            pa.concat_arrays([none(many, pa.list_(c.type)), pa.ListArray.from_arrays(rows_here, c)])
+            for c in (batch["key"], batch["lang"], pa.array(flags & ~learned), pa.array(lengths))
+        ]
+        codec = pa.Codec("zstd", compression_level=COMPRESSION)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(many + 1, chunk), pa.int64()),
+                pa.concat_arrays([pa.array(np.arange(many), pa.int32()), none(1, pa.int32())]),
+                pa.array([*names, None], pa.string()),
+                pa.concat_arrays([pa.array(counts, pa.int64()), none(1, pa.int64())]),
+                *lists,
+                pa.concat_arrays([none(many, pa.int64()), pa.array([len(data)], pa.int64())]),
                 pa.concat_arrays(
-                    [none(many, pa.list_(c.type)), pa.ListArray.from_arrays(rows_here, c)]
-                )
-                for c in (batch["key"], batch["lang"], pa.array(flags & ~learned), pa.array(lengths))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(many + 1, first + i), pa.int64()),
-                    pa.concat_arrays([pa.array(np.arange(many), pa.int32()), none(1, pa.int32())]),
-                    pa.array([*names, None], pa.string()),
-                    pa.concat_arrays([pa.array(counts, pa.int64()), none(1, pa.int64())]),
-                    *lists,
-                    pa.array([None] * many + [len(data)], pa.int64()),
-                    pa.array([None] * many + [codec.compress(data, asbytes=True)], pa.binary()),
-                ],
-                ["chunk", "pos", "gram", "n", "keys", "langs", "apart", "lengths", "size", "texts"],
-            )
+                    [none(many, pa.binary()), pa.array([codec.compress(data, asbytes=True)], pa.binary())]
+                ),
+            ],
+            ["chunk", "pos", "gram", "n", "keys", "langs", "apart", "lengths", "size", "texts"],
+        )
 
     return rows.mapInArrow(
         run,
