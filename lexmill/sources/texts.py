@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Paths = str | Sequence[str]
 
+# Bytes up to which a file is read into one row where larger ones may come in several.
+WHOLE_BYTES = 16 << 20
 # Files whose ends are sent to every task; those of more files are joined.
 MOST_FILES = 100_000
 BYTE_ORDER_MARK = "\ufeff"
@@ -34,15 +36,26 @@ BYTE_ORDER_MARK = "\ufeff"
 COMPRESSED = r"\.(gz|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
 
 
-def read_texts(spark: SparkSession, path: Paths) -> DataFrame:
+def read_texts(spark: SparkSession, path: Paths, whole_bytes: int | None = None) -> DataFrame:
     """``(file, text)``, one row per file, line ends as ``\\n``; malformed UTF-8 is an error.
 
-    For files that fit a task; ``read_pieces`` and ``read_lines`` cut large ones.
+    A row, and with it a file, must fit a task.  With ``whole_bytes`` only files up to that size, and
+    compressed ones, are one row: the text of a larger file comes in rows of a line each, which many tasks
+    read.  The columns are ``(file, split, row, text)`` then, and the texts of a file in this order,
+    one after the other, are its text.
     """
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        T.normalize_newlines(F.validate_utf8("value")).alias("text"),
-    )
+    file = F.col("_metadata.file_path")
+    text = T.normalize_newlines(F.validate_utf8("value")).alias("text")
+    whole = spark.read.text(path, wholetext=True)
+    if whole_bytes is None:
+        return whole.select(file.alias("file"), text)
+    # The condition is on the files alone, so neither scan opens those of the other.
+    large = (F.col("_metadata.file_size") > whole_bytes) & ~F.rlike(file, F.lit(COMPRESSED))
+    place = [F.lit(0).cast("long").alias(name) for name in ("split", "row")]
+    whole = whole.where(~large).select(file.alias("file"), *place, text)
+    records = with_ends(placed_records(spark.read.text(path, lineSep="\n").where(large)), "\n")
+    lines = records.select("file", "split", "row", T.normalize_newlines(F.col("value")).alias("text"))
+    return whole.unionByName(lines)
 
 
 def placed_records(records: DataFrame) -> DataFrame:

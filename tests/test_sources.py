@@ -1,5 +1,7 @@
 import gzip
 import json
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -69,6 +71,25 @@ def test_documents_by_marker_or_blank_line(spark, tmp_path):
     assert in_order(found, "file", "split", "row") == ["a\n\nb", "c", "one", "two", "three"]
 
 
+def test_texts_of_large_files_come_in_rows(spark, tmp_path):
+    """Files beyond the bound are cut, the others are not; texts, line ends and marks are the same."""
+    large = {
+        "a": "one\r\ntwo\r\n\n three " * 50, "b": "\ufeffx\ry\n" * 60, "c": "no line end " * 40, "d": "last\n" * 90,
+    }
+    small = {"e": "", "f": "\ufeff", "g": "short\r\n"}
+    for name, text in {**large, **small}.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    (tmp_path / "h.txt.gz").write_bytes(gzip.compress(random.Random(3).randbytes(300).hex().encode()))
+    expected = {row.file: row.text for row in texts.read_texts(spark, str(tmp_path)).collect()}
+    rows = texts.read_texts(spark, str(tmp_path), 100).orderBy("file", "split", "row").collect()
+    found, count = {}, Counter()
+    for row in rows:
+        found[row.file] = found.get(row.file, "") + row.text
+        count[Path(row.file).name[0]] += 1
+    assert found == expected and len(expected) == 7
+    assert count == {"a": 151, "b": 60, "c": 1, "d": 90, "f": 1, "g": 1, "h": 1}
+
+
 def test_malformed_text_is_an_error(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"ok \xff\n")
     for read in (texts.read_texts, texts.read_lines, texts.read_marked):
