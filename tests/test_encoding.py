@@ -116,6 +116,26 @@ def test_word_ids_with_foreign_merges(spark):
             assert row.ids == brute_encode(row.word, ids, ranks)
 
 
+def test_encoder_holds_a_bounded_number_of_words(monkeypatch):
+    """Batches are laid out in slices of rows; the memo starts anew and keeps what was met lately."""
+    rnd = random.Random(8)
+    ids, ranks = {b"a": 1, b"b": 2, b"ab": 300, b"ba": 70_000}, {(b"a", b"b"): 0, (b"b", b"a"): 1}
+    words = ["".join(rnd.choices("abc", k=rnd.randint(1, 8))) for _ in range(4000)] + ["ab" * 90]
+    rows = [None, [], words[:1500], [], *([w] for w in words), None]
+    expected = [None if r is None else [i for w in r for i in brute_encode(w, ids, ranks)] for r in rows]
+    lists, sizes = pa.array(rows, pa.list_(pa.string())), []
+    monkeypatch.setattr(merging, "SLICE_WORDS", 100)
+    for most in (0, 50, merging.MEMO_WORDS):
+        encoder = merging.WordEncoder(ids, ranks, frozenset(), most)
+        plain = encoder.batch
+        monkeypatch.setattr(encoder, "batch", lambda part: sizes.append(len(part.flatten())) or plain(part))
+        (found,) = encoder.batches(iter([lists.slice(1)]))
+        assert found.to_pylist() == expected[1:]
+        assert len(encoder.memo) <= most and len(encoder.older) <= most and "ab" * 90 not in encoder.memo
+    assert max(sizes) == 1500 and sorted(sizes)[-4] <= 100
+    assert encoder.batches(iter([lists.slice(0, 0)])).__next__().to_pylist() == []
+
+
 def test_long_word_is_merged_whole():
     ranks = {(b" " * 2**i, b" " * 2**i): i for i in range(12)}
     assert merge_symbols(b" " * 100_001, ranks) == [b" " * 4096] * 24 + [
