@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lexmill.functions import blocks
 from lexmill.session import new_folder, stored
 from lexmill.sources.token_store import SHARD_BLOCKS
 
+# The code that cuts blocks travels with the query, so executors need not have this package.
+cloudpickle.register_pickle_by_value(blocks)
+
 BLOCK_TOKENS = 8192
 # Rows and tokens that one bucket of the ordering should hold.
 BUCKET_ROWS = 1_000_000
-BUCKET_TOKENS = 50_000_000
+BUCKET_TOKENS = 4_000_000
+# Rows of a split of text that make a bucket.
+GROUP_ROWS = 1 << 12
 
 
 def order_buckets(
@@ -98,6 +106,11 @@ def running_offsets(
     )
 
 
+def split_groups(df: DataFrame, row: str = "row", rows: int = GROUP_ROWS) -> DataFrame:
+    """Add ``group``: stretches of a split in the order of ``row``, for buckets smaller than a split."""
+    return df.withColumn("group", F.expr(f"{row} div {rows}"))
+
+
 def token_offsets(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``start``, the position of each document's first token in the whole sequence."""
     return running_offsets(order_buckets(tokens, key, size="n"), ["bucket"], [key], "n")
@@ -108,39 +121,24 @@ def _slices(found: str) -> Column:
     return F.flatten(F.array_sort(F.collect_list(F.struct("at", found)))[found])
 
 
-def token_blocks(
-    offsets: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket: Sequence[str] = ("bucket",)
-) -> DataFrame:
+def token_blocks(offsets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(block, n, ids)``: the sequence cut into blocks of equal length, the last one shorter.
 
-    ``offsets`` has ``bucket``, ``start``, ``n`` and ``ids``.  A bucket is a contiguous stretch of
-    the sequence and already lies in one partition, so blocks inside it are put together where they
-    are.  A block that reaches over an end of its bucket is an edge: its pieces are shuffled, to the
-    task that writes its neighbours.
+    ``offsets`` has ``start``, ``n`` and ``ids``.  A task cuts its rows in one pass as they come; those of
+    a bucket follow each other, so blocks inside it are whole where they are.  What lies at the ends of
+    buckets are pieces: these few are shuffled, to the task that writes their neighbours.
     """
-    length = F.lit(block_tokens).cast("long")
-    first = F.expr(f"start div {block_tokens}")
-    last = F.expr(f"(start + n - 1) div {block_tokens}")
-    spans = offsets.where("n > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("block") * length, F.col("start"))
-    stop = F.least((F.col("block") + 1) * length, F.col("start") + F.col("n"))
-    pieces = spans.select(
-        *bucket,
-        "block",
-        begin.alias("at"),
-        F.slice(
-            "ids", (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")
-        ).alias("part"),
-    )
-    ends = offsets.groupBy(*bucket).agg(
-        F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("high")
-    )
-    inside = (F.col("block") * length >= F.col("low")) & ((F.col("block") + 1) * length <= F.col("high"))
-    pieces = pieces.join(ends, list(bucket)).withColumn("inside", inside)
-    whole = pieces.where("inside").groupBy(*bucket, "block").agg(_slices("part").alias("ids"))
-    edges = pieces.where("NOT inside").groupBy("block").agg(_slices("part").alias("ids"))
+    kind = offsets.schema["ids"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return blocks.BlockCutter(block_tokens).batches(batches)
+
+    rows = offsets.where("n > 0").select(F.col("start").cast("long").alias("start"), "ids")
+    cut = rows.mapInArrow(run, f"block long, at long, whole boolean, ids {kind}")
+    cut = stored(cut, new_folder(offsets.sparkSession, "cut-blocks"))
+    edges = cut.where("NOT whole").groupBy("block").agg(_slices("ids").alias("ids"))
     edges = edges.repartition(F.expr(f"block div {SHARD_BLOCKS}"))
-    return whole.select("block", "ids").unionByName(edges).select(
+    return cut.where("whole").select("block", "ids").unionByName(edges).select(
         "block", F.size("ids").alias("n"), "ids"
     )
 

@@ -21,7 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.operators.sequence import BLOCK_TOKENS, running_offsets, token_blocks, token_total
+from lexmill.operators.sequence import (
+    BLOCK_TOKENS,
+    running_offsets,
+    split_groups,
+    token_blocks,
+    token_total,
+)
 from lexmill.operators.tokenizer import Tokenizer
 from lexmill.session import new_folder, stored
 from lexmill.sources.token_store import read_blocks, write_blocks
@@ -54,8 +60,8 @@ def append_epoch(
         # No path is empty, so the open block comes before all lines.
         place = [F.lit("" if c == "file" else 0).cast(rows.schema[c].dataType).alias(c) for c in columns[:4]]
         rows = rows.unionByName(last.where(F.col("block") == full).select(*place, "ids", "n"))
-    rows = stored(rows, new_folder(spark, "epoch"))
-    blocks = token_blocks(running_offsets(rows, BUCKET, INSIDE, "n"), block_tokens, BUCKET)
+    rows = split_groups(stored(rows, new_folder(spark, "epoch")))
+    blocks = token_blocks(running_offsets(rows, [*BUCKET, "group"], INSIDE, "n"), block_tokens)
     folder = _epoch_folder(output, "blocks", epoch)
     write_blocks(blocks.withColumn("block", F.col("block") + full), folder)
     total = full * block_tokens + token_total(read_blocks(spark, folder))

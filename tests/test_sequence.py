@@ -2,9 +2,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.blocks import BlockCutter
 from lexmill.operators import sampling, sequence
 from lexmill.sources import token_store
 
@@ -47,6 +49,37 @@ def test_prefix_sums_over_many_ranges(spark):
     assert sequence.prefix_sums(rows.limit(0), ["file", "split"], "n", "start").isEmpty()
 
 
+@pytest.mark.parametrize("size", [1, 3, 8, 1000])
+def test_blocks_are_cut_as_rows_come(size):
+    """A task that holds a bucket's rows in order makes pieces of its ends alone, and of gaps."""
+    rnd = random.Random(size)
+    flat = [rnd.choice([*range(9), None]) for _ in range(400)]
+    stretches, at = [], 5
+    while at < 395:
+        stop = min(395, at + rnd.choice([1, 2, 9, 40]))
+        stretches.append((at, flat[at:stop]))
+        at = stop
+    shape = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def cut(stretches, rows):
+        batches = (
+            pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*stretches[i : i + rows]), shape.types)], shape.names)
+            for i in range(0, len(stretches), rows)
+        )
+        return [row for batch in BlockCutter(size).batches(batches) for row in batch.to_pylist()]
+
+    for rows in (1, 4, 1000):
+        for some in (stretches, stretches[:3] + stretches[4:], rnd.sample(stretches, len(stretches))):
+            found = cut(some, rows)
+            ids = {row["at"] + i: x for row in found for i, x in enumerate(row["ids"])}
+            assert ids == {start + i: x for start, part in some for i, x in enumerate(part)}
+            assert sum(len(row["ids"]) for row in found) == len(ids)
+            for row in found:
+                assert row["at"] // size == row["block"] == (row["at"] + len(row["ids"]) - 1) // size
+                assert row["whole"] == (len(row["ids"]) == size)
+        assert sum(not row["whole"] for row in cut(stretches, rows)) <= 2
+
+
 def test_missing_key_is_an_error(spark):
     rows = spark.createDataFrame([(1, 3), (None, 4)], "doc_id long, n int")
     with pytest.raises(ValueError):
