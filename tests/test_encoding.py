@@ -97,6 +97,30 @@ def test_decode_replaces_malformed_bytes(spark, trained):
             assert row.text == bytes(row.ids).decode("utf-8", errors="replace")
 
 
+def test_joins_are_of_distinct_words_and_ids_by_chunk(spark, monkeypatch):
+    """Copies of a text cost no more rows in a join; chunks of few rows give the same results."""
+    merges = [(b"a", b"b"), (b"ab", b"c"), (b" ", b"a")]
+    tok = tokenizer.tokenizer_from_merges(spark, merges, SPECIALS[:1])
+    ids, ranks = tables(tok)
+    texts = ["abc ab abcabc", None, "", "a b" + SPECIALS[0] + " abab"] + ["abc cab ab" * 5] * 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    joined, spread = [], encoding.join_spread
+    monkeypatch.setattr(encoding, "join_spread", lambda rows, *more: joined.append(rows.count()) or spread(rows, *more))
+    for most in (20, 10**6):
+        for name in ("CHUNK_CHARS", "CHUNK_WORDS", "CHUNK_TOKENS"):
+            monkeypatch.setattr(encoding, name, most)
+        encoded = encoding.encode_by_join(df, tok, ["doc_id"])
+        assert encoded.columns == ["doc_id", "text", "ids"]
+        rows = encoded.collect()
+        assert {r.doc_id: r.text for r in rows} == dict(enumerate(texts)) and len(rows) == len(texts)
+        for row in rows:
+            assert row.ids == (None if row.text is None else brute_encode(row.text, ids, ranks, SPECIALS[:1]))
+        back = encoding.decode_by_join(encoded.select("doc_id", "ids"), tok, ["doc_id"]).collect()
+        assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
+    # Three tasks, each with a few distinct words, stretches and ids.
+    assert max(joined[-3:]) < 100
+
+
 def test_word_ids_with_foreign_merges(spark):
     """Merge lists whose parts come later, repeat, or never occur."""
     rnd = random.Random(6)
