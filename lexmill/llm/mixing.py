@@ -134,8 +134,11 @@ def fit_classifier(f: Features, labels: np.ndarray, domains: int) -> Classifier:
     usual = np.bincount(f.buckets, minlength=size) >= LEAST_ROWS
     kept = usual[f.buckets]
     rows = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(f.ends))[kept]
-    names, place = np.unique(f.buckets[kept], return_inverse=True)
-    place = place.astype(np.int32)
+    # Places by a table of all buckets: sorting the features would hold them several times over.
+    names = np.flatnonzero(usual)
+    table = np.zeros(size, np.int32)
+    table[names] = np.arange(len(names))
+    place = table[f.buckets[kept]]
     wanted = np.eye(domains)[labels]
     params = [np.zeros((len(names), domains)), np.zeros((STYLE, domains))]
     # The prior: without words a text gets the shares of the labels.
@@ -321,7 +324,7 @@ def projected(totals: Callable[[Steps], Totals], target: np.ndarray) -> tuple[St
 def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
     """Steps for rows ``(tokens, posterior)`` and a report of totals reached."""
     count = len(targets)
-    names = [f"x{i}" for i in range(count + count * count + 4)]
+    size = count + count * count + 4
     target = np.array(targets) / sum(targets)
 
     ones = F.lit(1.0)
@@ -353,13 +356,15 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Steps, dict]:
         fresh = steps.since(done)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(names))
+            sums = np.zeros(size)
             for part, posterior, left in read(batches):
                 sums += row_totals(fresh, part["tokens"].to_numpy().astype(float), posterior, *left)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names)
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["sums"])
 
-        parts = table.mapInArrow(run, ", ".join(f"{name} double" for name in names))
-        sums = np.array([x or 0.0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()])
+        # A row for each task, summed here: a step is one stage without a shuffle.
+        sums = np.zeros(size)
+        for part in table.mapInArrow(run, "sums array<double>").collect():
+            sums += part["sums"]
         sums /= max(sums[-1], 1.0)
         return Totals(sums[:count], sums[count:-4].reshape(count, count), *sums[-4:-1])
 

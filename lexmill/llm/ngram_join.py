@@ -120,7 +120,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[piece] = total[piece] + part if piece in total else part
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.int32()),
-         pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())],
+         pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.values()], pa.binary())],
         ["piece", "counts"],
     )
 
@@ -128,24 +128,37 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def global_order(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Rank of every cell, least counted first, and the ranks at which fragments begin.
 
-    ``2 ** CELL_BITS`` counts reach the driver in pieces that were summed in tasks.
+    ``2 ** CELL_BITS`` counts reach the driver in compressed pieces that were summed in tasks.  It holds
+    12 bytes for each cell: the count above the cell's number, sorted in place, and the rank.
     """
-    counts = np.zeros(1 << CELL_BITS, np.int64)
+    size, low = 1 << CELL_BITS, np.uint64((1 << CELL_BITS) - 1)
+    order = np.arange(size, dtype=np.uint64)
     parts = cells.repartition("piece").mapInArrow(_summed, "piece int, counts binary")
     for row in parts.collect():
         at = row["piece"] * PIECE
-        counts[at : at + PIECE] = np.frombuffer(row["counts"], "<i8")
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(1 << CELL_BITS, np.uint64)
-    rank[order] = np.arange(1 << CELL_BITS, dtype=np.uint64)
-    mass = np.cumsum(counts[order])
-    pivots = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
-    return rank, pivots.astype(np.uint64)
+        counts = np.frombuffer(zlib.decompress(row["counts"]), "<u8")
+        order[at : at + PIECE] |= counts << np.uint64(CELL_BITS)
+    order.sort()
+    rank = np.empty(size, np.uint32)
+    sums = []
+    for at in range(0, size, PIECE):
+        part = order[at : at + PIECE]
+        rank[(part & low).astype(np.int64)] = np.arange(at, at + PIECE, dtype=np.uint32)
+        sums.append(int((part >> np.uint64(CELL_BITS)).sum()))
+    # The pivots lie in the pieces in which the mass passes their share.
+    ends = np.cumsum(sums)
+    pivots = []
+    for share in ends[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS:
+        i = int(np.searchsorted(ends, share))
+        part = order[i * PIECE : (i + 1) * PIECE] >> np.uint64(CELL_BITS)
+        mass = np.cumsum(part.astype(np.int64)) + (ends[i] - sums[i])
+        pivots.append(i * PIECE + int(np.searchsorted(mass, share)))
+    return rank, np.array(pivots, np.uint64)
 
 
 def in_order(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The numbers with their cell replaced by its rank: ascending, they are in global order."""
-    cell = rank[(grams >> SHIFT).astype(np.int64)]
+    cell = rank[(grams >> SHIFT).astype(np.int64)].astype(np.uint64)
     low = grams & ((np.uint64(1) << SHIFT) - np.uint64(1))
     return np.sort((cell << SHIFT) | low)
 

@@ -1,6 +1,8 @@
 """The n-gram join against a comparison of all pairs."""
 
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import plain
@@ -120,3 +122,26 @@ def test_components(spark):
             parent[y] = x
     found = connected(spark.createDataFrame(edges, "a long, b long"))
     assert result(found) == {(x, root(x)) for x in parent}
+
+
+def test_order_of_cells_in_little_memory(spark):
+    """Equals a stable sort of all counts, while the driver holds few copies of them."""
+    rng = np.random.default_rng(3)
+    size, piece = 1 << ngram_join.CELL_BITS, ngram_join.PIECE
+    counts = np.zeros(size, np.int64)
+    rows = []
+    for i in (0, 1, 7, size // piece - 1, 7):
+        part = rng.zipf(1.3, piece).clip(0, 2**32 - 1).astype("<u4")
+        counts[i * piece : (i + 1) * piece] += part
+        rows.append((i, bytearray(zlib.compress(part.tobytes()))))
+    cells = spark.createDataFrame(rows, "piece int, counts binary")
+    tracemalloc.start()
+    rank, pivots = ngram_join.global_order(cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(counts, kind="stable")
+    assert (rank[order] == np.arange(size)).all()
+    mass = np.cumsum(counts[order])
+    shares = mass[-1] * np.arange(1, ngram_join.FRAGMENTS) / ngram_join.FRAGMENTS
+    assert pivots.tolist() == np.searchsorted(mass, shares).tolist()
+    assert peak < 64 << 20
