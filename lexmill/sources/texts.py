@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from lexmill.functions import text as T
 from lexmill.session import new_folder, stored
@@ -58,11 +58,12 @@ def read_texts(spark: SparkSession, path: Paths, whole_bytes: int | None = None)
     return whole.unionByName(lines)
 
 
-def placed_records(records: DataFrame) -> DataFrame:
+def placed_records(records: DataFrame, seen: Observation | None = None) -> DataFrame:
     """``(file, split, row, file_size, value)`` of a text scan, stored.
 
     Spark cuts large files into splits and moves each cut to the next mark.  Rows are ordered by
-    ``(file, split, row)``.
+    ``(file, split, row)``.  ``seen`` gets about how many ``files`` had rows and in how many ``tasks``,
+    without a job of its own.
     """
     file = F.col("_metadata.file_path")
     # The size of a compressed file says nothing about its text, and with it nothing about its end.
@@ -74,6 +75,10 @@ def placed_records(records: DataFrame) -> DataFrame:
         F.col("_metadata.file_size").alias("file_size"),
         F.validate_utf8("value").alias("value"),
     )
+    if seen:
+        # The upper bits of a row's number are those of its task.
+        tasks = (F.max(F.shiftright("row", 33)) + 1).alias("tasks")
+        placed = placed.observe(seen, F.approx_count_distinct("file").alias("files"), tasks)
     return stored(placed, new_folder(records.sparkSession, "records"))
 
 
@@ -81,13 +86,13 @@ def _records(spark: SparkSession, path: Paths, end: str) -> DataFrame:
     return placed_records(spark.read.text(path, lineSep=end))
 
 
-def with_ends(records: DataFrame, end: str) -> DataFrame:
+def with_ends(records: DataFrame, end: str, few: bool = False) -> DataFrame:
     """Records with the mark that ended them and the byte order mark their file began with.
 
     The reader drops both.  With a mark for each, the records of a file are as long as the file, or
     longer by one mark where the last has none; a dropped byte order mark makes them three bytes
     shorter.  Any other length means that the file was changed while it was read.  A file of nothing
-    but a byte order mark has no records.
+    but a byte order mark has no records.  With ``few`` the files are known to be ``MOST_FILES`` at most.
     """
     spark = records.sparkSession
     width = len(end.encode())
@@ -106,8 +111,9 @@ def with_ends(records: DataFrame, end: str) -> DataFrame:
         F.col("off").isin(width, width - 3).alias("unended"),
         F.col("off").isin(-3, width - 3).alias("marked"),
     )
-    files = stored(files, new_folder(spark, "file-ends"))
-    if files.count() <= MOST_FILES:
+    if not few:
+        files = stored(files, new_folder(spark, "file-ends"))
+    if few or files.count() <= MOST_FILES:
         files = F.broadcast(files)
     here = F.struct("split", "row")
     start = F.when(F.col("marked") & (here == F.col("first")), F.lit(BYTE_ORDER_MARK)).otherwise("")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.encoding import encode
 from lexmill.operators.tokenizer import Tokenizer
-from lexmill.sources.texts import line_parts, placed_records, with_ends
+from lexmill.sources.texts import MOST_FILES, line_parts, placed_records, with_ends
 from lexmill.sources.token_store import checked_ids
 
 # Bytes of files that one micro-batch takes on.
@@ -26,8 +26,20 @@ def stream_records(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTE
 
 
 def encode_lines(records: DataFrame, tok: Tokenizer, uint16: bool = True) -> DataFrame:
-    """``(file, split, row, part, ids, n)`` of the records of one batch, line ends kept."""
-    lines = line_parts(with_ends(placed_records(records), "\n"))
+    """``(file, split, row, part, ids, n)`` of the records of one batch, line ends kept.
+
+    A small batch has few files and splits: then the files are not counted by jobs of their own, and the
+    records are spread over all cores.
+    """
+    seen = Observation()
+    placed = placed_records(records, seen)
+    # The number of files is an estimate, hence the margin.
+    few = 2 * (seen.get.get("files") or 0) <= MOST_FILES
+    ended = with_ends(placed, "\n", few)
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    if (seen.get.get("tasks") or 0) < cores:
+        ended = ended.repartition(cores, "split", "row")
+    lines = line_parts(ended)
     ids = encode(lines, tok, ["file", "split", "row", "part"]).drop("text")
     return checked_ids(ids, uint16).withColumn("n", F.size("ids"))
 

@@ -6,8 +6,10 @@ from brute import encode as brute_encode
 
 from lexmill.__main__ import main
 from lexmill.functions.text import END_OF_TEXT
-from lexmill.operators import tokenizer
+from lexmill.operators import encoding, tokenizer
 from lexmill.plans import jobs
+from lexmill.session import stored
+from lexmill.sources import texts
 from lexmill.sources.tokenizer_files import load_tokenizer
 from lexmill.streaming import encoding as streaming
 
@@ -145,3 +147,24 @@ def test_command_line(spark, dataset, tmp_path, capsys):
     assert main(["report", "--corpus", "a", corpus, vocab, merges, "--n", "3"]) == 0
     assert "a bytes/token: " in capsys.readouterr().out
     assert main(["train", str(tmp_path / "missing.txt")]) == 1
+
+
+def test_small_stream_batches_use_all_cores(spark, dataset, tmp_path, monkeypatch):
+    """One split is encoded by as many tasks as there are cores, and its files are not counted by jobs."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_bytes(b"".join(b"line %d of some\r\nwords\n" % i for i in range(2000)) + b"end")
+    records = spark.read.text(str(source), lineSep="\n").select("value", "_metadata")
+    asked = []
+    monkeypatch.setattr(texts, "stored", lambda df, path: asked.append(path) or stored(df, path))
+    tok = tokenizer.tokenizer_from_merges(spark, [(b"i", b"n")])
+    found = streaming.encode_lines(records, tok)
+    assert len(asked) == 1
+    monkeypatch.undo()
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    key = ["file", "split", "row", "part"]
+    lines = texts.read_lines(spark, str(source))
+    wanted = encoding.encode(lines, tok, key).select(*key, "ids")
+    rows = [row.ids for row in found.orderBy(key).collect()]
+    assert rows == [row.ids for row in wanted.orderBy(key).collect()]
+    assert len(rows) == 4001 and rows[-1] == list(b"end")
