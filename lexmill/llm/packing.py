@@ -53,13 +53,13 @@ def tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         table = word_ids(path)
         kind = "<u2" if table.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in slices(batches):
-            found = [np.append(ids, END_ID) for ids in table.encode(batch["text"])]
+            found = [np.append(ids, END_ID).astype(kind) for ids in table.encode(batch["text"])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["_row"],
                     batch["_key"],
                     pa.array([len(ids) for ids in found], pa.int64()),
-                    pa.array([ids.astype(kind).tobytes() for ids in found], pa.binary()),
+                    pa.array([ids.tobytes() for ids in found], pa.binary()),
                 ],
                 ["_row", "_key", "n", "ids"],
             )

@@ -1,5 +1,10 @@
 """Token ids and packing."""
 
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import plain
 import public_tokenizers
@@ -30,6 +35,55 @@ def test_word_ids_equal_those_of_whole_texts(tokenizer, odd_rows, document_rows,
             assert [*ids.tolist(), 1] == plain.token_ids(tokenizer, text)
 
 
+MEMORY = """
+import re
+import sys
+import threading
+import time
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+
+from lexmill.llm.token_ids import WordIds
+from lexmill.llm.words import slices
+
+def held():
+    found = re.search(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())
+    return int(found[1]) / 1024
+
+def watch():
+    while True:
+        seen.append(held())
+        time.sleep(0.01)
+
+rng = np.random.default_rng(1)
+vocabulary = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20_000)])
+batches = [
+    pa.RecordBatch.from_pydict({"text": [" ".join(rng.choice(vocabulary, 400)) for _ in range(5_000)]})
+    for _ in range(3)
+]
+table = WordIds(sys.argv[1])
+table.encode(pa.array([" ".join(vocabulary)]))
+pa.default_memory_pool().release_unused()
+pa.system_memory_pool().release_unused()
+seen, first = [], held()
+threading.Thread(target=watch, daemon=True).start()
+for part in slices(iter(batches)):
+    found = table.encode(part["text"])
+print("most", max(seen) - first)
+"""
+
+
+def test_memory_of_a_worker():
+    """Beyond the table of words, a worker takes what one slice needs and no more."""
+    run = subprocess.run(
+        [sys.executable, "-c", MEMORY, PATH], cwd=Path(__file__).parents[2],
+        capture_output=True, text=True, check=True,
+    )
+    assert float(re.search(r"most ([\d.]+)", run.stdout)[1]) < 95
+
+
 def test_least_squares_and_plan():
     rng = np.random.default_rng(1)
     for _ in range(5):
